@@ -18,5 +18,35 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup}
+def op5_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    from parchmint.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    from parchmint.llm.byte_bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None, limit: int = 2048) -> DataFrame:
+    import public_tokenizers
+
+    from parchmint.llm.word_tokens import token_counts
+
+    found = token_counts(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+    return found.withColumnRenamed("id", "doc_id").withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
+    "op5_packing": op5_packing,
+    "op9_byte_bpe": op9_byte_bpe,
+    "op10_token_counts": op10_token_counts,
+}
 ORACLES: dict[str, str] = {}
