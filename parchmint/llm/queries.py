@@ -26,6 +26,12 @@ def op5_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parchmint.llm.simhash import edited_likeness
+
+    return edited_likeness(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -46,6 +52,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None =
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op5_packing": op5_packing,
+    "op8_simhash": op8_simhash,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_token_counts": op10_token_counts,
 }
