@@ -144,10 +144,10 @@ def ngram_hashes(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarr
     index = np.arange(begin[-1]) + np.repeat(at[:-1] - begin[:-1], runs)
     out = h[index]
     for i in np.flatnonzero((counts > 0) & (counts < size)):
-        whole = words[at[i]]
-        for w in words[at[i] + 1 : at[i + 1]]:
-            whole = mix64(np.atleast_1d(whole * _M1 + w))[0]
-        out[begin[i]] = whole ^ np.uint64(counts[i])
+        whole = words[at[i] : at[i] + 1]
+        for k in range(at[i] + 1, at[i + 1]):
+            whole = mix64(whole * _M1 + words[k : k + 1])
+        out[begin[i]] = whole[0] ^ np.uint64(counts[i])
     return out, begin
 
 

@@ -18,6 +18,14 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parchmint.llm.quality_rules import quality_rules
+
+    docs = table(spark, sf_dir, "documents")
+    found = quality_rules(docs, docs, table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -26,6 +34,12 @@ def op5_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
 
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parchmint.llm.quality_model import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parchmint.llm.simhash import edited_likeness
 
@@ -51,7 +65,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None =
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_quality_rules": op2_quality_rules,
     "op5_packing": op5_packing,
+    "op6_quality_model": op6_quality_model,
     "op8_simhash": op8_simhash,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_token_counts": op10_token_counts,
