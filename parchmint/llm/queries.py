@@ -40,6 +40,13 @@ def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parchmint.llm.secrets import secret_spans
+
+    found = secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parchmint.llm.simhash import edited_likeness
 
@@ -68,6 +75,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op5_packing": op5_packing,
     "op6_quality_model": op6_quality_model,
+    "op7_secrets": op7_secrets,
     "op8_simhash": op8_simhash,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_token_counts": op10_token_counts,
