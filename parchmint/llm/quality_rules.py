@@ -164,13 +164,15 @@ def quality_rules(docs: DataFrame, training: DataFrame, labels: DataFrame, id_co
 
     A null text has no words and fails the base rules, as do texts under 20 words.
     Without labels of both kinds every probability is 1. Repeated rows and null ids
-    give a row each; an empty table gives none.
+    give a row each; an empty table gives none. A carried column with the name of a
+    result stands in its place, but for kept.
     """
     model = fit(labelled_sample(training, labels, sample_rows))
     carry = carry or []
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"c_{c}") for c in carry])
+    beside = [c for c in carry if c not in (id_col, text_col)]
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"c_{c}") for c in beside])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept_names = [f"c_{c}" for c in carry]
+    kept_names = [f"c_{c}" for c in beside] + ["text"] * (text_col in carry)
 
     def score(batches):
         for whole in batches:
@@ -188,4 +190,6 @@ def quality_rules(docs: DataFrame, training: DataFrame, labels: DataFrame, id_co
     scored = chosen.mapInArrow(score, schema)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= KEEP_AT))
-    return scored.withColumnsRenamed({f"c_{c}": c for c in carry})
+    named = [F.col(f"c_{c}").alias(c) for c in beside] + [F.col("text").alias(text_col)] * (text_col in carry)
+    results = [*(c.split(" ")[0] for c in RESULT.split(", ")), "base_failed", "kept"]
+    return scored.select("id", *named, *[c for c in results if c not in carry])

@@ -26,6 +26,19 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parchmint.llm.line_dedup import drop_spread_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return drop_spread_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op4_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parchmint.llm.html_main import main_text
+
+    return main_text(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -73,6 +86,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None =
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_html_main": op4_html_main,
     "op5_packing": op5_packing,
     "op6_quality_model": op6_quality_model,
     "op7_secrets": op7_secrets,
@@ -80,4 +95,21 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+                   generate_subscripts(string_split(text, chr(10)), 1) AS pos
+            FROM documents WHERE text IS NOT NULL
+        ), spread AS (
+            SELECT line, count(DISTINCT source) AS sites, min((doc_id, pos)) AS first
+            FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') AND doc_id IS NOT NULL GROUP BY line
+        ), judged AS (
+            SELECT l.doc_id, l.pos, l.line, coalesce(s.sites >= 5 AND s.first <> (l.doc_id, l.pos), false) AS gone
+            FROM lines l LEFT JOIN spread s USING (line)
+        )
+        SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGINT AS n_removed,
+               coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text
+        FROM judged GROUP BY doc_id
+    """,
+}
