@@ -11,10 +11,12 @@
    posterior probability that the similarity reaches the threshold after m of n
    equal values is P(Binomial(n + 1, threshold) <= m), and the pair is dropped
    once that falls below ``miss``. Survivors are confirmed on the full sets.
-4. Pairs of one bucket that are still in different components are then tried:
-   the few likeliest of each two components first, then more, at last all. So
-   no link is lost to the order, and a bucket of thousands that hang together
-   never yields all its pairs. Large buckets are dealt out as pairs of blocks.
+4. Pairs of one bucket that are still in different components are compared in
+   the same way, each pair in the first band that it shares. Large buckets are
+   dealt out as pairs of blocks. Members with a surviving pair bring their texts,
+   the exact test runs over the block pair's sets, and one link for each two
+   components that prove to be one is returned. So no link is lost, and a
+   bucket of thousands never yields its pairs as rows.
 """
 
 from __future__ import annotations
@@ -35,10 +37,8 @@ BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 #: Signature values read before each decision of the sequential test.
 STEPS = (16, 32, 64, HASHES)
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 2048
-#: Pairs of two components tried in each round; None tries all that are left.
-ROUNDS = (2, 32, None)
+#: Members of a bucket in a block; a task compares two blocks.
+BLOCK = 512
 _FACTORS = np.random.default_rng(8675309).integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
 
 
@@ -88,20 +88,26 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
 
 
+def band_keys(signatures: np.ndarray) -> np.ndarray:
+    key = np.zeros((len(signatures), BANDS), np.uint64) + mix64(np.arange(BANDS, dtype=np.uint64))
+    rows = signatures.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    for r in range(ROWS):
+        key = mix64(key ^ rows[:, :, r])
+    return key
+
+
 def _bands(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = np.zeros((batch.num_rows, BANDS), np.uint64) + mix64(np.arange(BANDS, dtype=np.uint64))
-        rows = _matrix(batch.column("signature")).reshape(-1, BANDS, ROWS).astype(np.uint64)
-        for r in range(ROWS):
-            key = mix64(key ^ rows[:, :, r])
+        key = band_keys(_matrix(batch.column("signature")))
         yield pa.RecordBatch.from_arrays(
             [
+                pa.array(np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)),
                 pa.array(key.ravel().view(np.int64)),
                 pa.array(np.repeat(batch.column("id").to_numpy(), BANDS)),
             ],
-            names=["bucket", "id"],
+            names=["band", "bucket", "id"],
         )
 
 
@@ -134,29 +140,76 @@ def _pruner(percent: int, miss: float):
     return prune
 
 
-def _block_pairs(percent: int, miss: float, most: int | None):
-    least = least_matches(percent / 100, miss)
+class _Block:
+    """Two blocks of a bucket, or one twice, and the pairs that a task compares."""
+
+    def __init__(self, key, table: pa.Table, percent: int, least: list[int]):
+        self.ids, self.labels, self.n, self.side = (table.column(c).to_numpy() for c in ("id", "label", "n", "side"))
+        self.band, self.own = key[0].as_py(), key[2].as_py() == key[3].as_py()
+        self.signatures = _matrix(table.column("signature").combine_chunks())
+        self.keys = band_keys(self.signatures)[:, : self.band]
+        self.percent, self.least = percent, least
 
-    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids, labels, n = (table.column(c).to_numpy() for c in ("id", "label", "n"))
-        side, own = table.column("side").to_numpy(), key[1].as_py() == key[2].as_py()
-        signatures = _matrix(table.column("signature").combine_chunks())
+    def rows(self, labels: np.ndarray) -> np.ndarray:
+        """All rows but those of the most frequent label, whose pairs the others' cover."""
         names, sizes = np.unique(labels, return_counts=True)
-        largest = names[np.argmax(sizes)]
-        found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        for i in np.flatnonzero(labels != largest):
-            j = np.flatnonzero((labels != labels[i]) & _fits(n, n[i], percent) & (ids != ids[i]))
-            j = j[(labels[j] == largest) | (ids[j] > ids[i])]
-            if not own:
-                j = j[side[j] != side[i]]
-            ok, equal = _sequential(np.broadcast_to(signatures[i], (len(j), HASHES)), signatures[j], least)
-            for x, m in zip(j[ok].tolist(), equal.tolist(), strict=True):
-                two = (min(labels[i], labels[x]), max(labels[i], labels[x]))
-                found.setdefault(two, []).append((-m, min(ids[i], ids[x]), max(ids[i], ids[x])))
-        pairs = [p for some in found.values() for p in (sorted(some)[:most] if most else some)]
-        return pa.table({"a": pa.array([p[1] for p in pairs], pa.int64()), "b": pa.array([p[2] for p in pairs], pa.int64())})
-
-    return compare
+        self.largest = names[np.argmax(sizes)]
+        return np.flatnonzero(labels != self.largest)
+
+    def partners(self, i: int, labels: np.ndarray) -> np.ndarray:
+        """Rows of other components that may be similar to row i, likeliest first, each pair in its first band."""
+        j = np.flatnonzero((labels != labels[i]) & _fits(self.n, self.n[i], self.percent) & (self.ids != self.ids[i]))
+        j = j[(self.labels[j] == self.largest) | (self.ids[j] > self.ids[i])]
+        if not self.own:
+            j = j[self.side[j] != self.side[i]]
+        ok, equal = _sequential(np.broadcast_to(self.signatures[i], (len(j), HASHES)), self.signatures[j], self.least)
+        j = j[ok[np.argsort(-equal, kind="stable")]]
+        return j[~(self.keys[j] == self.keys[i]).any(axis=1)]
+
+
+def _open_members(percent: int, miss: float):
+    least = least_matches(percent / 100, miss)
+
+    def look(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        block = _Block(key, table, percent, least)
+        needed = np.zeros(len(block.ids), bool)
+        for i in block.rows(block.labels):
+            j = block.partners(i, block.labels)
+            needed[j] = True
+            needed[i] |= len(j) > 0
+        return table.filter(pa.array(needed)).select(["band", "bucket", "low", "high", "id", "label", "n", "signature", "side"])
+
+    return look
+
+
+def _block_links(size: int, percent: int, miss: float):
+    least = least_matches(percent / 100, miss)
+
+    def link(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        block = _Block(key, table, percent, least)
+        h, at = shingles(table.column("text").combine_chunks(), size)
+        sets = [np.unique(h[at[i] : at[i + 1]]) for i in range(len(at) - 1)]
+        labels = block.labels.copy()  # merged as links are found
+        found = []
+        for i in block.rows(labels):
+            partners = block.partners(i, labels)
+            for begin in range(0, len(partners), 64):
+                j = partners[begin : begin + 64]
+                j = j[labels[j] != labels[i]]
+                if not len(j):
+                    continue
+                ends = np.cumsum([0, *(len(sets[x]) for x in j)])
+                values = np.concatenate([sets[x] for x in j])
+                place = np.minimum(np.searchsorted(sets[i], values), len(sets[i]) - 1)
+                common = np.add.reduceat((sets[i][place] == values).astype(np.int64), ends[:-1])
+                linked = 100 * common >= percent * (len(sets[i]) + np.diff(ends) - common)
+                for x in j[linked & (common > 0)]:
+                    if labels[x] != labels[i]:
+                        found.append((int(block.ids[i]), int(block.ids[x])))
+                        labels[labels == labels[x]] = labels[i]
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return link
 
 
 def _confirmer(size: int, percent: int):
@@ -198,9 +251,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = scratch.save(known.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "sets")
     signed = sets.select("id", "n", "signature")
 
-    band = scratch.save(signed.select("id", "signature").mapInArrow(_bands, "bucket long, id long"), "bands")
-    buckets = band.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("hub"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("content"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("content2")).where("size > 1")
-    members = scratch.save(band.join(buckets, "bucket"), "members")
+    band = scratch.save(signed.select("id", "signature").mapInArrow(_bands, "band int, bucket long, id long"), "bands")
+    buckets = band.groupBy("band", "bucket").agg(F.count("*").alias("size"), F.min("id").alias("hub"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("content"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("content2")).where("size > 1")
+    members = scratch.save(band.join(buckets, ["band", "bucket"]), "members")
     scratch.drop("bands")
 
     needed = members.select("id").distinct()
@@ -214,26 +267,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     both = hubs.join(signed.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb")), "b")
     both = both.join(signed.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa")), "a")
     pairs = scratch.save(both.mapInArrow(_pruner(percent, miss), "a long, b long").distinct(), "pairs-0")
-    tested, links = hubs, scratch.save(confirmed(pairs), "links-0")
+    links = scratch.save(confirmed(pairs), "links-0")
     labels = scratch.save(connected_components(scratch, "cc-0", links), "labels-0")
 
-    # Buckets with the same members are one; the others with one component are done.
-    once = members.where("size > 2").groupBy("size", "content", "content2").agg(F.min("bucket").alias("bucket")).select("bucket")
-    crowded = scratch.save(members.where("size > 2").select("bucket", "id").join(once, "bucket", "left_semi"), "crowded")
-    for step, most in enumerate(ROUNDS, 1):
-        now = crowded.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo <> hi").select("bucket", "blocks")
-        open_ = now.join(mixed, "bucket").join(signed, "id").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        dealt = open_.select("bucket", "id", "label", "n", "signature", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        dealt = dealt.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).drop("other")
-        pairs = dealt.groupBy("bucket", "low", "high").applyInArrow(_block_pairs(percent, miss, most), "a long, b long").distinct()
-        pairs = scratch.save(pairs.join(tested, ["a", "b"], "left_anti"), f"pairs-{step}")
-        if pairs.isEmpty():
-            if most is None:
-                break
-            continue
-        tested, links = tested.unionByName(pairs), links.unionByName(scratch.save(confirmed(pairs), f"links-{step}"))
-        labels = scratch.save(connected_components(scratch, f"cc-{step}", links), f"labels-{step}")
+    # Buckets with the same members are one, that of the first band; those with one component are done.
+    crowd = members.where("size > 2")
+    once = crowd.groupBy("size", "content", "content2").agg(F.min(F.struct("band", "bucket")).alias("first")).select("first.*")
+    now = crowd.select("band", "bucket", "id").join(once, ["band", "bucket"], "left_semi")
+    now = scratch.save(now.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id")), "crowded")
+    mixed = now.groupBy("band", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo <> hi").select("band", "bucket", "blocks")
+    open_ = now.join(mixed, ["band", "bucket"]).join(signed, "id").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other"))
+    dealt = dealt.select("band", "bucket", "low", "high", "id", "label", "n", "signature", "side")
+    group = ["band", "bucket", "low", "high"]
+    needed = scratch.save(dealt.groupBy(*group).applyInArrow(_open_members(percent, miss), dealt.schema), "open")
+    links = links.unionByName(scratch.save(needed.join(texts, "id").groupBy(*group).applyInArrow(_block_links(shingle, percent, miss), "a long, b long"), "links-1"))
+    labels = scratch.save(connected_components(scratch, "cc-1", links), "labels-1")
 
     label = labels.select(F.col("node").alias("first"), "label")
     reach = sets.select("digest", F.col("id").alias("first")).join(label, "first", "left").select("digest", F.coalesce("label", "first").alias("label"))
