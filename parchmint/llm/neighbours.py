@@ -1,87 +1,101 @@
 """Rows paired with their successor in a global order, with one shuffle of the rows.
 
-The rows are range-partitioned and sorted; each task pairs the rows it has. A
-partition's last row waits for the first row of the next partition that has
-any: such rows, two for each partition, are written with their contents and
-paired in a second, small step.
+Ranges of the order are cut at quantiles of a sample of the keys. Each range goes to
+one partition with, as its last row, a copy of the first row of the next range,
+so every row meets its successor there and nothing but the shuffle is written.
+The cuts decide only where a row is handled, never a result.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchmint.llm.arrowtext import PIECE_BYTES
-from parchmint.llm.scratch import Scratch
 
 Row = dict
 #: fn(rows, following): the results of rows, each of which is followed by the row at its place in ``following`` (None: by nothing).
 Pairer = Callable[[list[Row], list[Row | None]], list[Row]]
+#: Sampled keys for each range.
+SAMPLE = 50
 
 
-def with_successor(scratch: Scratch, df: DataFrame, order: list[str], text: str, fn: Pairer, schema: str, wrap: bool = False) -> DataFrame:
+def _key(values: tuple) -> tuple:
+    """Comparable as Spark orders: nulls first, strings by their UTF-8 bytes."""
+    return tuple((0, 0) if v is None else (1, v.encode() if isinstance(v, str) else v) for v in values)
+
+
+def _cuts(keys: DataFrame, order: list[str], ranges: int) -> list[tuple]:
+    """At most ``ranges`` - 1 keys that part the rows about evenly; the driver gets about ``SAMPLE`` keys for each."""
+    share = min(1.0, SAMPLE * ranges / max(keys.count(), 1))
+    sample = sorted(_key(tuple(r)) for r in keys.sample(False, share, 7).select(*order).collect())
+    return sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
+
+
+def with_successor(df: DataFrame, order: list[str], text: str, fn: Pairer, schema: str, wrap: bool = False) -> DataFrame:
     """Apply ``fn`` to every row of ``df`` and its successor by ``order``; with ``wrap`` the last row's is the first.
 
     ``schema`` is that of the results. ``order`` decides every tie by which results
     would differ; null keys come first.
     """
     spark = df.sparkSession
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    cuts = _cuts(df.select(*order), order, partitions)
     columns = df.columns
     fields = spark.createDataFrame([], schema).schema
-    raw = df.schema
-    names = [f.name for f in fields]
-    full = ", ".join([schema, "_task long", "_end int", "_row struct<" + ", ".join(f"{f.name}:{f.dataType.simpleString()}" for f in raw) + ">"])
 
-    def results(out: list[Row], extra: list[Row]) -> pa.RecordBatch:
+    def assign(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in order), strict=True)
+            numbers = pa.array([bisect_right(cuts, _key(k)) for k in keys], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, numbers], names=[*batch.schema.names, "_range"])
+
+    def ranged(part: DataFrame) -> DataFrame:
+        return part.mapInArrow(assign, ", ".join([*(f"{c} {t}" for c, t in part.dtypes), "_range int"]))
+
+    # One key for each range, and so one row, is what the driver and the broadcast hold.
+    firsts = ranged(df.select(*order)).groupBy("_range").agg(F.min(F.struct(*order)).alias("k")).collect()
+    firsts = sorted((r["_range"], tuple(r["k"])) for r in firsts)
+    before = [(r, k) for (r, _), (_, k) in zip(firsts, firsts[1:], strict=False)]
+    if wrap and firsts:
+        before.append((firsts[-1][0], firsts[0][1]))
+    kinds = dict(df.dtypes)
+    heads = spark.createDataFrame([(r, *k) for r, k in before], ", ".join(["_range int", *(f"_{c} {kinds[c]}" for c in order)]))
+    same = F.lit(True)
+    for c in order:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    copies = df.join(F.broadcast(heads), same).select(*columns, "_range", F.lit(1).alias("_copy"))
+    dealt = ranged(df).withColumn("_copy", F.lit(0)).unionByName(copies)
+    dealt = dealt.repartitionById(partitions, F.col("_range") % partitions).sortWithinPartitions("_range", "_copy", *order)
+
+    def walk(batches) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        kinds = to_arrow_schema(spark_schema)
-        rows = out + extra
-        return pa.RecordBatch.from_arrays([pa.array([r.get(k.name) for r in rows], k.type) for k in kinds], schema=kinds)
+        kinds = to_arrow_schema(fields)
+        kept: list[Row] = []
+        size = 0
 
-    spark_schema = spark.createDataFrame([], full).schema
+        def results(after: Row | None) -> pa.RecordBatch:
+            out = fn(kept, [*kept[1:], after])
+            return pa.RecordBatch.from_arrays([pa.array([r[k.name] for r in out], k.type) for k in kinds], schema=kinds)
 
-    def walk(batches) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        begun, kept, size = False, [], 0
         for batch in batches:
             for row in batch.to_pylist():
-                if not begun:
-                    begun = True
-                    yield results([], [{"_task": task, "_end": 0, "_row": row}])
+                if row["_copy"]:  # the end of a range; equal first rows are copied alike
+                    if kept:
+                        yield results(row)
+                    kept, size = [], 0
+                    continue
+                if kept and (kept[-1]["_range"] != row["_range"] or size >= PIECE_BYTES):
+                    yield results(row if kept[-1]["_range"] == row["_range"] else None)
+                    kept, size = [], 0
                 kept.append(row)
                 size += 4 * len(row[text] or "")
-                if size >= PIECE_BYTES and len(kept) > 1:
-                    yield results(fn(kept[:-1], kept[1:]), [])
-                    kept, size = kept[-1:], 0
         if kept:
-            yield results(fn(kept[:-1], kept[1:]) if len(kept) > 1 else [], [{"_task": task, "_end": 1, "_row": kept[-1]}])
-
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    done = scratch.save(ranged.mapInArrow(walk, full), "walked")
-
-    # Only the tasks' numbers are ordered in one place; the rows are joined to them.
-    ends = done.where("_end IS NOT NULL").select("_task", "_end", "_row")
-    tasks = ends.where("_end = 0").select("_task")
-    following = tasks.withColumn("_next", F.lead("_task").over(Window.orderBy("_task")))
-    if wrap:
-        following = following.withColumn("_next", F.coalesce("_next", F.min("_task").over(Window.partitionBy())))
-    last = ends.where("_end = 1").select("_task", F.col("_row").alias("_one"))
-    first = ends.where("_end = 0").select(F.col("_task").alias("_next"), F.col("_row").alias("_two"))
-    pairs = last.join(following, "_task").join(first, "_next", "left").select("_one", "_two")
-
-    def close(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                out = fn([row["_one"]], [row["_two"]])
-                from pyspark.sql.pandas.types import to_arrow_schema
-
-                kinds = to_arrow_schema(fields)
-                yield pa.RecordBatch.from_arrays([pa.array([r[k.name] for r in out], k.type) for k in kinds], schema=kinds)
+            yield results(None)
 
-    return done.where("_end IS NULL").select(*names).unionByName(pairs.mapInArrow(close, schema))
+    return dealt.mapInArrow(walk, schema)

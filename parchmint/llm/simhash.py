@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from parchmint.llm.arrowtext import Texts, Words, mix64, ngram_hashes
 from parchmint.llm.neighbours import with_successor
-from parchmint.llm.scratch import Scratch
 
 BITS = 128
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1)
@@ -76,9 +75,8 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     last. Equal ids are ordered by their texts' hashes, null ids come first. A null
     text counts as empty; a table with one row is its own next. An empty table gives no rows.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
-    return with_successor(scratch, rows, ["id", "tie"], "text", _compare, RESULT, wrap=True)
+    return with_successor(rows, ["id", "tie"], "text", _compare, RESULT, wrap=True)
 
 
 def within_radius(prints: DataFrame, radius: int = 3, id_col: str = "id", print_col: str = "fingerprint", queries: DataFrame | None = None, spare: int = 2) -> DataFrame:

@@ -6,7 +6,6 @@ import re
 from parchmint.llm.html_main import common_subsequence, main_text, page_lines
 from parchmint.llm.line_dedup import drop_spread_lines
 from parchmint.llm.neighbours import with_successor
-from parchmint.llm.scratch import Scratch
 from tests.llm.conftest import documents
 
 
@@ -101,5 +100,5 @@ def test_successors_with_and_without_wrap(spark):
 
     df = spark.createDataFrame([(i * 3 % 101, "t" * (i % 5)) for i in range(101)], "id long, text string")
     for wrap, last in ((False, None), (True, 0)):
-        got = {r.id: r.next for r in with_successor(Scratch(spark, "t"), df, ["id"], "text", pair, "id long, next long", wrap).collect()}
+        got = {r.id: r.next for r in with_successor(df, ["id"], "text", pair, "id long, next long", wrap).collect()}
         assert got == {i: i + 1 if i < 100 else last for i in range(101)}
