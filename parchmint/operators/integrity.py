@@ -16,7 +16,7 @@ def manifest_json(files: DataFrame, version: str, url: str, exclude: DataFrame |
     A manifest lists a release's files, so it is one value by nature.
     """
     if exclude is not None:
-        files = files.join(F.broadcast(exclude), "path", "left_anti")
+        files = files.join(exclude, "path", "left_anti")
     entries = F.array_sort(F.collect_list(F.struct("path", "sha256")))
     lines = F.transform(entries, lambda e: F.concat(F.lit("    "), F.to_json(F.struct(e["path"].alias("p"))).substr(F.lit(6), F.length(F.to_json(F.struct(e["path"].alias("p")))) - 6), F.lit(': "'), e["sha256"], F.lit('"')))
     head = f'{{\n  "version": "{version}",\n  "releaseUrl": "{url}",\n  "algorithm": "SHA-256",\n  "files": {{\n'

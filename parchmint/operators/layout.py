@@ -66,6 +66,16 @@ def modal_height(items: DataFrame, keys: Keys = PAGE, order: str = "item_idx") -
     return counts.groupBy(*keys).agg(F.coalesce(best, F.lit(10.5)).alias("modal_h"))
 
 
+def with_modal_height(items: DataFrame, keys: Keys = PAGE, order: str = "item_idx") -> DataFrame:
+    """Items with modal_h of their page: the same rule over windows, so the items are shuffled and read once."""
+    fits = F.col("height").between(6, 18)
+    step = F.when(fits, F.floor(F.col("height") * 2 + F.lit(0.5)) / F.lit(2.0))
+    alike, page = Window.partitionBy(*keys, "_k"), Window.partitionBy(*keys)
+    counted = items.withColumn("_k", step).withColumns({"_n": F.count("*").over(alike), "_first": F.min(order).over(alike)})
+    rank = F.when(F.col("_k").isNotNull(), F.struct(F.col("_n"), (-F.col("_first")).alias("_f")))
+    return counted.withColumn("modal_h", F.coalesce(F.max_by("_k", rank).over(page), F.lit(10.5))).drop("_k", "_n", "_first")
+
+
 def number_lines(items: DataFrame, keys: Keys = PAGE) -> DataFrame:
     """Adds line_no (from 0) and ord to items with modal_h: a new line where y falls by more than half of it from the previous item."""
     w = Window.partitionBy(*keys).orderBy(F.desc("y"), "x", "item_idx")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchmint.functions.text import heading_level
-from parchmint.operators.layout import PAGE, line_table, modal_height, number_lines, reading_order
+from parchmint.operators.layout import PAGE, line_table, number_lines, reading_order, with_modal_height
 from parchmint.options import COMPOUND_PREFIXES, ConvertOptions
 
 SPACES = "\t\n\x0b\x0c\r                  　﻿"
@@ -208,8 +208,7 @@ def page_markdown(lines: Sequence[Line], modal: float, extended: bool = True, hy
 def lines_of_items(items: DataFrame, options: ConvertOptions, keys: Sequence[str] = PAGE) -> DataFrame:
     """Lines of positioned items (with page_width and page_height), each with its heading level."""
     ordered = reading_order(items, keys=keys, respect_columns=options.respect_columns)
-    modal = modal_height(ordered, keys, "read_pos")
-    lines = line_table(number_lines(ordered.join(modal, list(keys)), keys), keys)
+    lines = line_table(number_lines(with_modal_height(ordered, keys, "read_pos"), keys), keys)
     return lines.withColumn("level", heading_level(F.col("text"), F.col("h"), F.col("modal_h")))
 
 

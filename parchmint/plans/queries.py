@@ -49,8 +49,7 @@ def lit(s: str) -> str:
 
 def _lines(source: DataFrame) -> DataFrame:
     body = layout.strip_margins(source, F.lit(792.0))
-    modal = layout.modal_height(body)
-    lines = layout.line_table(layout.number_lines(body.join(modal, list(layout.PAGE))))
+    lines = layout.line_table(layout.number_lines(layout.with_modal_height(body)))
     return lines.withColumn("level", T.heading_level(F.col("text"), F.col("h"), F.col("modal_h")))
 
 
@@ -235,7 +234,7 @@ def modal_height(spark, d):
 @query("lines_gaps_islands", ITEM_LINES + " SELECT doc_id, item_idx, ln AS line_no FROM numbered")
 def lines_gaps_islands(spark, d):
     body = layout.strip_margins(items(spark, d), F.lit(792.0))
-    return layout.number_lines(body.join(layout.modal_height(body), list(layout.PAGE))).select("doc_id", "item_idx", "line_no")
+    return layout.number_lines(layout.with_modal_height(body)).select("doc_id", "item_idx", "line_no")
 
 
 @query("line_stats", ITEM_LINES + " SELECT doc_id, ln AS line_no, y, x0, h, text, n_items FROM lines")
