@@ -7,14 +7,17 @@ over words. Nulls read as empty texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that the array operations work on at once; bounds a task's memory.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
+#: Bytes of a batch between the JVM and Python, in place of Spark's much larger default.
+BATCH_BYTES = 8 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -158,3 +161,72 @@ def row_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     if len(full):
         out[full] = np.add.reduceat(values, at[full], axis=0)
     return out
+
+
+class Recent(dict):
+    """Results by key, at most about ``limit`` of them.
+
+    When more would be held, only those that the current batch wants stay: keys that
+    every batch wants live on, the long tail is made anew when it comes again.
+    """
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit = limit
+
+    def missing(self, wanted: set) -> set:
+        """The keys whose results are not held; the others are, until the next call."""
+        need = wanted.difference(self)
+        if len(self) + len(need) > self.limit:
+            kept = {k: self[k] for k in wanted.intersection(self)}
+            self.clear()
+            self.update(kept)
+        return need
+
+
+def bounded_batches(spark) -> None:
+    """Let the session's Arrow batches hold ``BATCH_BYTES`` at most; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = (spark.conf.get(name, None) or "0").lower().rstrip("b")
+    scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(held[-1:], 1)
+    if not 0 < int(held.rstrip("kmg") or 0) * scale <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+_caches: list[dict] = []
+_user = ""
+
+
+def keep_cache(cache: dict) -> dict:
+    """Name a worker's cache that goes when another operator's tasks come to the worker."""
+    _caches.append(cache)
+    return cache
+
+
+def tidied(name: str) -> Callable:
+    """For a function over batches: other operators' caches go before it, unused memory goes back after it."""
+
+    def wrap(fn: Callable) -> Callable:
+        def run(batches):
+            global _user
+            if _user != name:
+                _user = name
+                for cache in _caches:
+                    cache.clear()
+                release()
+            try:
+                yield from fn(batches)
+            finally:
+                release()
+
+        return run
+
+    return wrap
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        pass

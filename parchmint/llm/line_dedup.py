@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parchmint.llm.arrowtext import bounded_batches, tidied
 from parchmint.llm.scratch import Scratch
 
 MIN_SITES = 5
@@ -44,6 +45,7 @@ def drop_spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kept as they are; columns named n_lines or n_removed are replaced.
     """
     scratch = Scratch(docs.sparkSession, "lines")
+    bounded_batches(docs.sparkSession)
     docs = docs.drop("n_lines", "n_removed")
     split = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(site_col).cast("string").alias("site"), F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
     h1, h2 = line_hashes(F.col("line"))
@@ -65,6 +67,7 @@ def drop_spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     schema = StructType([*kinds, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
 
+    @tidied("line_dedup")
     def rebuild(batches):
         for batch in batches:
             texts, counts, drops = [], [], []

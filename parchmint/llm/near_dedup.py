@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.arrowtext import Texts, Words, mix64, ngram_hashes, pieces
+from parchmint.llm.arrowtext import Texts, Words, bounded_batches, mix64, ngram_hashes, pieces, tidied
 from parchmint.llm.components import connected_components
 from parchmint.llm.scratch import Scratch
 
@@ -61,6 +61,7 @@ def least_matches(threshold: float, miss: float) -> list[int]:
 
 
 def _sketcher(size: int):
+    @tidied("near_dedup")
     def sketch(batches):
         for whole in batches:
             for batch in pieces(whole, "text"):
@@ -96,6 +97,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return key
 
 
+@tidied("near_dedup")
 def _bands(batches):
     for batch in batches:
         if not batch.num_rows:
@@ -129,6 +131,7 @@ def _fits(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 def _pruner(percent: int, miss: float):
     least = least_matches(percent / 100, miss)
 
+    @tidied("near_dedup")
     def prune(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -217,6 +220,7 @@ def _confirmer(size: int, percent: int):
         h, at = shingles(column, size)
         return [np.unique(h[at[i] : at[i + 1]]) for i in range(len(at) - 1)]
 
+    @tidied("near_dedup")
     def confirm(batches):
         held: tuple[int | None, str | None, np.ndarray | None] = (None, None, None)  # a hub's rows follow each other
         for whole in batches:
@@ -245,6 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
+    bounded_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = scratch.save(source.mapInArrow(_sketcher(shingle), "id long, n long, digest binary, signature binary"), "sketch")
     known = sketch.where("digest IS NOT NULL AND id IS NOT NULL")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.arrowtext import PIECE_BYTES
+from parchmint.llm.arrowtext import PIECE_BYTES, bounded_batches, tidied
 
 Row = dict
 #: fn(rows, following): the results of rows, each of which is followed by the row at its place in ``following`` (None: by nothing).
@@ -43,6 +43,7 @@ def with_successor(df: DataFrame, order: list[str], text: str, fn: Pairer, schem
     would differ; null keys come first.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     cuts = _cuts(df.select(*order), order, partitions)
     columns = df.columns
@@ -72,6 +73,7 @@ def with_successor(df: DataFrame, order: list[str], text: str, fn: Pairer, schem
     dealt = ranged(df).withColumn("_copy", F.lit(0)).unionByName(copies)
     dealt = dealt.repartitionById(partitions, F.col("_range") % partitions).sortWithinPartitions("_range", "_copy", *order)
 
+    @tidied("neighbours")
     def walk(batches) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 

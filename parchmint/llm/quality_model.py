@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.arrowtext import Texts, Words, mix64, pieces, powers, row_sums
+from parchmint.llm.arrowtext import Texts, Words, bounded_batches, mix64, pieces, powers, row_sums, tidied
 from parchmint.llm.labelled import labelled_sample
 
 #: Most labelled rows that a fit reads.
@@ -161,10 +161,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     model = fit(labelled_sample(docs, labels, sample_rows, open_))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidied("quality_model")
     def score(batches):
         for whole in batches:
             for batch in pieces(whole, "text"):
                 p = scores(batch.column("text"), shared.value) if shared.value else np.full(batch.num_rows, 0.5)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(held_out(batch.column("id"))), pa.array(p.astype(np.float64)), pa.array((p >= GOOD_AT).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(score, "id long, held_out boolean, score double, predicted int")

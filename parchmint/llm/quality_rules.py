@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.arrowtext import BLANKS, Texts, Words, as_texts, mix64, ngram_hashes, pieces
+from parchmint.llm.arrowtext import BLANKS, Texts, Words, as_texts, bounded_batches, mix64, ngram_hashes, pieces, tidied
 from parchmint.llm.labelled import labelled_sample
 
 #: Most labelled rows that a fit reads.
-SAMPLE_ROWS = 2500
+SAMPLE_ROWS = 1500
 BUCKETS = 1 << 18
 #: Fixed thresholds.
 LEAST_WORDS, MOST_REPEATED_PERCENT, KEEP_AT = 20, 30, 0.5
@@ -96,37 +96,39 @@ def fit(sample: pa.Table, rounds: int = 60, decay: float = 1e-4) -> dict | None:
     y = np.array(sample.column("label").to_pylist(), np.float64)
     if len(np.unique(y)) < 2:
         return None
-    rows_, cols, vals = [], [], []
-    for start in range(0, len(y), 200):
-        part = sample.slice(start, 200)
-        column = part.column("text").combine_chunks()
-        for kind, (bucket, at) in enumerate(ngrams(column)):
-            row = np.repeat(np.arange(len(part)), np.diff(at))
-            key, count = np.unique(row.astype(np.int64) * BUCKETS + bucket, return_counts=True)
-            r = key // BUCKETS
-            rows_.append(r + start)
-            cols.append(key % BUCKETS + kind * BUCKETS)
-            vals.append(count / np.maximum(np.diff(at), 1)[r])
-    order = np.argsort(np.concatenate(rows_), kind="stable")
-    row, col, val = (np.concatenate(x)[order] for x in (rows_, cols, vals))
     held = np.arange(len(y)) % 3 == 0
     if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
         held[:] = False
-    learn = ~held[row]
+    parts = {False: ([], [], []), True: ([], [], [])}
+    for start in range(0, len(y), 100):
+        part = sample.slice(start, 100)
+        for kind, (bucket, at) in enumerate(ngrams(part.column("text").combine_chunks())):
+            row = np.repeat(np.arange(len(part)), np.diff(at))
+            key, count = np.unique(row.astype(np.int64) * BUCKETS + bucket, return_counts=True)
+            r = (key // BUCKETS).astype(np.int32)
+            share = (count / np.maximum(np.diff(at), 1)[r]).astype(np.float32)
+            for out, ours in ((parts[h], held[r + start] == h) for h in (False, True)):
+                out[0].append(r[ours] + np.int32(start))
+                out[1].append((key[ours] % BUCKETS + kind * BUCKETS).astype(np.int32))
+                out[2].append(share[ours])
+    (row, col, val), (hrow, hcol, hval) = (tuple(map(np.concatenate, parts[h])) for h in (False, True))
+    parts.clear()
     size = 4 * BUCKETS
     w, b = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) * ~held
-    lrow, lcol, lval = row[learn], col[learn], val[learn]
     for t in range(1, rounds + 1):
-        z = np.bincount(lrow, lval * w[lcol], len(y)) + b
+        z = np.bincount(row, val * w[col], len(y)) + b
         g = (sigmoid(z) - y) * weight / weight.sum()
-        grad = np.bincount(lcol, lval * g[lrow], size) + decay * w
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+        grad = np.bincount(col, val * g[row], size) + decay * w
+        m *= 0.9
+        m += 0.1 * grad
+        v *= 0.99
+        v += 0.01 * grad**2
         mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.99 * vb + 0.01 * g.sum() ** 2
         w -= 0.5 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9) * (v > 0)
         b -= 0.1 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-9)
-    z = np.bincount(row, val * w[col], len(y)) + b
+    z = np.bincount(row, val * w[col], len(y)) + np.bincount(hrow, hval * w[hcol], len(y)) + b
     use = held if held.any() else np.ones(len(y), bool)
     slope, shift = calibrate(z[use], y[use])
     return {"weights": w.astype(np.float32), "intercept": float(b), "slope": slope, "shift": shift}
@@ -174,6 +176,7 @@ def quality_rules(docs: DataFrame, training: DataFrame, labels: DataFrame, id_co
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept_names = [f"c_{c}" for c in beside] + ["text"] * (text_col in carry)
 
+    @tidied("quality_rules")
     def score(batches):
         for whole in batches:
             for batch in pieces(whole, "text"):
@@ -187,6 +190,7 @@ def quality_rules(docs: DataFrame, training: DataFrame, labels: DataFrame, id_co
 
     kinds = dict(chosen.dtypes)
     schema = ", ".join([f"id {kinds['id']}", *(f"`{c}` {kinds[c]}" for c in kept_names), RESULT])
+    bounded_batches(docs.sparkSession)
     scored = chosen.mapInArrow(score, schema)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= KEEP_AT))
