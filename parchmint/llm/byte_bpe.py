@@ -21,10 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.arrowtext import as_texts, pieces
+from parchmint.llm.arrowtext import Recent, as_texts, bounded_batches, keep_cache, pieces, tidied
 
-#: Pieces, and transducer moves, that a worker keeps before it starts afresh.
-CACHE_PIECES = 250_000
+#: Pieces that a worker's cache holds; moves that it keeps before it starts afresh.
+CACHE_PIECES = 350_000
 CACHE_MOVES = 600_000
 _END = 256
 _FAR = 1 << 60
@@ -53,7 +53,7 @@ class ByteBpe:
                 node = below
             self.token[node] = rank
         self._restart()
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces = Recent(CACHE_PIECES)
 
     def _restart(self) -> None:
         #: A state: per open prefix, its tokens not yet emitted, its last token (-1: none) and the trie node of the bytes after it.
@@ -147,11 +147,7 @@ class ByteBpe:
         """Tokens of a text, each match of the pattern by itself."""
         found = self.pattern.findall(text)
         pieces = self.pieces
-        new = set(found).difference(pieces)
-        if len(pieces) + len(new) > CACHE_PIECES:
-            pieces.clear()
-            new = set(found)
-        for piece in new:
+        for piece in pieces.missing(set(found)):
             pieces[piece] = self.encode_piece(piece.encode("utf-8", "surrogatepass"))
         out: list[int] = []
         for ids in map(pieces.__getitem__, found):
@@ -201,7 +197,7 @@ class Utf8Machine:
         return codecs.decode(rest, "utf-8", "replace")
 
 
-_models: dict[tuple[str, str], ByteBpe] = {}
+_models: dict[tuple[str, str], ByteBpe] = keep_cache({})
 
 
 def model(path: str, pattern: str) -> ByteBpe:
@@ -219,6 +215,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     ids give a row each; an empty table gives none.
     """
 
+    @tidied("byte_bpe")
     def code(batches):
         bpe = model(path, pattern)
         for whole in batches:
@@ -234,4 +231,5 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                     text_hash.append(digest.hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(code, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

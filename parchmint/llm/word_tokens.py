@@ -14,22 +14,25 @@ from __future__ import annotations
 
 import bisect
 import json
+import os
+import struct
 import unicodedata
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.arrowtext import as_texts, pieces
+from parchmint.llm.arrowtext import Recent, as_texts, bounded_batches, keep_cache, pieces, tidied
 
-#: Chunks that a worker's cache holds before it starts afresh.
-CACHE_CHUNKS = 300_000
+#: Chunks, and words, that a worker's caches hold: ids take more room than counts.
+CACHE_IDS, CACHE_CHUNKS = 250_000, 500_000
 _tokenizers: dict[str, object] = {}
-_encoders: dict[str, ChunkIds] = {}
-_counters: dict[str, PrefixCounter] = {}
+_encoders: dict[str, ChunkIds] = keep_cache({})
+_counters: dict[str, PrefixCounter] = keep_cache({})
+#: Marks that end many words and are words by themselves.
+_POINTS = frozenset(".,;:!?")
 #: Rank and parts of a symbol that no merge makes.
 _BASE = (-1, "", "")
 
@@ -37,6 +40,7 @@ _BASE = (-1, "", "")
 def tokenizer(path: str):
     """The library's tokenizer for a file; loaded once in a worker, without truncation or padding."""
     if path not in _tokenizers:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         found = Tokenizer.from_file(path)
@@ -51,11 +55,19 @@ def chunks(text: str) -> list[str]:
 
 
 class ChunkIds:
-    """Little-endian 32-bit ids of chunks, encoded in one call for all new ones of a batch."""
+    """Little-endian 32-bit ids of chunks, encoded in one call for all new words of a batch.
+
+    New chunks are split into words as the file splits them, and the library's merges run
+    over the words that are new; chunks that need more than that go to it whole.
+    """
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         self.tokenizer = tokenizer(path)
-        self.cache: dict[str, bytes] = {"": b""}
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.model = WordEnd(path)
+        self.cache, self.words = Recent(CACHE_IDS), Recent(CACHE_IDS)
 
     @classmethod
     def of(cls, path: str) -> ChunkIds:
@@ -65,12 +77,18 @@ class ChunkIds:
         return _encoders[path]
 
     def learn(self, texts: list[list[str]]) -> None:
-        new = list(set().union(*texts).difference(self.cache))
-        if len(self.cache) + len(new) > CACHE_CHUNKS:
-            self.cache = {"": b""}
-            new = list(set().union(*texts).difference(self.cache))
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.cache[c] = np.array(e.ids, "<u4").tobytes()
+        new = self.cache.missing(set().union(*texts))
+        split = self.model.split_all(new)
+        words = list(self.words.missing(set().union(*split.values()) if split else set()))
+        for w, e in zip(words, self.merges.encode_batch_fast(list(map(self.model.spelling, words)), add_special_tokens=False), strict=True):
+            ids = e.ids
+            self.words[w] = struct.pack(f"<{len(ids)}I", *ids)
+        known, cache = self.words, self.cache
+        for c, parts in split.items():
+            cache[c] = known[parts[0]] if len(parts) == 1 else b"".join([known[w] for w in parts])
+        rest = list(new.difference(split))
+        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            cache[c] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         parts = [chunks(t) for t in texts]
@@ -97,16 +115,23 @@ class WordEnd:
         split = next(p for p in read["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(split["pattern"]["Regex"])
         self.specials = [t["content"] for t in read["added_tokens"]]
-        self.longest = max(map(len, self.vocab))
+        self.marks = {t[0] for t in self.specials}
+        #: The most letters of an open and of a closing symbol that ends with three given letters; others have two at most.
+        self.reach: dict[str, int] = {}
+        self.reach_end: dict[str, int] = {}
+        for symbol in self.vocab:
+            reach, letters = (self.reach_end, symbol[: -len(self.end)]) if symbol.endswith(self.end) else (self.reach, symbol)
+            reach[letters[-3:]] = max(reach.get(letters[-3:], 2), len(letters))
         self.fits: dict[tuple[str, str], bool] = {}
         self.alone: dict[str, bool] = {}
         codes = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in codes]
         self.letters = {b: chr(b) for b in codes} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.totals: dict[str, int] = {}
+        self.totals = Recent(CACHE_CHUNKS)
 
-    def symbols(self, text: str) -> list[str]:
-        return [self.letters[b] for b in text.encode()]
+    def spelling(self, word: str) -> str:
+        """A word's bytes in the vocabulary's letters."""
+        return word if word.isascii() and word.isalnum() else "".join(map(self.letters.__getitem__, word.encode()))
 
     def merge(self, parts: list[str]) -> list[str]:
         """The encoding of a list of symbols, by the least rank and then the leftmost pair."""
@@ -146,7 +171,7 @@ class WordEnd:
         """Whether two symbols stay apart when their letters are encoded together."""
         found = self.fits.get((one, two))
         if found is None:
-            if len(self.fits) > CACHE_CHUNKS:
+            if len(self.fits) > 2 * CACHE_CHUNKS:
                 self.fits.clear()
             found = self.fits[one, two] = self.apart(one, two, 1 << 60)
         return found
@@ -167,9 +192,10 @@ class WordEnd:
         Entry i has, for the first i letters within a longer word, the last symbol
         of their encoding and the number of its symbols.
         """
-        vocab, alone, fits, longest = self.vocab, self.alone, self.fits, self.longest
+        vocab, alone, fits, reach = self.vocab, self.alone, self.fits, self.reach
         for i in range(len(last), len(letters) + 1):
-            for k in range(i - longest if i > longest else 0, i):
+            first = i - reach.get(letters[i - 3 : i], 2) if i > 3 else 0
+            for k in range(first if first > 0 else 0, i):
                 symbol = letters[k:i]
                 if symbol in vocab and (symbol in alone or self.whole(symbol)) and (k == 0 or fits.get((last[k], symbol)) or self.fit(last[k], symbol)):
                     last.append(symbol)
@@ -180,7 +206,7 @@ class WordEnd:
 
     def close(self, letters: str, i: int, last: list[str], inner: list[int]) -> int:
         """Tokens of the first i letters as a word of their own: one step from the table."""
-        for k in range(max(0, i - self.longest), i):
+        for k in range(max(0, i - self.reach_end.get(letters[i - 3 : i], 2)) if i > 3 else 0, i):
             symbol = letters[k:i] + self.end
             if symbol in self.vocab and self.whole(symbol) and (k == 0 or self.fit(last[k], symbol)):
                 return inner[k] + 1
@@ -190,17 +216,15 @@ class WordEnd:
 
     def counts(self, word: str) -> list[int]:
         """Tokens of each prefix (in bytes) of a word, each taken as a word of its own; the first is 0."""
-        letters = "".join(self.symbols(word))
+        letters = self.spelling(word)
         last, inner = [""], [0]
         self.extend(letters, last, inner)
         return [self.close(letters, i, last, inner) for i in range(len(letters) + 1)]
 
     def learn(self, words: set[str]) -> None:
         """Totals of new words; in sorted order each keeps the part of the table that its prefix shares."""
-        if len(self.totals) + len(words) > CACHE_CHUNKS:
-            self.totals.clear()
         before, last, inner = "", [""], [0]
-        for word, letters in sorted((w, "".join(self.symbols(w))) for w in words if w not in self.totals):
+        for word, letters in sorted((w, self.spelling(w)) for w in self.totals.missing(words)):
             same = 0
             for x, y in zip(before, letters, strict=False):
                 if x != y:
@@ -211,10 +235,27 @@ class WordEnd:
             self.totals[word] = self.close(letters, len(letters), last, inner)
             before = letters
 
-    def words(self, chunk: str) -> list[str]:
-        """The words of a chunk without special strings, as the vocabulary's file normalises and splits it."""
-        clean = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).lower()
-        return self.split.findall(clean)
+    def split_all(self, chunks: set[str]) -> dict[str, list[str]]:
+        """Words of chunks as the vocabulary's file normalises and splits them.
+
+        Left out are chunks with special strings, and those of scripts whose case and
+        composition differ between Unicode versions.
+        """
+        out, find, marks = {}, self.split.findall, self.marks
+        for c in chunks:
+            if c.isascii():
+                clean = c.lower()
+            elif max(c) < "\u0180":
+                clean = unicodedata.normalize("NFC", c).lower()
+            else:
+                continue
+            if clean.isalpha():
+                out[c] = [clean]
+            elif clean[-1:] in _POINTS and clean[:-1].isalpha():
+                out[c] = [clean[:-1], clean[-1]]
+            elif marks.isdisjoint(c) or not any(s in c for s in self.specials):
+                out[c] = find(clean)
+        return out
 
 
 class PrefixCounter:
@@ -226,7 +267,7 @@ class PrefixCounter:
 
     def __init__(self, path: str):
         self.model = WordEnd(path)
-        self.cache: dict[str, int] = {"": 0}
+        self.cache = Recent(CACHE_CHUNKS)
         self.tokenizer = tokenizer(path)
 
     @classmethod
@@ -236,16 +277,9 @@ class PrefixCounter:
             _counters[path] = cls(path)
         return _counters[path]
 
-    def _plain(self, chunk: str) -> bool:
-        """Not so: special strings, and scripts whose case and composition differ between Unicode versions."""
-        return (chunk.isascii() or max(chunk) < "\u0180") and not any(s in chunk for s in self.model.specials)
-
     def learn(self, texts: list[list[str]]) -> None:
-        new = set().union(*texts).difference(self.cache)
-        if len(self.cache) + len(new) > CACHE_CHUNKS:
-            self.cache = {"": 0}
-            new = set().union(*texts).difference(self.cache)
-        plain = {c: self.model.words(c) for c in new if self._plain(c)}
+        new = self.cache.missing(set().union(*texts))
+        plain = self.model.split_all(new)
         self.model.learn(set().union(*plain.values()) if plain else set())
         totals = self.model.totals
         self.cache.update((c, sum([totals[w] for w in words])) for c, words in plain.items())
@@ -303,12 +337,14 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     tokens. Repeated rows and null ids give a row each; an empty table gives none.
     """
 
+    @tidied("token_counts")
     def count(batches):
         counter = PrefixCounter.of(path)
         for whole in batches:
-            for batch in pieces(whole, "text", 8 << 20):
+            for batch in pieces(whole, "text", 4 << 20):
                 texts = as_texts(batch, "text")
                 sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("id"), sizes, pa.array(counter.totals(texts), pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(count, "id long, n_bytes long, n_tokens long")
