@@ -18,7 +18,9 @@ from parchmint.llm.arrowtext import BLANKS, Texts, Words, as_texts, bounded_batc
 from parchmint.llm.labelled import labelled_sample
 
 #: Most labelled rows that a fit reads.
-SAMPLE_ROWS = 1500
+SAMPLE_ROWS = 2500
+#: Rows whose n-grams are counted at once, and rows of a stored part of the sample; a round of the fit reads part after part.
+COUNTED_ROWS, PART_ROWS = 100, 500
 BUCKETS = 1 << 18
 #: Fixed thresholds.
 LEAST_WORDS, MOST_REPEATED_PERCENT, KEEP_AT = 20, 30, 0.5
@@ -99,28 +101,40 @@ def fit(sample: pa.Table, rounds: int = 60, decay: float = 1e-4) -> dict | None:
     held = np.arange(len(y)) % 3 == 0
     if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
         held[:] = False
-    parts = {False: ([], [], []), True: ([], [], [])}
-    for start in range(0, len(y), 100):
-        part = sample.slice(start, 100)
-        for kind, (bucket, at) in enumerate(ngrams(part.column("text").combine_chunks())):
-            row = np.repeat(np.arange(len(part)), np.diff(at))
-            key, count = np.unique(row.astype(np.int64) * BUCKETS + bucket, return_counts=True)
-            r = (key // BUCKETS).astype(np.int32)
-            share = (count / np.maximum(np.diff(at), 1)[r]).astype(np.float32)
-            for out, ours in ((parts[h], held[r + start] == h) for h in (False, True)):
-                out[0].append(r[ours] + np.int32(start))
-                out[1].append((key[ours] % BUCKETS + kind * BUCKETS).astype(np.int32))
-                out[2].append(share[ours])
-    (row, col, val), (hrow, hcol, hval) = (tuple(map(np.concatenate, parts[h])) for h in (False, True))
-    parts.clear()
+    parts: list[tuple] = []  # of rows that the fit sees: row, column, share
+    unseen: list[tuple] = []
+    for first in range(0, len(y), PART_ROWS):
+        found = {False: ([], [], []), True: ([], [], [])}
+        for start in range(first, min(first + PART_ROWS, len(y)), COUNTED_ROWS):
+            part = sample.slice(start, min(COUNTED_ROWS, first + PART_ROWS - start))
+            for kind, (bucket, at) in enumerate(ngrams(part.column("text").combine_chunks())):
+                row = np.repeat(np.arange(len(part)), np.diff(at))
+                key, count = np.unique(row.astype(np.int64) * BUCKETS + bucket, return_counts=True)
+                r = (key // BUCKETS).astype(np.int32)
+                share = (count / np.maximum(np.diff(at), 1)[r]).astype(np.float32)
+                for out, ours in ((found[h], held[r + start] == h) for h in (False, True)):
+                    out[0].append(r[ours] + np.int32(start))
+                    out[1].append((key[ours] % BUCKETS + kind * BUCKETS).astype(np.int32))
+                    out[2].append(share[ours])
+        parts.append(tuple(map(np.concatenate, found[False])))
+        unseen.append(tuple(map(np.concatenate, found[True])))
     size = 4 * BUCKETS
     w, b = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
+
+    def sums(of: list[tuple], w: np.ndarray) -> np.ndarray:
+        z = np.zeros(len(y))
+        for row, col, val in of:
+            z += np.bincount(row, val * w[col], len(y))
+        return z
+
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) * ~held
     for t in range(1, rounds + 1):
-        z = np.bincount(row, val * w[col], len(y)) + b
+        z = sums(parts, w) + b
         g = (sigmoid(z) - y) * weight / weight.sum()
-        grad = np.bincount(col, val * g[row], size) + decay * w
+        grad = decay * w
+        for row, col, val in parts:
+            grad += np.bincount(col, val * g[row], size)
         m *= 0.9
         m += 0.1 * grad
         v *= 0.99
@@ -128,7 +142,7 @@ def fit(sample: pa.Table, rounds: int = 60, decay: float = 1e-4) -> dict | None:
         mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.99 * vb + 0.01 * g.sum() ** 2
         w -= 0.5 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9) * (v > 0)
         b -= 0.1 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-9)
-    z = np.bincount(row, val * w[col], len(y)) + np.bincount(hrow, hval * w[hcol], len(y)) + b
+    z = sums(parts, w) + sums(unseen, w) + b
     use = held if held.any() else np.ones(len(y), bool)
     slope, shift = calibrate(z[use], y[use])
     return {"weights": w.astype(np.float32), "intercept": float(b), "slope": slope, "shift": shift}

@@ -99,3 +99,22 @@ def test_pooling_does_not_depend_on_the_batch():
     whole = quality_model.pooled(pa.array(texts), vectors)
     for i, t in enumerate(texts):
         assert np.allclose(whole[i], quality_model.pooled(pa.array([t], pa.string()), vectors)[0], atol=1e-5)
+
+
+def test_the_fit_reads_2500_labelled_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_rules, "fit", lambda sample: seen.append(sample.num_rows))
+    docs = spark.range(2600).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    quality_rules.quality_rules(docs, docs, docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS quality"))
+    assert seen == [2500]
+
+
+def test_parts_of_the_sample_fit_as_the_whole(monkeypatch):
+    rng = random.Random(9)
+    text = [" ".join(rng.choice(["good", "fine", "well"] if i % 2 else ["spam", "win", "cash"]) + str(rng.randrange(30)) for _ in range(12)) for i in range(230)]
+    sample = pa.table({"id": range(230), "text": text, "label": [i % 2 for i in range(230)]})
+    monkeypatch.setattr(quality_rules, "PART_ROWS", 1000)
+    whole = quality_rules.fit(sample)
+    monkeypatch.setattr(quality_rules, "PART_ROWS", 70)
+    parts = quality_rules.fit(sample)
+    assert np.allclose(whole["weights"], parts["weights"], atol=1e-4) and abs(whole["slope"] - parts["slope"]) < 1e-3 * abs(whole["slope"])
