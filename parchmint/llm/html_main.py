@@ -3,23 +3,24 @@
 A page is cut into blocks at block-level tags; scripts, styles, comments and
 markup go, references are decoded. Elements that name themselves as menus,
 headers, footers, sidebars, notices, adverts, forms or comments are furniture.
-Pages are ordered by host and path, so each is paired with the nearest
-URL of its host; lines of the two are aligned by longest common subsequence and
-shared lines deleted. A block inside the article element is kept even when it
-is shared: two pages that quote one passage share it too, and it is no
-furniture. So are the lines of pages that are copies of each other.
+Pages are ordered by host and path, so each is compared with the nearest
+URLs of its host, of which copies are passed over; lines of the two are aligned by
+longest common subsequence and, where no article is marked, shared lines deleted. A
+block inside a marked article is kept even when it is shared: two pages that quote one
+passage share it too, and it is no furniture.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 from html import unescape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.neighbours import with_successor
+from parchmint.llm.neighbours import with_neighbours
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -141,43 +142,82 @@ def common_subsequence(one: list[str], two: list[str]) -> set[int]:
     return out
 
 
-def main_lines(own: list[Line], other: list[Line] | None) -> tuple[list[str], int]:
-    """The lines that stay, and how many the comparison with another page deleted."""
-    best = max((level for _, level, furniture in own if not furniture), default=0)
-    shared: set[int] = set()
-    if other is not None:
-        open_ = [i for i, (_, level, _) in enumerate(own) if not (best and level >= best)]
-        top = max((level for _, level, furniture in other if not furniture), default=0)
-        theirs = [text for text, level, _ in other if not (top and level >= top)]
-        found = {open_[k] for k in common_subsequence([own[i][0] for i in open_], theirs)}
-        whole = sum(len(own[i][0]) for i in open_)
-        if best or sum(len(own[i][0]) for i in found) < COPY_SHARE * whole:
-            shared = found
+def _body(lines: list[Line]) -> int:
+    """The level of the lines of a page's article; 0 where none is marked."""
+    return max((level for _, level, furniture in lines if not furniture), default=0)
+
+
+def _others(own: list[Line], before: list[list[Line]], after: list[list[Line]]) -> list[list[Line]]:
+    """The pages on either side, nearest first and the later of two first, without copies of the page or of each other."""
+    seen, out = {tuple(text for text, _, _ in own)}, []
+    for k in range(max(len(before), len(after))):
+        for page in after[k : k + 1] + before[k : k + 1]:
+            texts = tuple(text for text, _, _ in page)
+            if texts not in seen:
+                seen.add(texts)
+                out.append(page)
+    return out
+
+
+def _unmarked_shared(own: list[Line], others: list[list[Line]]) -> set[int]:
+    """Lines that a page without a marked article shares with the nearest page that is no near copy of it.
+
+    Where all pages nearby are near copies, as short texts under large menus look, the lines
+    that it shares with all of them go, if there are two at least and something stays.
+    """
+    texts = [text for text, _, _ in own]
+    whole = sum(map(len, texts))
+    common = set(range(len(own)))
+    for other in others:
+        top = _body(other)
+        found = common_subsequence(texts, [text for text, level, _ in other if not (top and level >= top)])
+        if sum(len(texts[i]) for i in found) < COPY_SHARE * whole:
+            return found
+        common &= found
+    left = any(not furniture for i, (_, _, furniture) in enumerate(own) if i not in common)
+    return common if len(others) > 1 and left else set()
+
+
+def _outside_shared(own: list[Line], others: list[list[Line]], best: int) -> set[int]:
+    """Lines outside a marked article that stand on the nearest other page too; they are left out with all else outside it."""
+    if not others:
+        return set()
+    outside = [i for i, (_, level, _) in enumerate(own) if level < best]
+    top = _body(others[0])
+    return {outside[k] for k in common_subsequence([own[i][0] for i in outside], [text for text, level, _ in others[0] if not (top and level >= top)])}
+
+
+def main_lines(own: list[Line], before: list[list[Line]], after: list[list[Line]]) -> tuple[list[str], int]:
+    """The lines that stay, and how many the comparison with other pages of the host deleted."""
+    best = _body(own)
+    others = _others(own, before, after)
+    shared = _outside_shared(own, others, best) if best else _unmarked_shared(own, others)
     kept = [text for i, (text, level, furniture) in enumerate(own) if not furniture and level >= best and i not in shared]
     return kept, len(shared)
 
 
-def _extract(rows: list[dict], following: list[dict | None]) -> list[dict]:
-    parsed = [page_lines(r["html"] or "") for r in rows]
-    tail = page_lines(following[-1]["html"] or "") if following[-1] else []
-    out = []
-    for i, (row, after) in enumerate(zip(rows, following, strict=True)):
-        near = (parsed[i + 1] if i + 1 < len(rows) else tail) if after and row["host"] and after["host"] == row["host"] else None
-        kept, shared = main_lines(parsed[i], near)
-        text = " ".join(kept)
-        out.append({"id": row["id"], "url": row["url"], "text": text, "n_chars": len(text), "n_shared": shared})
-    return out
+def _extract(rows: list[dict], own: list[Line], before: list[list[Line]], after: list[list[Line]]) -> Iterator[dict]:
+    if not rows:
+        return
+    kept, shared = main_lines(own, before, after) if rows[0]["host"] else main_lines(own, [], [])
+    text = " ".join(kept)
+    for row in rows:
+        yield {"id": row["id"], "url": row["url"], "text": text, "n_chars": len(text), "n_shared": shared}
+
+
+def _parsed(html: str | None) -> list[Line]:
+    return page_lines(html or "")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Rows (id, url, text, n_chars, n_shared), one for each row of ``pages``.
 
-    A page's pair is the next of its host by path, then id; the last of a host, and a page without a
-    host, have none. A null or empty html gives an empty text. Repeated rows and null ids give
+    Pages are compared with those next to them of their host by path, then id; a page without a
+    host with none. A null or empty html gives an empty text. Repeated rows and null ids give
     a row each. An empty table gives no rows; further columns are not read.
     """
     url = F.col(url_col)
     host = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1)
     path = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), F.col(html_col).alias("html"), F.lower(host).alias("host"), path.alias("path"), F.xxhash64(url_col, html_col).alias("tie"))
-    return with_successor(rows, ["host", "path", "id", "tie"], "html", _extract, "id long, url string, text string, n_chars long, n_shared long")
+    return with_neighbours(rows, ["host", "path", "id", "tie"], "html", _parsed, _extract, "id long, url string, text string, n_chars long, n_shared long")

@@ -102,3 +102,21 @@ def test_successors_with_and_without_wrap(spark):
     for wrap, last in ((False, None), (True, 0)):
         got = {r.id: r.next for r in with_successor(df, ["id"], "text", pair, "id long, next long", wrap).collect()}
         assert got == {i: i + 1 if i < 100 else last for i in range(101)}
+
+
+def test_unmarked_pages_look_on_both_sides_and_past_copies(spark):
+    page = "<body><div>Menu one</div><div>Menu two</div><p>Story {0} alone</p><p>More of {0}</p><div>All rights</div></body>"
+    large = "<body>" + "".join(f"<div>A long entry of the menu {k}</div>" for k in range(20)) + "<p>Text {0}</p></body>"
+    rows = [("http://h/a/1", page.format(1)), ("http://h/a/2", page.format(2)), *((f"http://c/{k:03}", page.format(1 if k < 60 else 2)) for k in range(61)), *((f"http://m/{k}", large.format(k)) for k in range(5))]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    got = {}
+    for partitions in ("1", "4", "40"):  # cuts inside the group of copies change nothing
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            got[partitions] = {r.url: r.text for r in main_text(df).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got["1"] == got["4"] == got["40"] and len(got["1"]) == len(rows)
+    for url, html in rows:
+        number = re.search(r"(?:Story|Text) (\d+)", html)[1]
+        assert got["1"][url] == (f"Text {number}" if "//m/" in url else f"Story {number} alone More of {number}"), url
