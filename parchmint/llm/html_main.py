@@ -5,9 +5,10 @@ markup go, references are decoded. Elements that name themselves as menus,
 headers, footers, sidebars, notices, adverts, forms or comments are furniture.
 Pages are ordered by host and path, so each is compared with the nearest
 URLs of its host, of which copies are passed over; lines of the two are aligned by
-longest common subsequence and, where no article is marked, shared lines deleted. A
-block inside a marked article is kept even when it is shared: two pages that quote one
-passage share it too, and it is no furniture.
+longest common subsequence and, where no article is marked, shared lines deleted.
+Lines outside a marked article are left out without a comparison. Two pages that quote
+one passage share it too, and it is no furniture, so a line inside a marked article
+goes only when it is short and the nearest four pages that differ have it as well.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ FURNITURE_NAMES = frozenset(
 FURNITURE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 ARTICLE_NAMES = frozenset("article article-body article-content articlebody content entry-content main main-content post post-body post-content story story-body".split())
 COPY_SHARE = 0.8
+#: A line of a marked article goes when so many other pages nearby have it in theirs, and it has at most so many characters.
+WITNESSES, SHORT_LINE = 4, 200
 Line = tuple[str, int, bool]
 
 
@@ -187,11 +190,36 @@ def _outside_shared(own: list[Line], others: list[list[Line]], best: int) -> set
     return {outside[k] for k in common_subsequence([own[i][0] for i in outside], [text for text, level, _ in others[0] if not (top and level >= top)])}
 
 
+def _inside_shared(own: list[Line], others: list[list[Line]], best: int) -> set[int]:
+    """Short lines inside a marked article that the nearest ``WITNESSES`` pages, no near copies of it or of each other, have in theirs."""
+    inside = [i for i, (_, level, furniture) in enumerate(own) if level >= best and not furniture]
+    alive = [i for i in inside if len(own[i][0]) <= SHORT_LINE]
+
+    def alike(texts: list[str], other: set[str]) -> bool:
+        return sum(len(t) for t in texts if t in other) >= COPY_SHARE * sum(map(len, texts))
+
+    used = [{own[i][0] for i in inside}]
+    for other in others:
+        top = _body(other)
+        theirs = [text for text, level, furniture in other if level >= top and not furniture]
+        held = set(theirs)
+        if any(alike(theirs, u) or alike(list(u), held) for u in used):
+            continue
+        used.append(held)
+        alive = [i for i in alive if own[i][0] in held]
+        if not alive:
+            break
+        alive = [alive[k] for k in sorted(common_subsequence([own[i][0] for i in alive], theirs))]
+        if len(used) > WITNESSES:
+            return set(alive)
+    return set()
+
+
 def main_lines(own: list[Line], before: list[list[Line]], after: list[list[Line]]) -> tuple[list[str], int]:
     """The lines that stay, and how many the comparison with other pages of the host deleted."""
     best = _body(own)
     others = _others(own, before, after)
-    shared = _outside_shared(own, others, best) if best else _unmarked_shared(own, others)
+    shared = _outside_shared(own, others, best) | _inside_shared(own, others, best) if best else _unmarked_shared(own, others)
     kept = [text for i, (text, level, furniture) in enumerate(own) if not furniture and level >= best and i not in shared]
     return kept, len(shared)
 

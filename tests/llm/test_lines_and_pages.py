@@ -120,3 +120,16 @@ def test_unmarked_pages_look_on_both_sides_and_past_copies(spark):
     for url, html in rows:
         number = re.search(r"(?:Story|Text) (\d+)", html)[1]
         assert got["1"][url] == (f"Text {number}" if "//m/" in url else f"Story {number} alone More of {number}"), url
+
+
+def test_short_lines_of_all_articles_nearby_go(spark):
+    page = "<body><article><h1>Head {0}</h1><p>Share this story</p><p>Story {0} alone {1}</p>{2}</article></body>"
+    quote = "<p>A quoted passage</p>"
+    rows = [(k, f"http://h/{k}", page.format(k, k * k, quote if k in (2, 3) else "")) for k in range(6)]
+    rows += [(10 + k, f"http://few/{k}", page.format(k, k, "")) for k in range(4)]
+    rows += [(20 + k, f"http://copies/{k}", f"<article><p>One long text that all versions have</p><p>Share this</p><p>v{k}</p></article>") for k in range(7)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).withColumnRenamed("id", "page_id").collect()}
+    for k in range(6):
+        assert got[k] == f"Head {k} Story {k} alone {k * k}" + (" A quoted passage" if k in (2, 3) else "")
+    assert got[10] == "Head 0 Share this story Story 0 alone 0"
+    assert got[23] == "One long text that all versions have Share this v3"
