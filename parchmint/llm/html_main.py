@@ -39,6 +39,7 @@ BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FURNITURE_TAGS = frozenset("aside audio button canvas datalist dialog fieldset footer form head header math menu nav object search select svg template video".split())
 FURNITURE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login "
@@ -47,6 +48,8 @@ FURNITURE_NAMES = frozenset(
 )
 FURNITURE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 ARTICLE_NAMES = frozenset("article article-body article-content articlebody content entry-content main main-content post post-body post-content story story-body".split())
+#: First parts of names that tell of a layout, and whether something stands in it, rather than name what the element is.
+STATES = frozenset("has have is no not show with without".split())
 COPY_SHARE = 0.8
 #: A line of a marked article goes when so many other pages nearby have it in theirs, and it has at most so many characters.
 WITNESSES, SHORT_LINE = 4, 200
@@ -57,21 +60,30 @@ def _attributes(spelt: str) -> dict[str, str]:
     return {(m[1] or m[5]).lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(spelt)} if spelt.strip() else {}
 
 
-def _place(tag: str, spelt: str, level: int, furniture: bool) -> tuple[int, bool]:
-    """How surely an element's lines belong to the article (0 to 3), and whether they are furniture."""
+def _place(tag: str, spelt: str, level: int, furniture: int) -> tuple[int, int]:
+    """How surely an element's lines belong to the article (0 to 3), and how surely they are furniture (0 to 3).
+
+    3: the tag, the role, a whole name or being hidden says so. 2: only a part of a longer name does.
+    1: an article inside such an element, which is the page's where there is no other.
+    """
     found = _attributes(spelt)
     names = {n for k in ("class", "id") for n in found.get(k, "").lower().split()}
-    parts = {p for n in names for p in _PARTS.split(n)}
+    split = [[p for p in _PARTS.split(n) if p] for n in names]
+    parts = {p for n in split if n and n[0] not in STATES for p in n}
     if tag in ("html", "body"):
         return level, furniture
-    hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+    hidden = 3 * ("hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower())
     if tag == "article" and not parts & {"comment", "comments", "reply", "ad", "ads", "advert", "promo", "related"}:
-        return 3, furniture or hidden
+        return 3, max(1 if furniture == 2 else furniture, hidden)
     if tag == "main" or found.get("role") == "main":
-        return max(level, 2), furniture or hidden
-    inside_head = tag == "header" and level == 3  # an article's own head holds its title
-    if (tag in FURNITURE_TAGS and not inside_head) or parts & FURNITURE_NAMES or found.get("role") in FURNITURE_ROLES or hidden:
-        return level, True
+        return max(level, 2), max(1 if furniture == 2 else furniture, hidden)
+    if level or tag in HEADINGS:
+        parts.discard("header")  # an article's own head holds its title
+    inside_head = tag == "header" and level == 3
+    if (tag in FURNITURE_TAGS and not inside_head) or names & FURNITURE_NAMES & parts or found.get("role") in FURNITURE_ROLES or hidden:
+        return level, 3
+    if parts & FURNITURE_NAMES:
+        return level, max(furniture, 2)
     if found.get("itemprop") == "articleBody" or names & ARTICLE_NAMES:
         return max(level, 1), furniture
     return level, furniture
@@ -79,9 +91,9 @@ def _place(tag: str, spelt: str, level: int, furniture: bool) -> tuple[int, bool
 
 def page_lines(html: str) -> list[Line]:
     """Lines (text, level, furniture) of a page in order, white space collapsed, empty ones left out."""
-    lines: list[Line] = []
-    stack: list[tuple[str, int, bool, bool]] = []
-    level, furniture, muted, buffer, at = 0, False, False, [], 0  # muted: in furniture that stands inside a line
+    lines: list[tuple[str, int, int]] = []
+    stack: list[tuple[str, int, int, bool]] = []
+    level, furniture, muted, buffer, at = 0, 0, False, [], 0  # muted: in furniture that stands inside a line
 
     def close() -> None:
         text = " ".join("".join(buffer).split())
@@ -103,7 +115,7 @@ def page_lines(html: str) -> list[Line]:
                 stack.append((tag, level, furniture, muted))
                 before = furniture
                 level, furniture = _place(tag, m[4], level, furniture)
-                muted = muted or (tag not in BLOCK and furniture and not before)
+                muted = muted or (tag not in BLOCK and furniture >= 2 > before)
         elif m[2]:
             tag = m[2].lower()
             if tag in BLOCK:
@@ -118,7 +130,8 @@ def page_lines(html: str) -> list[Line]:
     if at < len(html) and not muted:
         buffer.append(unescape(html[at:]))
     close()
-    return lines
+    least = 1 if any(level >= 2 and not furniture for _, level, furniture in lines) else 2
+    return [(text, level, furniture >= least) for text, level, furniture in lines]
 
 
 def common_subsequence(one: list[str], two: list[str]) -> set[int]:
@@ -146,8 +159,11 @@ def common_subsequence(one: list[str], two: list[str]) -> set[int]:
 
 
 def _body(lines: list[Line]) -> int:
-    """The level of the lines of a page's article; 0 where none is marked."""
-    return max((level for _, level, furniture in lines if not furniture), default=0)
+    """The level that holds the most text of those marked, the surer of two; 0 where none is marked."""
+    mass = [0] * 4
+    for text, level, furniture in lines:
+        mass[level] += 0 if furniture else len(text)
+    return max((1, 2, 3), key=lambda level: (mass[level], level)) if any(mass[1:]) else 0
 
 
 def _others(own: list[Line], before: list[list[Line]], after: list[list[Line]]) -> list[list[Line]]:

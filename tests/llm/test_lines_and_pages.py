@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 import re
 
-from parchmint.llm.html_main import common_subsequence, main_text, page_lines
+from parchmint.llm.html_main import common_subsequence, main_lines, main_text, page_lines
 from parchmint.llm.line_dedup import drop_spread_lines
 from parchmint.llm.neighbours import with_successor
 from tests.llm.conftest import documents
@@ -133,3 +133,16 @@ def test_short_lines_of_all_articles_nearby_go(spark):
         assert got[k] == f"Head {k} Story {k} alone {k * k}" + (" A quoted passage" if k in (2, 3) else "")
     assert got[10] == "Head 0 Share this story Story 0 alone 0"
     assert got[23] == "One long text that all versions have Share this v3"
+
+
+def test_names_of_wrappers_and_titles_lose_no_article():
+    def text(html):
+        return " ".join(main_lines(page_lines(html), [], [])[0])
+
+    assert text('<div class="layout has-sidebar"><article><p>Body</p></article><div class="sidebar">Side</div></div>') == "Body"
+    assert text('<div class="sidebar-layout"><article><p>Body</p></article></div><div class="layout-sidebar">Side</div>') == "Body"
+    assert text('<article><p>Body</p></article><div class="related-posts"><article>Teaser</article></div>') == "Body"
+    assert text('<aside><article>Teaser</article></aside><p>Body</p>') == "Body"
+    assert text('<article><h1 class="entry-header">T</h1><div class="post-header">By A</div><p>Body</p></article>') == "T By A Body"
+    assert text('<main><h1>T</h1><p>The whole body</p><article class="card">teaser</article></main>') == "T The whole body teaser"
+    assert text('<main>Filed here<article><p>The whole body of it</p></article></main>') == "The whole body of it"
