@@ -5,7 +5,7 @@ token characters that hold a letter and a digit; a window slides over each, and
 the Shannon entropy of every window follows from the counts of the characters
 that enter and leave it. A run is reported where some window reaches its
 character class's threshold, unless the allow-list knows it or a base span
-overlaps it. Offsets are code points.
+holds all of it. Offsets are code points.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-
 KINDS = ("assign", "access", "hex", "entropy")
 LEAST_VALUE = 6
 WINDOW = 20
-#: Bits a character that some window must reach, for runs of hexadecimal digits and for others.
-HEX_BITS, TOKEN_BITS = 3.1, 3.8
+#: Bits a character that some window must reach, by what a run is made of: hexadecimal digits, letters of one case and
+#: digits, any. About 1 in 100 random strings of 20 characters stays below (one-case hexadecimal digits: 9).
+HEX_BITS, CASE_BITS, TOKEN_BITS = 3.1, 3.4, 3.6
 #: Runs that look random and are not: UUIDs, alphabets, placeholders, dates and version numbers, page addresses.
 ALLOWED = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
@@ -86,7 +87,7 @@ def _suspicious(body: Column) -> Column:
     allowed = F.lit(False)
     for pattern in ALLOWED:
         allowed = allowed | body.rlike(pattern)
-    least = F.when(body.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), HEX_BITS).otherwise(TOKEN_BITS)
+    least = F.when(body.rlike("^[0-9A-Fa-f]+$"), HEX_BITS).when(body.rlike("^(?:[0-9a-z+/_=-]+|[0-9A-Z+/_=-]+)$"), CASE_BITS).otherwise(TOKEN_BITS)
     return ~allowed & (window_entropy(body) >= least)
 
 
@@ -107,7 +108,7 @@ def secret_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     kinds = [_located(text, ASSIGN, 0, 2), _located(text, ACCESS, 1), _located(text, HEX, 2)]
     found = docs.withColumns({"_assign": kinds[0], "_access": kinds[1], "_hex": kinds[2], "_more": _located(text, CANDIDATE, 3)})
     found = found.withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
-    free = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])) & _suspicious(m["body"]))
+    free = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (b["start"] <= m["start"]) & (m["stop"] <= b["stop"])) & _suspicious(m["body"]))
     found = found.withColumn("_more", F.when(F.size("_more") > 0, free).otherwise(F.col("_more")))
     every = F.array_sort(F.concat("_base", "_more"))
     bare = F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))

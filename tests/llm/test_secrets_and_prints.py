@@ -112,3 +112,19 @@ def test_block_tables_find_all_pairs_within_the_radius(spark):
     asked = df.where("id % 20 = 0").select("id")
     got = {(r.a, r.b) for r in within_radius(df, 3, queries=asked).collect()}
     assert {(a, b) for a, b, n in want if a % 20 == 0 and n} <= got
+
+
+def test_candidates_that_reach_beyond_base_spans_are_masked_whole(spark):
+    token = "Zq7RtY2kLm9XwVb4NcP1" + "0f1e2d3c4b5a69788796a5b4" + "Hs8JdK3fGh6TyUi5"
+    row = secret_spans(documents(spark, [f"key {token} end"])).withColumn("masked", masked(F.col("text"), F.col("secret_spans"))).first()
+    assert row.n_hex == 1 and row.masked == "key [SECRET] end" and f"entropy:4:{4 + len(token)}" in row.spans.split(",")
+
+
+def test_random_strings_of_each_class_are_found(spark):
+    rng = random.Random(12)
+    classes = ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFabcdef0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"]
+    for letters in classes:
+        drawn = ["".join(rng.choice(letters) for _ in range(20)) for _ in range(300)]
+        texts = [s for s in drawn if re.search("[0-9]", s) and re.search("[A-Za-z]", s)]
+        found = sum(bool(r.spans) for r in secret_spans(documents(spark, texts)).collect())
+        assert found >= 0.95 * len(texts), (letters, found, len(texts))
