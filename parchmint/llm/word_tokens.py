@@ -4,10 +4,12 @@ The vocabulary drops white space and never joins text across it, so a text's
 ids are those of its chunks between spaces and line feeds. Distinct chunks are
 encoded once and held in a bounded cache.
 
-``PrefixCounter`` answers for a prefix of any length how many tokens it has. It
-keeps the running count at every chunk, and for a distinct word the count at
-every prefix, found by dynamic programming: the encoding of a prefix ends with
-the one symbol that fits the last symbol of a shorter prefix's encoding.
+``PrefixCounter`` answers for a prefix of any length how many tokens it has. Its
+table holds the running count at every chunk; the part of a chunk that a prefix
+ends in is encoded anew, and ``longest_prefix`` does so for every length within that
+chunk. ``WordEnd`` finds the count at every prefix of a word by dynamic programming:
+the encoding of a prefix ends with the one symbol that fits the last symbol of a
+shorter prefix's encoding. Of these only the last, a word's total, is kept.
 """
 
 from __future__ import annotations
