@@ -33,4 +33,7 @@ def connected_components(scratch: Scratch, name: str, edges: DataFrame) -> DataF
         later = scratch.save(small.where("u <> v").distinct(), f"{name}-{step}")
         scratch.drop(f"{name}-{step - 1}")
         now = later
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+    found = now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+    found = scratch.save(found, name)
+    scratch.drop(f"{name}-{step}")
+    return found

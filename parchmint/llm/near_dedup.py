@@ -11,12 +11,15 @@
    posterior probability that the similarity reaches the threshold after m of n
    equal values is P(Binomial(n + 1, threshold) <= m), and the pair is dropped
    once that falls below ``miss``. Survivors are confirmed on the full sets.
-4. Pairs of one bucket that are still in different components are compared in
-   the same way, each pair in the first band that it shares. Large buckets are
-   dealt out as pairs of blocks. Members with a surviving pair bring their texts,
-   the exact test runs over the block pair's sets, and one link for each two
-   components that prove to be one is returned. So no link is lost, and a
-   bucket of thousands never yields its pairs as rows.
+4. Pairs of one component need no comparison, so in each bucket only members
+   outside its most frequent component, the minority, are compared with the others,
+   each pair in the first band that it shares. Members are dealt out in blocks of
+   bounded rows and bytes; each goes once to every block of the minority, of which
+   there is one unless it is large itself. First the likeliest few partners of each
+   minority member are confirmed and components merged anew; what is then still
+   apart brings its texts to its block pair, where the exact test runs over all
+   surviving pairs and returns one link for each two components that prove to be
+   one. So no link is lost, and rows grow with a group's size times its unlinked rest.
 """
 
 from __future__ import annotations
@@ -26,10 +29,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.arrowtext import Texts, Words, bounded_batches, mix64, ngram_hashes, pieces, tidied
+from parchmint.llm.arrowtext import Texts, Words, bounded_batches, mix64, ngram_hashes, pieces, release, row_sums, tidied
 from parchmint.llm.components import connected_components
 from parchmint.llm.scratch import Scratch
 
@@ -37,8 +41,11 @@ BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 #: Signature values read before each decision of the sequential test.
 STEPS = (16, 32, 64, HASHES)
-#: Members of a bucket in a block; a task compares two blocks.
-BLOCK = 512
+#: Members of a bucket in a block, and about how many bytes their texts have; a task compares two blocks.
+BLOCK = 128
+BLOCK_BYTES = 4 << 20
+#: Partners of a minority member that are confirmed first, in each block.
+FIRST = 3
 _FACTORS = np.random.default_rng(8675309).integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
 
 
@@ -78,8 +85,8 @@ def _sketcher(size: int):
                         signatures[full, k] = np.minimum.reduceat((h * factor) >> np.uint64(32), at[full])
                 rows = [signatures[i].tobytes() if d else None for i, d in enumerate(digests)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(n), pa.array(digests, pa.binary()), pa.array(rows, pa.binary())],
-                    names=["id", "n", "digest", "signature"],
+                    [batch.column("id"), pa.array(n), pa.array(digests, pa.binary()), pa.array(rows, pa.binary()), pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())],
+                    names=["id", "n", "digest", "signature", "weight"],
                 )
 
     return sketch
@@ -144,72 +151,97 @@ def _pruner(percent: int, miss: float):
 
 
 class _Block:
-    """Two blocks of a bucket, or one twice, and the pairs that a task compares."""
+    """A block of a bucket's minority (part 0) against one of its members (part 1)."""
 
     def __init__(self, key, table: pa.Table, percent: int, least: list[int]):
-        self.ids, self.labels, self.n, self.side = (table.column(c).to_numpy() for c in ("id", "label", "n", "side"))
-        self.band, self.own = key[0].as_py(), key[2].as_py() == key[3].as_py()
+        self.ids, self.labels, self.n, self.part = (table.column(c).to_numpy() for c in ("id", "label", "n", "part"))
+        self.major = table.column("major")[0].as_py()
         self.signatures = _matrix(table.column("signature").combine_chunks())
-        self.keys = band_keys(self.signatures)[:, : self.band]
+        self.keys = band_keys(self.signatures)[:, : key[0].as_py()]
         self.percent, self.least = percent, least
+        self.minority, self.members = np.flatnonzero(self.part == 0), np.flatnonzero(self.part == 1)
 
-    def rows(self, labels: np.ndarray) -> np.ndarray:
-        """All rows but those of the most frequent label, whose pairs the others' cover."""
-        names, sizes = np.unique(labels, return_counts=True)
-        self.largest = names[np.argmax(sizes)]
-        return np.flatnonzero(labels != self.largest)
-
-    def partners(self, i: int, labels: np.ndarray) -> np.ndarray:
-        """Rows of other components that may be similar to row i, likeliest first, each pair in its first band."""
-        j = np.flatnonzero((labels != labels[i]) & _fits(self.n, self.n[i], self.percent) & (self.ids != self.ids[i]))
-        j = j[(self.labels[j] == self.largest) | (self.ids[j] > self.ids[i])]
-        if not self.own:
-            j = j[self.side[j] != self.side[i]]
+    def partners(self, i: int) -> np.ndarray:
+        """Members of other components that may be similar to row i, likeliest first, each pair in its first band."""
+        j = self.members
+        once = (self.labels[j] == self.major) | (self.ids[j] > self.ids[i])
+        j = j[(self.labels[j] != self.labels[i]) & once & _fits(self.n[j], self.n[i], self.percent)]
         ok, equal = _sequential(np.broadcast_to(self.signatures[i], (len(j), HASHES)), self.signatures[j], self.least)
-        j = j[ok[np.argsort(-equal, kind="stable")]]
+        j = j[ok[np.lexsort((self.ids[j[ok]], -equal))]]
         return j[~(self.keys[j] == self.keys[i]).any(axis=1)]
 
 
+def _likeliest(percent: int, miss: float):
+    least = least_matches(percent / 100, miss)
+
+    def pick(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        block = _Block(key, table, percent, least)
+        found = [(int(block.ids[i]), int(block.ids[j])) for i in block.minority for j in block.partners(i)[:FIRST]]
+        return pa.table({"a": pa.array([max(f) for f in found], pa.int64()), "b": pa.array([min(f) for f in found], pa.int64())})
+
+    return pick
+
+
 def _open_members(percent: int, miss: float):
     least = least_matches(percent / 100, miss)
 
     def look(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         block = _Block(key, table, percent, least)
         needed = np.zeros(len(block.ids), bool)
-        for i in block.rows(block.labels):
-            j = block.partners(i, block.labels)
+        for i in block.minority:
+            j = block.partners(i)
             needed[j] = True
             needed[i] |= len(j) > 0
-        return table.filter(pa.array(needed)).select(["band", "bucket", "low", "high", "id", "label", "n", "signature", "side"])
+        return table.filter(pa.array(needed))
 
     return look
 
 
+class _Forest:
+    """Union-find over the labels of a block."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.setdefault(x, x)) != x:
+            self.parent[x] = self.parent[up]
+            x = up
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether the two were apart."""
+        x, y = self.root(x), self.root(y)
+        self.parent[x] = y
+        return x != y
+
+
 def _block_links(size: int, percent: int, miss: float):
     least = least_matches(percent / 100, miss)
 
     def link(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        block = _Block(key, table, percent, least)
-        h, at = shingles(table.column("text").combine_chunks(), size)
-        sets = [np.unique(h[at[i] : at[i + 1]]) for i in range(len(at) - 1)]
-        labels = block.labels.copy()  # merged as links are found
-        found = []
-        for i in block.rows(labels):
-            partners = block.partners(i, labels)
+        block, forest, found = _Block(key, table, percent, least), _Forest(), []
+        sets: list[np.ndarray] = []
+        for batch in table.select(["text"]).combine_chunks().to_batches():
+            for piece in pieces(batch, "text"):
+                h, at = shingles(piece.column("text"), size)
+                sets += [np.unique(h[at[i] : at[i + 1]]) for i in range(len(at) - 1)]
+        labels = block.labels.tolist()
+        for i in block.minority:
+            partners = block.partners(i)
             for begin in range(0, len(partners), 64):
-                j = partners[begin : begin + 64]
-                j = j[labels[j] != labels[i]]
+                mine = forest.root(labels[i])
+                j = np.array([x for x in partners[begin : begin + 64] if forest.root(labels[x]) != mine], np.int64)
                 if not len(j):
                     continue
                 ends = np.cumsum([0, *(len(sets[x]) for x in j)])
                 values = np.concatenate([sets[x] for x in j])
                 place = np.minimum(np.searchsorted(sets[i], values), len(sets[i]) - 1)
-                common = np.add.reduceat((sets[i][place] == values).astype(np.int64), ends[:-1])
+                common = row_sums((sets[i][place] == values).astype(np.int64), ends)
                 linked = 100 * common >= percent * (len(sets[i]) + np.diff(ends) - common)
-                for x in j[linked & (common > 0)]:
-                    if labels[x] != labels[i]:
-                        found.append((int(block.ids[i]), int(block.ids[x])))
-                        labels[labels == labels[x]] = labels[i]
+                found += [(int(block.ids[i]), int(block.ids[x])) for x in j[linked & (common > 0)] if forest.join(labels[i], labels[x])]
+        if table.nbytes > BLOCK_BYTES:
+            release()
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     return link
@@ -251,9 +283,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "near")
     bounded_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = scratch.save(source.mapInArrow(_sketcher(shingle), "id long, n long, digest binary, signature binary"), "sketch")
+    sketch = scratch.save(source.mapInArrow(_sketcher(shingle), "id long, n long, digest binary, signature binary, weight long"), "sketch")
     known = sketch.where("digest IS NOT NULL AND id IS NOT NULL")
-    sets = scratch.save(known.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "sets")
+    sets = scratch.save(known.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.min_by("weight", "id").alias("weight")), "sets")
     signed = sets.select("id", "n", "signature")
 
     band = scratch.save(signed.select("id", "signature").mapInArrow(_bands, "band int, bucket long, id long"), "bands")
@@ -273,21 +305,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     both = both.join(signed.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa")), "a")
     pairs = scratch.save(both.mapInArrow(_pruner(percent, miss), "a long, b long").distinct(), "pairs-0")
     links = scratch.save(confirmed(pairs), "links-0")
-    labels = scratch.save(connected_components(scratch, "cc-0", links), "labels-0")
+    labels = connected_components(scratch, "labels-0", links)
 
-    # Buckets with the same members are one, that of the first band; those with one component are done.
+    # Buckets with the same members are one, that of the first band.
     crowd = members.where("size > 2")
     once = crowd.groupBy("size", "content", "content2").agg(F.min(F.struct("band", "bucket")).alias("first")).select("first.*")
-    now = crowd.select("band", "bucket", "id").join(once, ["band", "bucket"], "left_semi")
-    now = scratch.save(now.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id")), "crowded")
-    mixed = now.groupBy("band", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo <> hi").select("band", "bucket", "blocks")
-    open_ = now.join(mixed, ["band", "bucket"]).join(signed, "id").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other"))
-    dealt = dealt.select("band", "bucket", "low", "high", "id", "label", "n", "signature", "side")
+    crowd = crowd.select("band", "bucket", "id").join(once, ["band", "bucket"], "left_semi")
+    crowd = scratch.save(crowd.join(sets.select("id", "n", "signature", "weight"), "id"), "crowded")
+    scratch.drop("members")
     group = ["band", "bucket", "low", "high"]
-    needed = scratch.save(dealt.groupBy(*group).applyInArrow(_open_members(percent, miss), dealt.schema), "open")
-    links = links.unionByName(scratch.save(needed.join(texts, "id").groupBy(*group).applyInArrow(_block_links(shingle, percent, miss), "a long, b long"), "links-1"))
-    labels = scratch.save(connected_components(scratch, "cc-1", links), "labels-1")
+    told = [*group, "id", "label", "n", "signature", "part", "major"]
+
+    def dealt() -> DataFrame:
+        """Block pairs of the buckets that hold several components; those with one are done."""
+        now = crowd.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        each = now.groupBy("band", "bucket", "label").agg(F.count("*").alias("rows"), F.sum("weight").alias("bytes"))
+        mixed = each.groupBy("band", "bucket").agg(F.max_by("label", F.struct("rows", "label")).alias("major"), F.max(F.struct("rows", "label", "bytes")).alias("top"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.count("*").alias("labels")).where("labels > 1")
+
+        def blocks(rows, size):
+            return F.greatest(F.ceil(rows / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+
+        mixed = mixed.select("band", "bucket", "major", blocks(F.col("rows"), F.col("bytes")).alias("highs"), blocks(F.col("rows") - F.col("top.rows"), F.col("bytes") - F.col("top.bytes")).alias("lows"))
+        open_ = now.join(mixed, ["band", "bucket"]).withColumn("side", F.pmod(F.xxhash64("id"), F.col("highs")).cast("int")).withColumn("few", F.pmod(F.xxhash64("id", F.lit(1)), F.col("lows")).cast("int"))
+        deals = F.transform(F.sequence(F.lit(0), F.col("lows") - 1), lambda x: F.struct(x.alias("low"), F.col("side").alias("high"), F.lit(1).alias("part")))
+        again = F.transform(F.sequence(F.lit(0), F.col("highs") - 1), lambda x: F.struct(F.col("few").alias("low"), x.alias("high"), F.lit(0).alias("part")))
+        return open_.withColumn("deal", F.explode(F.when(F.col("label") == F.col("major"), deals).otherwise(F.concat(deals, again)))).select("*", "deal.*").select(*told)
+
+    likely = scratch.save(dealt().groupBy(*group).applyInArrow(_likeliest(percent, miss), "a long, b long").distinct(), "pairs-1")
+    links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(scratch.save(confirmed(likely), "links-1"))
+    labels = connected_components(scratch, "labels-1", links)
+    open_ = dealt()
+    needed = scratch.save(open_.groupBy(*group).applyInArrow(_open_members(percent, miss), open_.schema), "open")
+    links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(scratch.save(needed.join(texts, "id").groupBy(*group).applyInArrow(_block_links(shingle, percent, miss), "a long, b long"), "links-2"))
+    labels = connected_components(scratch, "labels-2", links)
+    for name in ("texts", "pairs-0", "pairs-1", "links-0", "links-1", "links-2", "labels-0", "labels-1", "crowded", "open"):
+        scratch.drop(name)
 
     label = labels.select(F.col("node").alias("first"), "label")
     reach = sets.select("digest", F.col("id").alias("first")).join(label, "first", "left").select("digest", F.coalesce("label", "first").alias("label"))

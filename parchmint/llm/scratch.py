@@ -2,24 +2,35 @@
 
 A written table cuts the lineage as a checkpoint does, survives the loss of an
 executor, and is smaller than a checkpoint's rows. The folder is the session's
-``spark.checkpoint.dir``; one is chosen only where the session names none.
+``spark.checkpoint.dir``; a temporary one is chosen only in local mode.
 """
 
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; without one, a temporary folder in local mode and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="parchmint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    application = spark.sparkContext.applicationId
+    if application not in _local:
+        _local[application] = "file://" + tempfile.mkdtemp(prefix="parchmint-")
+        atexit.register(shutil.rmtree, _local[application].removeprefix("file://"), True)
+    return _local[application]
 
 
 class Scratch:

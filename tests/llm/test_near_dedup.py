@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import random
 import re
 
 import numpy as np
 import pyarrow as pa
 
+from parchmint.llm import near_dedup
 from parchmint.llm.arrowtext import Texts, Words
 from parchmint.llm.components import connected_components
 from parchmint.llm.near_dedup import least_matches, near_duplicates, shingles
@@ -59,6 +61,23 @@ def test_components_equal_brute_force(spark, copies):
         assert got == brute(copies, k)
 
 
+def test_blocks_of_large_buckets_equal_brute_force(spark, monkeypatch):
+    """Groups of some hundred near copies, so that buckets take many blocks, with members just below the threshold."""
+    rng, texts = random.Random(3), []
+    for size, cuts in ((700, (0, 4, 9, 14)), (300, (10, 11, 12, 13)), (40, (30,))):
+        base = [f"b{size}x{i}" for i in range(100)]
+        for _ in range(size):
+            other = list(base)
+            for place in rng.sample(range(1, 99, 2), rng.choice(cuts)):
+                other[place] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(other))
+    rng.shuffle(texts)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 1 << 14)
+    got = {r.id: (r.n_shingles, r.component) for r in near_duplicates(documents(spark, texts), shingle=2).collect()}
+    want = brute(texts, 2)
+    assert got == want and len({c for _, c in want.values()}) > 50
+
+
 def test_a_chain_of_near_copies_is_one_component(spark):
     base = [f"t{i}" for i in range(60)]
     texts = []
