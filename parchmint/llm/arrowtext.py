@@ -163,27 +163,6 @@ def row_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-class Recent(dict):
-    """Results by key, at most about ``limit`` of them.
-
-    When more would be held, only those that the current batch wants stay: keys that
-    every batch wants live on, the long tail is made anew when it comes again.
-    """
-
-    def __init__(self, limit: int):
-        super().__init__()
-        self.limit = limit
-
-    def missing(self, wanted: set) -> set:
-        """The keys whose results are not held; the others are, until the next call."""
-        need = wanted.difference(self)
-        if len(self) + len(need) > self.limit:
-            kept = {k: self[k] for k in wanted.intersection(self)}
-            self.clear()
-            self.update(kept)
-        return need
-
-
 def bounded_batches(spark) -> None:
     """Let the session's Arrow batches hold ``BATCH_BYTES`` at most; a smaller setting stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

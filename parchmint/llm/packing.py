@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.arrowtext import as_texts, bounded_batches, pieces, tidied
+from parchmint.llm.arrowtext import bounded_batches, pieces, tidied
 
 TIERS = (512, 1024, 2048, 4096)
 #: Tokens of each step group, alike for every tier.
@@ -133,7 +133,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         packer, encoder = Packer(TaskContext.get().partitionId(), tiers), ChunkIds.of(path)
         for whole in batches:
             for batch in pieces(whole, "text", 4 << 20):
-                for doc, ids in zip(batch.column("id").to_pylist(), encoder.encode_many(as_texts(batch, "text")), strict=True):
+                for doc, ids in zip(batch.column("id").to_pylist(), encoder.encode_many(batch.column("text")), strict=True):
                     packer.add(doc, ids + end)
                 yield rows(packer)
         packer.finish()

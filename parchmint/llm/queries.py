@@ -79,7 +79,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None =
 
     from parchmint.llm.word_tokens import token_counts
 
-    found = token_counts(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+    found = token_counts(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json"), limit)
     return found.withColumnRenamed("id", "doc_id").withColumn("over_limit", F.col("n_tokens") > limit)
 
 

@@ -1,15 +1,16 @@
 """Token ids and prefix token counts under a word-end BPE vocabulary file.
 
-The vocabulary drops white space and never joins text across it, so a text's
-ids are those of its chunks between spaces and line feeds. Distinct chunks are
-encoded once and held in a bounded cache.
-
-``PrefixCounter`` answers for a prefix of any length how many tokens it has. Its
-table holds the running count at every chunk; the part of a chunk that a prefix
-ends in is encoded anew, and ``longest_prefix`` does so for every length within that
-chunk. ``WordEnd`` finds the count at every prefix of a word by dynamic programming:
-the encoding of a prefix ends with the one symbol that fits the last symbol of a
-shorter prefix's encoding. Of these only the last, a word's total, is kept.
+The vocabulary drops white space and never joins text across words, so a text's
+ids are those of its words. Texts of code points below U+0180 without special
+strings are lower-cased and split over whole batches; distinct words are encoded
+once and held in a bounded cache. Other texts go by their chunks between
+spaces and line feeds, and chunks that need more than merges go to the library.
+
+``PrefixCounter`` answers for a prefix of any length how many tokens it has. For each
+word it stores the count at every prefix, found by dynamic programming: the encoding
+of a prefix ends with the one symbol that fits the last symbol of a shorter prefix's
+encoding. With the running totals of a text's words, any truncation or budget
+is looked up, and nothing is encoded again (the other texts' chunks are, at the cut).
 """
 
 from __future__ import annotations
@@ -17,19 +18,21 @@ from __future__ import annotations
 import bisect
 import json
 import os
-import struct
 import unicodedata
+from array import array
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.arrowtext import Recent, as_texts, bounded_batches, keep_cache, pieces, tidied
+from parchmint.llm.arrowtext import Texts, bounded_batches, keep_cache, pieces, tidied
+from parchmint.llm.splitting import Pieces, Recent, shared_prefixes, words
 
-#: Chunks, and words, that a worker's caches hold: ids take more room than counts.
-CACHE_IDS, CACHE_CHUNKS = 250_000, 500_000
+#: Words, and chunks of other texts, that a worker's caches hold; symbol pairs that it remembers.
+CACHE_WORDS, CACHE_CHUNKS, CACHE_PAIRS = 800_000, 200_000, 1_000_000
 _tokenizers: dict[str, object] = {}
 _encoders: dict[str, ChunkIds] = keep_cache({})
 _counters: dict[str, PrefixCounter] = keep_cache({})
@@ -56,20 +59,50 @@ def chunks(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
-class ChunkIds:
-    """Little-endian 32-bit ids of chunks, encoded in one call for all new words of a batch.
+class Columns:
+    """Results for a column of texts from results for words, or for the chunks of texts that are not plain."""
 
-    New chunks are split into words as the file splits them, and the library's merges run
-    over the words that are new; chunks that need more than that go to it whole.
-    """
+    def __init__(self, path: str):
+        self.model = WordEnd(path)
+        self.tokenizer = tokenizer(path)
+        self.words, self.chunks = Recent(CACHE_WORDS), Recent(CACHE_CHUNKS)
+
+    def split(self, column: pa.Array) -> tuple[Pieces, np.ndarray]:
+        """The words of the plain rows, and the places of the other rows, which have none here."""
+        texts = Texts(column)
+        plain = self.model.plain(texts)
+        if not plain.all():
+            texts = Texts(pc.if_else(pa.array(plain), column.cast(pa.large_string()), ""))
+        texts.bytes = np.frombuffer(texts.bytes.tobytes().decode().lower().encode(), np.uint8)
+        return words(texts), np.flatnonzero(~plain)
+
+    def by_word(self, found: list[bytes]) -> list:
+        return self.words.fetch(found, self.of_words)
+
+    def by_chunk(self, text: str) -> list:
+        """The results of a text's chunks, in order."""
+        parts = chunks(text)
+        distinct = list(dict.fromkeys(parts))
+        found = dict(zip(distinct, self.chunks.fetch(distinct, self.of_chunks), strict=True))
+        return [found[p] for p in parts]
+
+    def of_chunks(self, new: list[str]) -> list:
+        split = self.model.split_all(set(new))
+        needed = list({w for parts in split.values() for w in parts})
+        known = dict(zip(needed, self.by_word(needed), strict=True))
+        rest = [c for c in new if c not in split]
+        whole = dict(zip(rest, (e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+        return [self.together([known[w] for w in split[c]]) if c in split else self.of_ids(whole[c]) for c in new]
+
+
+class ChunkIds(Columns):
+    """Little-endian 32-bit ids of texts; the library's merges run once over the words that are new in a batch."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = tokenizer(path)
+        super().__init__(path)
         self.merges = Tokenizer(self.tokenizer.model)
-        self.model = WordEnd(path)
-        self.cache, self.words = Recent(CACHE_IDS), Recent(CACHE_IDS)
 
     @classmethod
     def of(cls, path: str) -> ChunkIds:
@@ -78,25 +111,24 @@ class ChunkIds:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def learn(self, texts: list[list[str]]) -> None:
-        new = self.cache.missing(set().union(*texts))
-        split = self.model.split_all(new)
-        words = list(self.words.missing(set().union(*split.values()) if split else set()))
-        for w, e in zip(words, self.merges.encode_batch_fast(list(map(self.model.spelling, words)), add_special_tokens=False), strict=True):
-            ids = e.ids
-            self.words[w] = struct.pack(f"<{len(ids)}I", *ids)
-        known, cache = self.words, self.cache
-        for c, parts in split.items():
-            cache[c] = known[parts[0]] if len(parts) == 1 else b"".join([known[w] for w in parts])
-        rest = list(new.difference(split))
-        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            cache[c] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        parts = [chunks(t) for t in texts]
-        self.learn(parts)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+    def of_words(self, new: list[bytes]) -> list[bytes]:
+        coded = self.merges.encode_batch_fast(list(map(self.model.spelling, new)), add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in coded]
+
+    together = staticmethod(b"".join)
+
+    @staticmethod
+    def of_ids(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes()
+
+    def encode_many(self, column: pa.Array) -> list[bytes]:
+        """The ids of each text of a column; a null text has none."""
+        found, odd = self.split(column)
+        ids, at = found.joined(self.by_word(found.distinct))
+        out = [ids[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
+        for i in odd:
+            out[i] = b"".join(self.by_chunk(column[int(i)].as_py()))
+        return out
 
 
 class WordEnd:
@@ -129,11 +161,27 @@ class WordEnd:
         codes = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in codes]
         self.letters = {b: chr(b) for b in codes} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.totals = Recent(CACHE_CHUNKS)
 
-    def spelling(self, word: str) -> str:
+    def spelling(self, word: bytes) -> str:
         """A word's bytes in the vocabulary's letters."""
-        return word if word.isascii() and word.isalnum() else "".join(map(self.letters.__getitem__, word.encode()))
+        return word.decode() if word.isalnum() else word.decode("latin-1").translate(self.letters)
+
+    def plain(self, texts: Texts) -> np.ndarray:
+        """Which rows have only code points below U+0180, whose case every Unicode version agrees on, and no special string.
+
+        U+0130 is left out: its lower case is longer than itself.
+        """
+        data = texts.bytes
+        odd = data >= 0xC6  # the first byte of U+0180
+        if data.max(initial=0) >= 128:
+            odd[:-1] |= (data[:-1] == 0xC4) & (data[1:] == 0xB0)
+        for mark in self.specials:
+            mark = np.frombuffer(mark.encode(), np.uint8)
+            at = np.flatnonzero(data[: len(data) - len(mark) + 1] == mark[0]) if len(data) >= len(mark) else np.zeros(0, np.int64)
+            for k in range(1, len(mark)):
+                at = at[data[at + k] == mark[k]]
+            odd[at] = True  # a string across two rows only sends the first of them the longer way
+        return texts.sums(odd) == 0
 
     def merge(self, parts: list[str]) -> list[str]:
         """The encoding of a list of symbols, by the least rank and then the leftmost pair."""
@@ -173,7 +221,7 @@ class WordEnd:
         """Whether two symbols stay apart when their letters are encoded together."""
         found = self.fits.get((one, two))
         if found is None:
-            if len(self.fits) > 2 * CACHE_CHUNKS:
+            if len(self.fits) > CACHE_PAIRS:
                 self.fits.clear()
             found = self.fits[one, two] = self.apart(one, two, 1 << 60)
         return found
@@ -216,28 +264,25 @@ class WordEnd:
             raise ValueError(f"no symbol ends the word {letters[:i]!r}")
         return 0
 
-    def counts(self, word: str) -> list[int]:
-        """Tokens of each prefix (in bytes) of a word, each taken as a word of its own; the first is 0."""
-        letters = self.spelling(word)
-        last, inner = [""], [0]
-        self.extend(letters, last, inner)
-        return [self.close(letters, i, last, inner) for i in range(len(letters) + 1)]
-
-    def learn(self, words: set[str]) -> None:
-        """Totals of new words; in sorted order each keeps the part of the table that its prefix shares."""
-        before, last, inner = "", [""], [0]
-        for word, letters in sorted((w, self.spelling(w)) for w in self.totals.missing(words)):
-            same = 0
-            for x, y in zip(before, letters, strict=False):
-                if x != y:
-                    break
-                same += 1
-            del last[same + 1 :], inner[same + 1 :]
+    def counts(self, word: bytes) -> list[int]:
+        """Tokens of each prefix of a word, each taken as a word of its own; the first is 0."""
+        return list(self.tables([word])[0])
+
+    def tables(self, new: list[bytes]) -> list:
+        """The counts at every prefix of distinct words; in sorted order each goes on from the part that its prefix shares."""
+        found = {}
+        last, inner, counts = [""], [0], [0]
+        order = sorted(new)
+        for word, same in zip(order, shared_prefixes(order), strict=True):
+            letters = self.spelling(word)
+            del last[same + 1 :], inner[same + 1 :], counts[same + 1 :]
             self.extend(letters, last, inner)
-            self.totals[word] = self.close(letters, len(letters), last, inner)
-            before = letters
+            for i in range(len(counts), len(letters) + 1):
+                counts.append(self.close(letters, i, last, inner))
+            found[word] = bytes(counts) if len(counts) <= 256 else tuple(counts)
+        return [found[w] for w in new]
 
-    def split_all(self, chunks: set[str]) -> dict[str, list[str]]:
+    def split_all(self, chunks: set[str]) -> dict[str, list[bytes]]:
         """Words of chunks as the vocabulary's file normalises and splits them.
 
         Left out are chunks with special strings, and those of scripts whose case and
@@ -252,26 +297,22 @@ class WordEnd:
             else:
                 continue
             if clean.isalpha():
-                out[c] = [clean]
+                out[c] = [clean.encode()]
             elif clean[-1:] in _POINTS and clean[:-1].isalpha():
-                out[c] = [clean[:-1], clean[-1]]
+                out[c] = [clean[:-1].encode(), clean[-1].encode()]
             elif marks.isdisjoint(c) or not any(s in c for s in self.specials):
-                out[c] = find(clean)
+                out[c] = [w.encode() for w in find(clean)]
         return out
 
 
-class PrefixCounter:
+class PrefixCounter(Columns):
     """Token counts of the prefixes of texts.
 
-    ``table(text)`` holds the count at every chunk end; ``count`` adds the count of
-    the open chunk's part. ``longest_prefix`` is the answer to a budget.
+    ``table(text)`` holds the ends and running counts of a text's words (of its chunks, if it
+    is not plain); ``count`` adds what the open word's own table has at the cut.
+    ``longest_prefix`` is the answer to a budget.
     """
 
-    def __init__(self, path: str):
-        self.model = WordEnd(path)
-        self.cache = Recent(CACHE_CHUNKS)
-        self.tokenizer = tokenizer(path)
-
     @classmethod
     def of(cls, path: str) -> PrefixCounter:
         """A worker's counter for a file."""
@@ -279,64 +320,82 @@ class PrefixCounter:
             _counters[path] = cls(path)
         return _counters[path]
 
-    def learn(self, texts: list[list[str]]) -> None:
-        new = self.cache.missing(set().union(*texts))
-        plain = self.model.split_all(new)
-        self.model.learn(set().union(*plain.values()) if plain else set())
-        totals = self.model.totals
-        self.cache.update((c, sum([totals[w] for w in words])) for c, words in plain.items())
-        for c in new.difference(plain):
-            self.cache[c] = len(self.tokenizer.encode(c, add_special_tokens=False).ids)
-
-    def totals(self, texts: list[str]) -> list[int]:
-        """Tokens of whole texts: the last entries of their tables."""
-        parts = [chunks(t) for t in texts]
-        self.learn(parts)
-        get = self.cache.__getitem__
-        return [sum(map(get, p)) for p in parts]
-
-    def _tokens(self, chunk: str) -> int:
-        if chunk not in self.cache:
-            self.learn([[chunk]])
-        return self.cache[chunk]
-
-    def table(self, text: str) -> tuple[list[int], list[int]]:
-        """Ends of the chunks in code points, and the tokens up to each."""
-        ends, totals, end, total = [], [], -1, 0
-        self.learn([chunks(text)])
-        for chunk in chunks(text):
-            end += len(chunk) + 1
-            total += self._tokens(chunk)
-            ends.append(end)
-            totals.append(total)
-        return ends, totals
-
-    def count(self, text: str, length: int, table: tuple[list[int], list[int]] | None = None) -> int:
+    def of_words(self, new: list[bytes]) -> list:
+        return self.model.tables(new)
+
+    @staticmethod
+    def together(tables: list) -> int:
+        return sum(t[-1] for t in tables)
+
+    of_ids = staticmethod(len)
+
+    def totals(self, column: pa.Array) -> np.ndarray:
+        """Tokens of whole texts; a null text has none."""
+        found, odd = self.split(column)
+        out = found.sums([t[-1] for t in self.by_word(found.distinct)])
+        for i in odd:
+            out[i] = sum(self.by_chunk(column[int(i)].as_py()))
+        return out
+
+    def table(self, text: str) -> tuple[list[int], list[int], list]:
+        """Ends in code points, the tokens up to each, and each word's beginning and own table (None: a chunk without one)."""
+        found, odd = self.split(pa.array([text], pa.large_string()))
+        if len(odd):
+            ends, totals, own, end, total = [], [], [], -1, 0
+            for chunk, tokens in zip(chunks(text), self.by_chunk(text), strict=True):
+                own.append((end + 1, None))
+                end += len(chunk) + 1
+                total += tokens
+                ends.append(end)
+                totals.append(total)
+            return ends, totals, own
+        tables = self.by_word(found.distinct)
+        data = np.frombuffer(text.encode(), np.uint8)
+        place = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        totals = np.cumsum(np.array([t[-1] for t in tables], np.int64)[found.index]) if len(found.index) else np.zeros(0, np.int64)
+        own = [(b, (found.distinct[i], tables[i])) for b, i in zip(place[found.begin].tolist(), found.index.tolist(), strict=True)]
+        return place[found.end].tolist(), totals.tolist(), own
+
+    def _part(self, word: bytes, table, length: int) -> int:
+        """Tokens of the first code points of a word, itself a word; a cut contraction is an apostrophe and a word."""
+        size = len(word.decode()[:length].encode())
+        if size < len(word) and word[:1] == b"'" and word[1:].isalpha():
+            return 1 + (self.by_word([word[1:]])[0][size - 1] if size > 1 else 0)
+        return table[size]
+
+    def count(self, text: str, length: int, table: tuple | None = None) -> int:
         """Tokens of the first ``length`` code points."""
-        ends, totals = table or self.table(text)
+        ends, totals, own = table or self.table(text)
         length = min(length, len(text))
         i = bisect.bisect_right(ends, length)
-        before, begin = (totals[i - 1], ends[i - 1] + 1) if i else (0, 0)
-        return before + (self._tokens(text[begin:length]) if length > begin else 0)
+        before = totals[i - 1] if i else 0
+        if i == len(ends) or length <= own[i][0]:
+            return before
+        begin, held = own[i]
+        if held is not None:
+            return before + self._part(*held, length - begin)
+        return before + sum(self.by_chunk(text[begin:length]))
 
     def longest_prefix(self, text: str, budget: int) -> int:
-        """The most code points whose own count, and that of every shorter prefix at a chunk end, is within a budget."""
-        ends, totals = table = self.table(text)
+        """The most code points whose own count, and that of every shorter prefix at the end of a word or chunk, is within a budget."""
+        ends, totals, own = table = self.table(text)
         i = bisect.bisect_right(totals, budget)
         if i == len(ends):
             return len(text)
-        best = ends[i - 1] if i else 0
+        best = own[i][0]
         for length in range(best, ends[i] + 1):
             if self.count(text, length, table) <= budget:
                 best = length
         return best
 
 
-def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, n_bytes, n_tokens), one for each row of ``docs``, without special tokens added.
+def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, n_bytes, n_tokens, limit_chars), one for each row of ``docs``, without special tokens added.
 
-    A null text counts as empty, with 0 bytes and 0 tokens; blanks have bytes but no
-    tokens. Repeated rows and null ids give a row each; an empty table gives none.
+    limit_chars is how many code points of the text fit into ``limit`` tokens: all of a text within the
+    limit, else the longest prefix that the tables give (see ``longest_prefix``). A null text
+    counts as empty, with 0 bytes and 0 tokens; blanks have bytes but no tokens. Repeated
+    rows and null ids give a row each; an empty table gives none.
     """
 
     @tidied("token_counts")
@@ -344,9 +403,13 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         counter = PrefixCounter.of(path)
         for whole in batches:
             for batch in pieces(whole, "text", 4 << 20):
-                texts = as_texts(batch, "text")
-                sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("id"), sizes, pa.array(counter.totals(texts), pa.int64())], names=["id", "n_bytes", "n_tokens"])
+                texts = batch.column("text")
+                sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+                totals = counter.totals(texts)
+                fits = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                for i in np.flatnonzero(totals > limit):
+                    fits[i] = counter.longest_prefix(texts[int(i)].as_py(), limit)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), sizes, pa.array(totals, pa.int64()), pa.array(fits)], names=["id", "n_bytes", "n_tokens", "limit_chars"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(count, "id long, n_bytes long, n_tokens long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(count, "id long, n_bytes long, n_tokens long, limit_chars long")

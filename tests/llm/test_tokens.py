@@ -7,13 +7,17 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from parchmint.llm import splitting
+from parchmint.llm.arrowtext import Texts
 from parchmint.llm.byte_bpe import Utf8Machine, model, round_trip
 from parchmint.llm.packing import TIERS, pack_documents
-from parchmint.llm.word_tokens import PrefixCounter, WordEnd, token_counts, tokenizer
+from parchmint.llm.word_tokens import ChunkIds, PrefixCounter, WordEnd, token_counts, tokenizer
 from tests.llm.conftest import documents
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -82,20 +86,51 @@ def test_round_trip_rows(spark, awkward, empty, library):
 
 def test_prefix_counts_equal_the_library(texts):
     counter, lib = PrefixCounter(WORDS), tokenizer(WORDS)
-    assert counter.totals(texts) == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
-    for t in [ODD[0], texts[-1][:200]]:
+    assert counter.totals(pa.array(texts)).tolist() == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    for t in [ODD[0], "it's DON'T you'll we're 's 'l Ærø à 12 ½", texts[-1][:200]]:
         table = counter.table(t)
         exact = [len(lib.encode(t[:k], add_special_tokens=False).ids) for k in range(len(t) + 1)]
         assert [counter.count(t, k, table) for k in range(len(t) + 1)] == exact
         for budget in (0, 1, 7, 50, 10_000):
             best = counter.longest_prefix(t, budget)
             assert exact[best] <= budget and (best == len(t) or counter.table(t)[1][-1] > budget)
+            assert best == len(t) or exact[best + 1] > budget
+
+
+def test_splits_equal_the_patterns():
+    """Both vectorised splits against their patterns, on every code point below U+3000 and on odd sequences."""
+    rng = random.Random(11)
+    alphabet = ["'", "'s", "'re", "'l", "'ll", " ", "  ", "\n", "\t ", "\xa0", "a", "Zé", "1", "½", "٣", ".", "!?", "中", "\x1c", "\x85", "s", "e"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    texts += ["a" + chr(c) + "b" + chr(c) + " 1" for c in range(0x3000)]
+    column = pa.array(["left out", *texts])[1:]
+    word_pattern = WordEnd(WORDS).split
+    for split, pattern in ((splitting.byte_pieces, regex.compile(public_tokenizers.PATTERN)), (splitting.words, word_pattern)):
+        found = split(Texts(column))
+        got = [[found.distinct[i].decode() for i in found.index[a:b]] for a, b in zip(found.at, found.at[1:], strict=False)]
+        assert got == [pattern.findall(t) for t in texts]
+
+
+def test_plain_rows_are_encoded_as_the_library_does():
+    lib, encoder = tokenizer(WORDS), ChunkIds(WORDS)
+    texts = ["x" + chr(c) + "Y " + chr(c) + chr(c) + "1" for c in range(0x200)] + ["a <|endoftext|>", "|endoftext|>", None, "", "İ A"]
+    got = encoder.encode_many(pa.array(texts))
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_recent_results_stay_and_are_bounded():
+    made, recent = [], splitting.Recent(100)
+    for i in range(400):
+        keys = ["always", *range(10 * i, 10 * i + 10)]
+        assert recent.fetch(keys, lambda new: made.extend(new) or [str(k) for k in new]) == [str(k) for k in keys]
+        assert len(recent) <= 130
+    assert made.count("always") == 1 and len(made) == 4001
 
 
 def test_word_tables_count_every_prefix():
     words, lib = WordEnd(WORDS), tokenizer(WORDS)
     for word in ("thingstionandly", "a", "zzzzqx", "internationalisation"):
-        assert words.counts(word) == [len(lib.encode(word[:k], add_special_tokens=False).ids) for k in range(len(word) + 1)]
+        assert words.counts(word.encode()) == [len(lib.encode(word[:k], add_special_tokens=False).ids) for k in range(len(word) + 1)]
 
 
 def test_token_count_rows(awkward, empty):
@@ -103,7 +138,11 @@ def test_token_count_rows(awkward, empty):
     rows = token_counts(awkward, WORDS).collect()
     assert len(rows) == awkward.count()
     want = {r.doc_id: (len((r.text or "").encode()), len(lib.encode(r.text or "", add_special_tokens=False).ids)) for r in awkward.collect()}
-    assert {r.id: (r.n_bytes, r.n_tokens) for r in rows} == want and token_counts(empty, WORDS).count() == 0
+    assert {r.id: (r.n_bytes, r.n_tokens) for r in rows} == want
+    for r in awkward.collect():
+        fits = next(x.limit_chars for x in rows if x.id == r.doc_id and (x.n_bytes == len((r.text or "").encode())))
+        assert len(lib.encode((r.text or "")[:fits], add_special_tokens=False).ids) <= 2048 and (want[r.doc_id][1] > 2048) == (fits < len(r.text or ""))
+    assert token_counts(empty, WORDS).count() == 0
 
 
 def check_packed(rows, table):
