@@ -5,7 +5,7 @@ markup go, references are decoded. Elements that name themselves as menus,
 headers, footers, sidebars, notices, adverts, forms or comments are furniture.
 Pages are ordered by host and path, so each is compared with the nearest
 URLs of its host, of which copies are passed over; lines of the two are aligned by
-longest common subsequence and, where no article is marked, shared lines deleted.
+longest common subsequence and, where no article is marked, lines that half of the nearest share deleted.
 Lines outside a marked article are left out without a comparison. Two pages that quote
 one passage share it too, and it is no furniture, so a line inside a marked article
 goes only when it is short and the nearest four pages that differ have it as well.
@@ -18,17 +18,20 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchmint.llm.neighbours import with_neighbours
 
+#: The rest of a tag up to its end, or to that of the page: every match takes what it has read, so a scan is linear.
+_REST = r"(?>[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|title|textarea|noscript|iframe|xmp|noframes|noembed)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|</([a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>",
+    rf"|<(script|style|title|textarea|noscript|iframe|xmp|noframes|noembed)\b{_REST}(?:>|\Z).*?(?:</\1\s*>|\Z)"
+    r"|</([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)"
+    rf"|<([a-zA-Z][^\s/>]*+)({_REST})(?:>|\Z)"
+    r"|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/>]+)")
@@ -39,6 +42,7 @@ BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+WALLS = frozenset("article body main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FURNITURE_TAGS = frozenset("aside audio button canvas datalist dialog fieldset footer form head header math menu nav object search select svg template video".split())
 FURNITURE_NAMES = frozenset(
@@ -51,6 +55,8 @@ ARTICLE_NAMES = frozenset("article article-body article-content articlebody cont
 #: First parts of names that tell of a layout, and whether something stands in it, rather than name what the element is.
 STATES = frozenset("has have is no not show with without".split())
 COPY_SHARE = 0.8
+#: Bits of a table of common subsequences that are held at once.
+TABLE_BITS = 1 << 28
 #: A line of a marked article goes when so many other pages nearby have it in theirs, and it has at most so many characters.
 WITNESSES, SHORT_LINE = 4, 200
 Line = tuple[str, int, bool]
@@ -93,6 +99,8 @@ def page_lines(html: str) -> list[Line]:
     """Lines (text, level, furniture) of a page in order, white space collapsed, empty ones left out."""
     lines: list[tuple[str, int, int]] = []
     stack: list[tuple[str, int, int, bool]] = []
+    places: dict[str, list[int]] = {}  # of the open elements of each tag in the stack
+    walls: list[int] = []  # places of the elements that a stray end tag does not leave
     level, furniture, muted, buffer, at = 0, 0, False, [], 0  # muted: in furniture that stands inside a line
 
     def close() -> None:
@@ -101,6 +109,15 @@ def page_lines(html: str) -> list[Line]:
             lines.append((text, level, furniture))
         buffer.clear()
 
+    def leave(place: int) -> tuple[int, int, bool]:
+        state = stack[place][1:]
+        for tag, *_ in stack[place:]:
+            places[tag].pop()
+        del stack[place:]
+        while walls and walls[-1] >= place:
+            walls.pop()
+        return state
+
     for m in _TOKEN.finditer(html):
         if m.start() > at and not muted:
             buffer.append(unescape(html[at : m.start()]))
@@ -110,8 +127,11 @@ def page_lines(html: str) -> list[Line]:
             if tag in BLOCK:
                 close()
                 if stack and stack[-1][0] == tag and tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):
-                    level, furniture, muted = stack.pop()[1:]
+                    level, furniture, muted = leave(len(stack) - 1)
             if tag not in VOID and not m[4].endswith("/"):
+                places.setdefault(tag, []).append(len(stack))
+                if tag in WALLS:
+                    walls.append(len(stack))
                 stack.append((tag, level, furniture, muted))
                 before = furniture
                 level, furniture = _place(tag, m[4], level, furniture)
@@ -120,13 +140,9 @@ def page_lines(html: str) -> list[Line]:
             tag = m[2].lower()
             if tag in BLOCK:
                 close()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    level, furniture, muted = stack[i][1:]
-                    del stack[i:]
-                    break
-                if stack[i][0] in ("article", "main", "body") and tag not in ("html", "body", "main", "article"):
-                    break  # a stray end tag does not leave the article
+            place = places[tag][-1] if places.get(tag) else -1
+            if place >= 0 and (tag in WALLS or tag == "html" or not walls or place > walls[-1]):
+                level, furniture, muted = leave(place)
     if at < len(html) and not muted:
         buffer.append(unescape(html[at:]))
     close()
@@ -135,10 +151,16 @@ def page_lines(html: str) -> list[Line]:
 
 
 def common_subsequence(one: list[str], two: list[str]) -> set[int]:
-    """Indices in ``one`` of a longest common subsequence, by Hunt and Szymanski's chains."""
+    """Indices in ``one`` of a longest common subsequence.
+
+    Chains of equal pairs (Hunt and Szymanski) where equal pairs are few; where lines recur so
+    often that they are many, bit vectors of the whole table's rows.
+    """
     places: dict[str, list[int]] = {}
     for j, line in enumerate(two):
         places.setdefault(line, []).append(j)
+    if sum(len(places.get(line, ())) for line in one) > 64 * (len(one) + len(two)):
+        return _by_bits(one, two)
     tails: list[int] = []
     chains: list[tuple] = []
     for i, line in enumerate(one):
@@ -158,6 +180,57 @@ def common_subsequence(one: list[str], two: list[str]) -> set[int]:
     return out
 
 
+def _rows(one: list[str], two: list[str]) -> Iterator[int]:
+    """For each prefix of ``one`` a number whose bit j is 0 where the common subsequence with ``two`` grows at j."""
+    masks: dict[str, int] = {}
+    for j, line in enumerate(two):
+        masks[line] = masks.get(line, 0) | 1 << j
+    full = (1 << len(two)) - 1
+    row = full
+    yield row
+    for line in one:
+        both = row & masks.get(line, 0)
+        row = (row + both | row - both) & full
+        yield row
+
+
+def _lengths(one: list[str], two: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``one`` with each prefix of ``two``."""
+    row = 0
+    for row in _rows(one, two):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(two) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(two)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _by_bits(one: list[str], two: list[str]) -> set[int]:
+    """The same by the rows of the whole table; a table over ``TABLE_BITS`` is halved at the best place until it fits."""
+    out, work = set(), [(0, len(one), 0, len(two))]
+    while work:
+        a, b, c, d = work.pop()
+        if a == b or c == d:
+            continue
+        if (b - a) * (d - c) > TABLE_BITS and b - a > 1:
+            half = (a + b) // 2
+            ahead, behind = _lengths(one[a:half], two[c:d]), _lengths(one[half:b][::-1], two[c:d][::-1])[::-1]
+            cut = c + int(np.argmax(ahead + behind))
+            work += [(a, half, c, cut), (half, b, cut, d)]
+            continue
+        rows = list(_rows(one[a:b], two[c:d]))
+        i, j = b - a, d - c
+        while i and j:
+            if rows[i] >> (j - 1) & 1:
+                j -= 1
+                continue
+            mask = (1 << j) - 1
+            if (rows[i - 1] & mask).bit_count() == (rows[i] & mask).bit_count():
+                i -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.add(a + i)
+    return out
+
+
 def _body(lines: list[Line]) -> int:
     """The level that holds the most text of those marked, the surer of two; 0 where none is marked."""
     mass = [0] * 4
@@ -179,20 +252,27 @@ def _others(own: list[Line], before: list[list[Line]], after: list[list[Line]])
 
 
 def _unmarked_shared(own: list[Line], others: list[list[Line]]) -> set[int]:
-    """Lines that a page without a marked article shares with the nearest page that is no near copy of it.
+    """Lines that a page without a marked article shares with half or more of the nearest ``WITNESSES`` pages that are no near copies of it.
 
     Where all pages nearby are near copies, as short texts under large menus look, the lines
     that it shares with all of them go, if there are two at least and something stays.
     """
     texts = [text for text, _, _ in own]
     whole = sum(map(len, texts))
-    common = set(range(len(own)))
+    common, votes, used = set(range(len(own))), [0] * len(own), 0
     for other in others:
         top = _body(other)
         found = common_subsequence(texts, [text for text, level, _ in other if not (top and level >= top)])
         if sum(len(texts[i]) for i in found) < COPY_SHARE * whole:
-            return found
-        common &= found
+            used += 1
+            for i in found:
+                votes[i] += 1
+            if used == WITNESSES:
+                break
+        elif not used:
+            common &= found
+    if used:
+        return {i for i, n in enumerate(votes) if n and 2 * n >= used}
     left = any(not furniture for i, (_, _, furniture) in enumerate(own) if i not in common)
     return common if len(others) > 1 and left else set()
 

@@ -23,6 +23,8 @@ Row = dict
 Pairer = Callable[[list[Row], list[Row | None]], list[Row]]
 #: Sampled keys for each range.
 SAMPLE = 50
+#: Bytes of compressed input that a range holds at most, about.
+RANGE_BYTES = 16 << 20
 #: Runs of like rows that are tried on either side of a row.
 REACH = 4
 
@@ -32,6 +34,13 @@ def _key(values: tuple) -> tuple:
     return tuple((0, 0) if v is None else (1, v.encode() if isinstance(v, str) else v) for v in values)
 
 
+def _ranges(df: DataFrame) -> int:
+    """As many ranges as there are shuffle partitions, and enough for about ``RANGE_BYTES`` of the input's files in each."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 60 else 0  # a plan without statistics counts as endless
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // RANGE_BYTES), 1)
+
+
 def _cuts(keys: DataFrame, order: list[str], ranges: int) -> list[tuple]:
     """At most ``ranges`` - 1 keys that part the rows about evenly; the driver gets about ``SAMPLE`` keys for each."""
     share = min(1.0, SAMPLE * ranges / max(keys.count(), 1))
@@ -47,7 +56,7 @@ def with_successor(df: DataFrame, order: list[str], text: str, fn: Pairer, schem
     """
     spark = df.sparkSession
     bounded_batches(spark)
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    partitions = _ranges(df)
     cuts = _cuts(df.select(*order), order, partitions)
     columns = df.columns
     fields = spark.createDataFrame([], schema).schema
@@ -148,7 +157,7 @@ def with_neighbours(df: DataFrame, order: list[str], text: str, parse: Callable,
     """
     spark = df.sparkSession
     bounded_batches(spark)
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    partitions = _ranges(df)
     cuts = _cuts(df.select(*order), order, partitions)
     columns = df.columns
     kinds = dict(df.dtypes)

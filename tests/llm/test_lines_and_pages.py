@@ -2,7 +2,10 @@ from __future__ import annotations
 
 import random
 import re
+import time
+from html.parser import HTMLParser
 
+from parchmint.llm import html_main
 from parchmint.llm.html_main import common_subsequence, main_lines, main_text, page_lines
 from parchmint.llm.line_dedup import drop_spread_lines
 from parchmint.llm.neighbours import with_successor
@@ -40,18 +43,37 @@ def test_awkward_lines(awkward, empty):
     assert drop_spread_lines(empty).count() == 0
 
 
-def test_common_subsequence_is_longest():
+def test_common_subsequence_is_longest(monkeypatch):
+    monkeypatch.setattr(html_main, "TABLE_BITS", 30)
     rng = random.Random(2)
-    for _ in range(200):
-        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(9))] for _ in range(2))
+    for n in [9] * 200 + [300] * 3:
+        a, b = ([rng.choice("abcd" if n < 10 else "ab") for _ in range(rng.randrange(n // 2, n))] for _ in range(2))
         table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i in range(len(a)):
             for j in range(len(b)):
                 table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
-        found = sorted(common_subsequence(a, b))
-        assert len(found) == table[-1][-1]
-        rest = iter(b)
-        assert all(a[i] in rest for i in found)
+        for find in (common_subsequence, html_main._by_bits):
+            found = sorted(find(a, b))
+            assert len(found) == table[-1][-1]
+            rest = iter(b)
+            assert all(a[i] in rest for i in found)
+
+
+def test_long_and_broken_pages_take_linear_time():
+    begun = time.process_time()
+    for part in ("<a ", "<a href='x", '<a b="', "<i>", "</b>", "<i></b>", "<p>x", "<b><article><i></b>", "<!--", "</", "<script ", "<a  =  ", "<div class=ad>", "= '"):
+        page_lines(part * (1_000_000 // len(part)))
+    page_lines("<b><article>" + "<i>" * 200_000 + "</b>" * 200_000)
+    assert len(common_subsequence(["x", "y"] * 4000, ["x"] * 9000)) == 4000
+    assert time.process_time() - begun < 60
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    page = "<body><div>Menu</div><p>Story {0}</p></body>"
+    schema = "page_id long, url string, html string, id string, text int, host string, path string, tie string, n_chars int"
+    rows = [(i, f"http://h/{i}", page.format(i), "x", 1, "no", "no", "t", 0) for i in (1, 2, 2, 2, 3)] + [(4, "", "<p>none", "x", 1, None, None, None, 0), (5, "http://h/9", "<p>" + "long word " * 200_000, "x", 1, "", "", "", 0)]
+    got = sorted((r.id, r.text) for r in main_text(spark.createDataFrame(rows, schema)).collect())
+    assert got[:6] == [(1, "Story 1"), (2, "Story 2"), (2, "Story 2"), (2, "Story 2"), (3, "Story 3"), (4, "none")] and len(got[6][1]) == 1_999_999
 
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var t="</p>";</script></head><body class="has-sidebar">
@@ -77,6 +99,39 @@ def test_shared_lines_go_where_no_article_is_marked(spark):
     assert got[5] == got[6] == "Menu one Menu two Story 9 alone More of 9 All rights"
 
 
+class Articles(HTMLParser):
+    """A plain reading of the given pages, which mark one article each."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.skip, self.lines = 0, 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.skip += tag in ("script", "style")
+        if tag in ("article", "p", "h1", "br", "li", "div"):
+            self.lines.append("")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        self.skip -= tag in ("script", "style")
+        if tag in ("article", "p", "h1", "li", "div"):
+            self.lines.append("")
+
+    def handle_data(self, data):
+        if self.depth and not self.skip:
+            self.lines[-1] += data
+
+
+def test_given_pages_equal_a_plain_reading(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    got = {r.id: r.text for r in main_text(spark.read.parquet(f"{sf}/pages.parquet")).collect()}
+    for r in pages:
+        reader = Articles()
+        reader.feed(r.html or "")
+        assert got[r.page_id] == " ".join(x for x in (" ".join(line.split()) for line in reader.lines) if x)
+
+
 def test_malformed_pages_keep_their_blocks():
     text = [x for x, _, furniture in page_lines("<p><b>one<br><p>two<li>three</ul>four<td>five &lt;x&gt; <script>no</script") if not furniture]
     assert text == ["one", "two", "three", "four", "five <x>"]
