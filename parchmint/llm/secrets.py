@@ -1,11 +1,11 @@
 """Secret scanning with SQL functions only.
 
 Three fixed patterns give the base spans. Further candidates are long runs of
-token characters that hold a letter and a digit; a window slides over each, and
-the Shannon entropy of every window follows from the counts of the characters
-that enter and leave it. A run is reported where some window reaches its
-character class's threshold, unless the allow-list knows it or a base span
-holds all of it. Offsets are code points.
+token characters; a window slides over each, and the Shannon entropy of every
+window follows from the counts of the characters that enter and leave it. The counts
+are packed into a few longs, so a step adds one and takes one away. A run is reported where some
+window reaches the threshold of its character class, unless the allow-list knows it or a
+base span holds all of it. Offsets are code points.
 """
 
 from __future__ import annotations
@@ -19,13 +19,22 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 #: A run that is too short has no longer run inside it, so these keep only what passes.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "entropy")
 LEAST_VALUE = 6
 WINDOW = 20
-#: Bits a character that some window must reach, by what a run is made of: hexadecimal digits, letters of one case and
-#: digits, any. About 1 in 100 random strings of 20 characters stays below (one-case hexadecimal digits: 9).
-HEX_BITS, CASE_BITS, TOKEN_BITS = 3.1, 3.4, 3.6
+#: Character classes, the first that a run belongs to counts, and the bits a character that some window of it must reach.
+#: Digits alone reach log2(10) = 3.32 at most and are numbers, so none do. About 1 in 100 random strings of 20 characters of the
+#: classes with digits stays below (one-case hexadecimal digits: 9). Words run together come close to random letters, so
+#: letters alone must be nearly all different.
+CLASSES = (
+    ("digits", r"^[0-9+/_=-]+$", 9.0),
+    ("hexadecimal", r"^[0-9A-Fa-f]+$", 3.1),
+    ("letters of one case", r"^(?:[a-z+/_=-]+|[A-Z+/_=-]+)$", 4.0),
+    ("letters", r"^[A-Za-z+/_=-]+$", 3.9),
+    ("letters of one case and digits", r"^(?:[0-9a-z+/_=-]+|[0-9A-Z+/_=-]+)$", 3.4),
+    ("any", r"", 3.6),
+)
 #: Runs that look random and are not: UUIDs, alphabets, placeholders, dates and version numbers, page addresses.
 ALLOWED = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
@@ -35,6 +44,8 @@ ALLOWED = (
     r"^(?:[A-Za-z]+|[0-9]{1,4})(?:[-_/](?:[A-Za-z]+|[0-9]{1,4}))+/?$",
 )
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Counts of 5 bits that a long holds.
+_PACKED = 12
 _SPAN = "struct<start:int,kind:int,stop:int,body:string>"
 
 
@@ -64,30 +75,45 @@ def window_entropy(body: Column) -> Column:
     the difference that the entering character makes and takes that of the leaving one.
     """
     weight = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 2)])
-    places = F.transform(F.split(body, ""), lambda c: F.instr(F.lit(_ALPHABET), c))
+    places = F.transform(F.split(body, ""), lambda c: F.instr(F.lit(_ALPHABET), c) - 1)
+    words = range(-(-len(_ALPHABET) // _PACKED))
+
+    def held(acc: Column, place: Column) -> Column:
+        """How often a character is in the window."""
+        word = F.element_at(acc["counts"], F.floor(place / _PACKED).cast("int") + 1)
+        return F.call_function("shiftright", word, _shift(place)).bitwiseAND(31).cast("int")
 
     def step(acc: Column, i: Column) -> Column:
-        counts = acc["counts"]
         enter = F.element_at(places, i)
-        leave = F.when(i > WINDOW, F.element_at(places, F.greatest(i - WINDOW, F.lit(1)))).otherwise(F.lit(0))
-        before = F.element_at(counts, enter)
+        leave = F.when(i > WINDOW, F.element_at(places, F.greatest(i - WINDOW, F.lit(1)))).otherwise(F.lit(-1))
+        before = held(acc, enter)
         gain = F.element_at(weight, before + 2) - F.element_at(weight, before + 1)
-        held = F.element_at(counts, F.greatest(leave, F.lit(1))) + F.when(leave == enter, 1).otherwise(0)
-        loss = F.when(leave > 0, F.element_at(weight, held + 1) - F.element_at(weight, F.greatest(held, F.lit(1)))).otherwise(F.lit(0.0))
-        after = F.transform(counts, lambda c, k: c + F.when(k + 1 == enter, 1).otherwise(0) - F.when(k + 1 == leave, 1).otherwise(0))
+        left = held(acc, F.greatest(leave, F.lit(0))) + F.when(leave == enter, 1).otherwise(0)
+        loss = F.when(leave >= 0, F.element_at(weight, left + 1) - F.element_at(weight, F.greatest(left, F.lit(1)))).otherwise(F.lit(0.0))
+
+        def one(place: Column, k: int) -> Column:
+            return F.when(F.floor(place / _PACKED) == k, F.call_function("shiftleft", F.lit(1).cast("long"), _shift(place))).otherwise(F.lit(0).cast("long"))
+
+        after = F.array(*[F.element_at(acc["counts"], k + 1) + one(enter, k) - one(leave, k) for k in words])
         total = acc["total"] + gain - loss
         bits = F.when(i >= WINDOW, F.lit(math.log2(WINDOW)) - total / F.lit(float(WINDOW))).otherwise(F.lit(0.0))
         return F.struct(after.alias("counts"), total.alias("total"), F.greatest(acc["best"], bits).alias("best"))
 
-    start = F.struct(F.array_repeat(F.lit(0), len(_ALPHABET)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
+    start = F.struct(F.array(*[F.lit(0).cast("long") for _ in words]).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
     return F.aggregate(F.sequence(F.lit(1), F.length(body)), start, step, lambda acc: acc["best"])
 
 
+def _shift(place: Column) -> Column:
+    return (F.pmod(F.greatest(place, F.lit(0)), F.lit(_PACKED)) * 5).cast("int")
+
+
 def _suspicious(body: Column) -> Column:
     allowed = F.lit(False)
     for pattern in ALLOWED:
         allowed = allowed | body.rlike(pattern)
-    least = F.when(body.rlike("^[0-9A-Fa-f]+$"), HEX_BITS).when(body.rlike("^(?:[0-9a-z+/_=-]+|[0-9A-Z+/_=-]+)$"), CASE_BITS).otherwise(TOKEN_BITS)
+    least = F.lit(CLASSES[-1][2])
+    for _, pattern, bits in reversed(CLASSES[:-1]):
+        least = F.when(body.rlike(pattern), bits).otherwise(least)
     return ~allowed & (window_entropy(body) >= least)
 
 

@@ -48,6 +48,22 @@ def test_entropy_finds_random_strings_and_spares_listed_ones(spark):
     assert got[6] == f"entropy:4:{4 + 2 * len(RANDOM)}" and got[7] == ""
 
 
+def test_classes_of_random_strings_and_of_words(spark):
+    rng, letters = random.Random(8), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    found = ["".join(rng.choice(alphabet) for _ in range(40)) for alphabet in (letters, letters + "0123456789+/", letters[26:] + "0123456789", "0123456789ABCDEF", letters[:26] + "234567")]
+    spared = ["Donaudampfschifffahrtsgesellschaft", "getElementsByTagNameAndClassName", "internationalisation-of-everything", "-" * 40, "13579086421357908642", "2024-01-01/2024-12-31", "https://host/a/very/long/path/of/words/only"]
+    got = {r.doc_id: r.spans for r in secret_spans(documents(spark, [f"a {t} b" for t in found + spared])).collect()}
+    assert [got[i] for i in range(len(found))] == ["entropy:2:42"] * len(found)
+    assert [got[len(found) + i] for i in range(len(spared))] == [""] * len(spared)
+
+
+def test_thousands_of_matches_in_a_text(spark):
+    text = " ".join(f"token={i:08}" if i % 2 else f"{i:024x}" for i in range(3000))
+    r = secret_spans(documents(spark, [text])).collect()[0]
+    assert [r.n_assign, r.n_hex] == [1500, 1500]
+    assert r.base_sha256 == hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base(text)).encode()).hexdigest()
+
+
 def test_window_entropy_is_exact(spark):
     rng = random.Random(6)
     strings = ["".join(rng.choice("abcABC019+/") for _ in range(n)) for n in (20, 21, 40, 90)] + ["a" * 30, RANDOM]
