@@ -13,10 +13,13 @@
    once that falls below ``miss``. Survivors are confirmed on the full sets.
 4. Pairs of one component need no comparison, so in each bucket only members
    outside its most frequent component, the minority, are compared with the others,
-   each pair in the first band that it shares. Members are dealt out in blocks of
+   each pair in the first band that it shares. Sets whose sizes are too far apart for the
+   threshold need no comparison either, so a large bucket is cut into cells of like
+   sizes, each of two neighbouring classes. Members of a cell are dealt out in blocks of
    bounded rows and bytes; each goes once to every block of the minority, of which
-   there is one unless it is large itself. First the likeliest few partners of each
-   minority member are confirmed and components merged anew; what is then still
+   there is one unless it is large itself. Before that, a round deals each member to
+   one block of each bucket, by another hash in every band, confirms its likeliest
+   partner there and merges components anew, so the rest is small. What is then still
    apart brings its texts to its block pair, where the exact test runs over all
    surviving pairs and returns one link for each two components that prove to be
    one. So no link is lost, and rows grow with a group's size times its unlinked rest.
@@ -42,10 +45,8 @@ HASHES = BANDS * ROWS
 #: Signature values read before each decision of the sequential test.
 STEPS = (16, 32, 64, HASHES)
 #: Members of a bucket in a block, and about how many bytes their texts have; a task compares two blocks.
-BLOCK = 128
+BLOCK = 256
 BLOCK_BYTES = 4 << 20
-#: Partners of a minority member that are confirmed first, in each block.
-FIRST = 3
 _FACTORS = np.random.default_rng(8675309).integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
 
 
@@ -151,7 +152,7 @@ def _pruner(percent: int, miss: float):
 
 
 class _Block:
-    """A block of a bucket's minority (part 0) against one of its members (part 1)."""
+    """A block of a bucket's minority (part 0) against one of its members (part 1), or a block within itself (part 2)."""
 
     def __init__(self, key, table: pa.Table, percent: int, least: list[int]):
         self.ids, self.labels, self.n, self.part = (table.column(c).to_numpy() for c in ("id", "label", "n", "part"))
@@ -159,12 +160,14 @@ class _Block:
         self.signatures = _matrix(table.column("signature").combine_chunks())
         self.keys = band_keys(self.signatures)[:, : key[0].as_py()]
         self.percent, self.least = percent, least
-        self.minority, self.members = np.flatnonzero(self.part == 0), np.flatnonzero(self.part == 1)
+        self.minority, self.members = np.flatnonzero((self.part == 0) | (self.part == 2) & (self.labels != self.major)), np.flatnonzero(self.part != 0)
+        self.sizes, self.cell = table.column("class").to_numpy(), key[2].as_py()
 
     def partners(self, i: int) -> np.ndarray:
         """Members of other components that may be similar to row i, likeliest first, each pair in its first band."""
         j = self.members
         once = (self.labels[j] == self.major) | (self.ids[j] > self.ids[i])
+        once &= (self.sizes[j] != self.sizes[i]) | (self.sizes[i] == self.cell)  # sets of one class meet in two cells
         j = j[(self.labels[j] != self.labels[i]) & once & _fits(self.n[j], self.n[i], self.percent)]
         ok, equal = _sequential(np.broadcast_to(self.signatures[i], (len(j), HASHES)), self.signatures[j], self.least)
         j = j[ok[np.lexsort((self.ids[j[ok]], -equal))]]
@@ -176,7 +179,7 @@ def _likeliest(percent: int, miss: float):
 
     def pick(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         block = _Block(key, table, percent, least)
-        found = [(int(block.ids[i]), int(block.ids[j])) for i in block.minority for j in block.partners(i)[:FIRST]]
+        found = [(int(block.ids[i]), int(block.ids[j])) for i in block.minority for j in block.partners(i)[:1]]
         return pa.table({"a": pa.array([max(f) for f in found], pa.int64()), "b": pa.array([min(f) for f in found], pa.int64())})
 
     return pick
@@ -310,28 +313,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Buckets with the same members are one, that of the first band.
     crowd = members.where("size > 2")
     once = crowd.groupBy("size", "content", "content2").agg(F.min(F.struct("band", "bucket")).alias("first")).select("first.*")
-    crowd = crowd.select("band", "bucket", "id").join(once, ["band", "bucket"], "left_semi")
-    crowd = scratch.save(crowd.join(sets.select("id", "n", "signature", "weight"), "id"), "crowded")
+    crowd = crowd.select("band", "bucket", "size", "id").join(once, ["band", "bucket"], "left_semi").join(sets.select("id", "n", "signature", "weight"), "id")
+    # Sets that can reach the threshold are of one class or of neighbouring ones; a little more than the exact ratio covers rounding.
+    like = F.when(F.col("size") > BLOCK, F.floor(F.log("n") / math.log(100.01 / percent))).otherwise(0).cast("int")
+    cells = F.when(F.col("size") > BLOCK, F.array(F.col("class"), F.col("class") + 1)).otherwise(F.array(F.col("class")))
+    crowd = scratch.save(crowd.withColumn("class", like).withColumn("cell", F.explode(cells)).drop("size"), "crowded")
     scratch.drop("members")
-    group = ["band", "bucket", "low", "high"]
-    told = [*group, "id", "label", "n", "signature", "part", "major"]
+    cell = ["band", "bucket", "cell"]
+    group = [*cell, "low", "high"]
+    told = [*group, "id", "label", "n", "class", "signature", "part", "major"]
 
-    def dealt() -> DataFrame:
-        """Block pairs of the buckets that hold several components; those with one are done."""
+    def mixed() -> DataFrame:
+        """Members of the cells that hold several components; those with one are done."""
         now = crowd.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        each = now.groupBy("band", "bucket", "label").agg(F.count("*").alias("rows"), F.sum("weight").alias("bytes"))
-        mixed = each.groupBy("band", "bucket").agg(F.max_by("label", F.struct("rows", "label")).alias("major"), F.max(F.struct("rows", "label", "bytes")).alias("top"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.count("*").alias("labels")).where("labels > 1")
+        each = now.groupBy(*cell, "label").agg(F.count("*").alias("rows"), F.sum("weight").alias("bytes"), F.max("class").alias("most"))
+        several = each.groupBy(*cell).agg(F.max_by("label", F.struct("rows", "label")).alias("major"), F.max(F.struct("rows", "label", "bytes")).alias("top"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.count("*").alias("labels"), F.max("most").alias("most")).where("labels > 1 AND most = cell")
 
         def blocks(rows, size):
             return F.greatest(F.ceil(rows / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
 
-        mixed = mixed.select("band", "bucket", "major", blocks(F.col("rows"), F.col("bytes")).alias("highs"), blocks(F.col("rows") - F.col("top.rows"), F.col("bytes") - F.col("top.bytes")).alias("lows"))
-        open_ = now.join(mixed, ["band", "bucket"]).withColumn("side", F.pmod(F.xxhash64("id"), F.col("highs")).cast("int")).withColumn("few", F.pmod(F.xxhash64("id", F.lit(1)), F.col("lows")).cast("int"))
+        several = several.select(*cell, "major", blocks(F.col("rows"), F.col("bytes")).alias("highs"), blocks(F.col("rows") - F.col("top.rows"), F.col("bytes") - F.col("top.bytes")).alias("lows"))
+        return now.join(several, cell)
+
+    def within() -> DataFrame:
+        """Each member in one block of its cell."""
+        place = F.pmod(F.xxhash64("id", "band"), F.col("highs")).cast("int")
+        return mixed().select("*", F.lit(0).alias("low"), place.alias("high"), F.lit(2).alias("part")).select(*told)
+
+    def dealt() -> DataFrame:
+        """Each member against every block of the minority, and each of the minority against every block; one block is a group by itself."""
+        open_ = mixed().withColumn("side", F.pmod(F.xxhash64("id"), F.col("highs")).cast("int")).withColumn("few", F.pmod(F.xxhash64("id", F.lit(1)), F.col("lows")).cast("int"))
         deals = F.transform(F.sequence(F.lit(0), F.col("lows") - 1), lambda x: F.struct(x.alias("low"), F.col("side").alias("high"), F.lit(1).alias("part")))
         again = F.transform(F.sequence(F.lit(0), F.col("highs") - 1), lambda x: F.struct(F.col("few").alias("low"), x.alias("high"), F.lit(0).alias("part")))
-        return open_.withColumn("deal", F.explode(F.when(F.col("label") == F.col("major"), deals).otherwise(F.concat(deals, again)))).select("*", "deal.*").select(*told)
+        alone = F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(2).alias("part")))
+        return open_.withColumn("deal", F.explode(F.when(F.col("highs") == 1, alone).when(F.col("label") == F.col("major"), deals).otherwise(F.concat(deals, again)))).select("*", "deal.*").select(*told)
 
-    likely = scratch.save(dealt().groupBy(*group).applyInArrow(_likeliest(percent, miss), "a long, b long").distinct(), "pairs-1")
+    likely = scratch.save(within().groupBy(*group).applyInArrow(_likeliest(percent, miss), "a long, b long").distinct(), "pairs-1")
     links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(scratch.save(confirmed(likely), "links-1"))
     labels = connected_components(scratch, "labels-1", links)
     open_ = dealt()
