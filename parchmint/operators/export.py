@@ -36,6 +36,26 @@ def zip_archives(docs: DataFrame, batch: str, per_archive: int = 1000) -> DataFr
     return numbered.select(batch, "part", "file_ord", "entry_name", "markdown").groupBy(batch, "part").applyInArrow(pack, f"{batch} {kind}, part long, archive binary")
 
 
-def write_markdown(docs: DataFrame, path: str) -> None:
-    """Documents as text, one record each, in folders by the first byte of their id's hash."""
-    docs.select(F.substring(F.sha2(F.col("entry_name"), 256), 1, 2).alias("bucket"), F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("bucket").option("lineSep", "\u0000").text(path)
+def write_markdown(docs: DataFrame, path: str) -> DataFrame:
+    """Each document (entry_name, markdown) as a file of its own under ``path``; returns rows (entry_name, bytes) of those written.
+
+    ``path`` is a folder that executors reach, of any file system that pyarrow knows or of local paths.
+    Names are taken as they are but for separators, which become underscores. A name's file is
+    written whole, so a task that runs again replaces it; of equal names one stays.
+    """
+
+    def write(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            sizes = []
+            for name, text in zip(batch.column("entry_name").to_pylist(), batch.column("markdown").to_pylist(), strict=True):
+                data = (text or "").encode()
+                with store.open_output_stream(f"{root}/{name.replace('/', '_')}") as out:
+                    out.write(data)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([batch.column("entry_name"), pa.array(sizes, pa.int64())], names=["entry_name", "bytes"])
+
+    return docs.select("entry_name", "markdown").mapInArrow(write, "entry_name string, bytes long")

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchmint.functions.text import format_size, sanitize_filename, truncate
-from parchmint.options import ARCHIVE_ERRORS, CHANGES_WARNING, IMAGES_WARNING, NO_TEXT, OTHER_WARNING, Limits, status_dimension
+from parchmint.options import ARCHIVE_ERRORS, CHANGES_WARNING, IMAGES_WARNING, LARGE_DOCUMENT, NO_TEXT, OTHER_WARNING, TIMED_OUT, Limits, status_dimension
+
+#: What a reader's warnings about images and about tracked changes hold.
+IMAGE, CHANGE = "(?i)image", "(?i)tracked.change|revision"
 
 
 def sniff(content: Column) -> Column:
@@ -39,6 +42,57 @@ def ingest(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return files.select(F.sha2("path", 256).alias("id"), name.alias("name"), sanitize_filename(F.regexp_replace(name, r"(?i)\.(pdf|docx)\z", "")).alias("sanitized_name"), F.col("length").alias("size"), size_status(F.col("length"), limits).alias("status"), "content")
 
 
+def page_has_text(items: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_no")) -> DataFrame:
+    """Rows (keys, has_text): whether any item of a page is not blank."""
+    from parchmint.functions.text import INK
+
+    return items.groupBy(*keys).agg(F.bool_or(F.coalesce(F.col("str"), F.lit("")).rlike(INK)).alias("has_text"))
+
+
+def progress(page: Column, pages: Column) -> Column:
+    """Percent after a page; the last tenth is for the assembly."""
+    return F.floor(page / pages * 90 + F.lit(0.5))
+
+
+def clamp_index(index: Column, count: Column) -> Column:
+    """The active result after some were removed: the last one where it stood past the end, 0 without any."""
+    return F.when(index >= count, F.greatest(count - 1, F.lit(0))).otherwise(index)
+
+
+def shown_index(index: Column, count: Column) -> Column:
+    """The result that is shown: the first where the active one stands past the end; null without any."""
+    return F.when(count > 0, F.when(index >= count, F.lit(0)).otherwise(index))
+
+
+def timed_out(records: DataFrame, elapsed_ms: Column, limits: Limits = Limits()) -> DataFrame:
+    """Running records whose time is over fail with the fixed message; others stay as they are."""
+    late = F.col("status").isin("converting", "ocr") & (elapsed_ms > limits.max_conversion_ms)
+    return records.withColumns({"status": F.when(late, "failed").otherwise(F.col("status")), "error": F.when(late, TIMED_OUT).otherwise(F.col("error"))})
+
+
+def cancel_or_remove(records: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """Chosen running records are cancelled, chosen others go."""
+    marked = records.join(chosen.select(key).distinct().withColumn("_chosen", F.lit(True)), key, "left")
+    running = F.col("status").isin("converting", "ocr")
+    return marked.where(F.col("_chosen").isNull() | running).withColumn("status", F.when(F.col("_chosen"), "cancelled").otherwise(F.col("status"))).drop("_chosen")
+
+
+def added(records: DataFrame, more: DataFrame) -> DataFrame:
+    """Records with others after them; columns go by name, missing ones are null."""
+    return records.unionByName(more, allowMissingColumns=True)
+
+
+def without(records: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Records whose key is not among those of ``gone``."""
+    return records.join(gone.select(key), key, "left_anti")
+
+
+def warning_counts(messages: DataFrame, keys: list[str], message: str = "message") -> DataFrame:
+    """How many of the messages tell of images, of tracked changes, and of anything else."""
+    m = F.col(message)
+    return messages.groupBy(*keys).agg(F.count_if(m.rlike(IMAGE)).alias("images"), F.count_if(m.rlike(CHANGE)).alias("changes"), F.count_if(~m.rlike(IMAGE) & ~m.rlike(CHANGE)).alias("others"))
+
+
 def archive_error(entries: Column, content_types: Column, limits: Limits = Limits()) -> Column:
     """The first gate that a word-processing archive fails, as its message; null for none."""
     types = F.coalesce(content_types, F.lit(""))
@@ -57,9 +111,9 @@ def archive_error(entries: Column, content_types: Column, limits: Limits = Limit
 def warning_lines(messages: Column) -> Column:
     """The warnings of a reader (type, message) as lines to stand before the text; empty without any."""
     texts = F.transform(F.filter(messages, lambda m: m["type"] == "warning"), lambda m: m["message"])
-    image = F.filter(texts, lambda t: t.rlike("(?i)image"))
-    change = F.filter(texts, lambda t: t.rlike("(?i)tracked.change|revision"))
-    other = F.filter(texts, lambda t: ~t.rlike("(?i)image") & ~t.rlike("(?i)tracked.change|revision"))
+    image = F.filter(texts, lambda t: t.rlike(IMAGE))
+    change = F.filter(texts, lambda t: t.rlike(CHANGE))
+    other = F.filter(texts, lambda t: ~t.rlike(IMAGE) & ~t.rlike(CHANGE))
     none = F.array().cast("array<string>")
     lines = F.concat(
         F.when(F.size(change) > 0, F.array(F.lit(CHANGES_WARNING))).otherwise(none),
@@ -79,14 +133,21 @@ def finish(docs: DataFrame, limits: Limits = Limits(), blank_is_no_text: bool =
 
 
 def queue_display(records: DataFrame) -> DataFrame:
-    """Records with label, class and spoken label of their status and a line of size and pages; unknown statuses read as queued."""
+    """Records with label, class and spoken label of their status and a line of size, pages and a warning; unknown statuses read as queued.
+
+    With ocr_page the label of a page in recognition tells it; with soft_page_warn large documents are marked.
+    """
     dim = status_dimension(records.sparkSession)
     known = F.broadcast(dim.select(F.col("status").alias("_s"), "cls", "label", "aria"))
     first = dim.where("status = 'queued'").first()
     out = records.join(known, records["status"] == F.col("_s"), "left").drop("_s")
     out = out.withColumns({c: F.coalesce(c, F.lit(first[c])) for c in ("cls", "label", "aria")})
-    pages = F.when(F.col("pages").isNotNull(), F.concat(F.col("pages").cast("string"), F.lit(" pages")))
-    return out.withColumn("detail", F.concat_ws(" · ", format_size(F.col("size")), pages))
+    if "ocr_page" in records.columns:
+        of = F.concat(F.lit("OCR · PAGE "), F.col("ocr_page").cast("string"), F.lit(" OF "), F.when(F.col("pages") > 0, F.col("pages").cast("string")).otherwise("?"))
+        out = out.withColumn("label", F.when((F.col("status") == "ocr") & F.col("ocr_page").isNotNull(), of).otherwise(F.col("label")))
+    pages = F.when(F.col("pages") > 0, F.concat(F.col("pages").cast("string"), F.lit(" pages")))
+    large = F.when(F.col("soft_page_warn"), LARGE_DOCUMENT) if "soft_page_warn" in records.columns else F.lit(None)
+    return out.withColumn("detail", F.concat_ws(" · ", format_size(F.col("size")), pages, large))
 
 
 def status_counts(records: DataFrame) -> DataFrame:

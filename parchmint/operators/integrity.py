@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def without(files: DataFrame, exclude: DataFrame, key: str = "path") -> DataFrame:
+    """Files that are not excluded."""
+    return files.join(exclude.select(key), key, "left_anti")
+
+
 def digests(files: DataFrame, content: str = "content") -> DataFrame:
     return files.select("path", F.sha2(F.col(content), 256).alias("sha256"))
 
@@ -16,7 +21,7 @@ def manifest_json(files: DataFrame, version: str, url: str, exclude: DataFrame |
     A manifest lists a release's files, so it is one value by nature.
     """
     if exclude is not None:
-        files = files.join(exclude, "path", "left_anti")
+        files = without(files, exclude)
     entries = F.array_sort(F.collect_list(F.struct("path", "sha256")))
     lines = F.transform(entries, lambda e: F.concat(F.lit("    "), F.to_json(F.struct(e["path"].alias("p"))).substr(F.lit(6), F.length(F.to_json(F.struct(e["path"].alias("p")))) - 6), F.lit(': "'), e["sha256"], F.lit('"')))
     head = f'{{\n  "version": "{version}",\n  "releaseUrl": "{url}",\n  "algorithm": "SHA-256",\n  "files": {{\n'
@@ -38,9 +43,10 @@ def verify(manifest: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def verify_report(checked: DataFrame, top: int = 12) -> DataFrame:
-    """One row: counts, whether all match (not so for an empty manifest), and the first mismatches."""
-    bad = F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct("path", "shown"))))
-    return checked.agg(F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_bad"), (F.coalesce(F.bool_and("ok"), F.lit(False))).alias("all_match"), bad.alias("_bad")).select(
+    """One row: counts, whether all match (not so for an empty manifest), and the first mismatches, which alone are gathered."""
+    first = checked.where("NOT ok").orderBy("path", "shown").limit(top).agg(F.array_sort(F.collect_list(F.struct("path", "shown"))).alias("_bad"))
+    counts = checked.agg(F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_bad"), (F.coalesce(F.bool_and("ok"), F.lit(False))).alias("all_match"))
+    return counts.withColumn("_one", F.lit(1)).join(F.broadcast(first.withColumn("_one", F.lit(1))), "_one").select(
         "n_ok", "n_bad", "all_match",
         F.concat(F.array_join(F.transform(F.slice("_bad", 1, top), lambda b: b["shown"]), ", "), F.when(F.col("n_bad") > top, F.format_string(" (+%d more)", F.col("n_bad") - top)).otherwise("")).alias("mismatched"),
     )

@@ -24,6 +24,9 @@ class Limits:
     max_entry_bytes: int | None = None
     max_compression_ratio: float | None = None
     max_images: int | None = None
+    #: Bytes of one inflated part of a file that a task holds; a larger one is reported as an error.
+    max_part_bytes: int = 1 << 27
+    max_conversion_ms: int = 60_000
 
 
 @dataclass(frozen=True)
@@ -69,6 +72,9 @@ LOW_CONFIDENCE = (
     "page skew. For best results, re-scan at 300+ DPI with high contrast, straight alignment, and dark lines. Review this page against the original document before relying on any extracted text."
 )
 OCR_STOPPED = "[OCR stopped at page %d — document exceeds maximum OCR page count]"
+OCR_TIMED_OUT, OCR_FAILED = "[OCR timed out — page %d]", "[OCR failed — page %d]"
+TIMED_OUT = "Conversion timed out — document may be too complex or too large."
+LARGE_DOCUMENT = "⚠ large document"
 OCR_ABORTED = "[OCR aborted — document has too many large pages]"
 CHANGES_WARNING = "> ⚠️ **Tracked changes detected.** This document contains revision marks that may not be fully reflected in the output. Review the original before use."
 IMAGES_WARNING = "> 🖼️ **%d image(s) not included.** Embedded images cannot be converted to Markdown."

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from parchmint.functions.text import classify_error
 from parchmint.functions.unicode import nfc
-from parchmint.operators.gates import archive_error, finish, ingest, page_status, sniff, soft_warning, warning_lines
+from parchmint.operators.gates import archive_error, capped, finish, ingest, page_status, sniff, soft_warning, warning_lines
 from parchmint.operators.html_markdown import html_to_markdown
 from parchmint.operators.layout import assemble, printable
 from parchmint.operators.page_layout import lines_of_items, render_pages
 from parchmint.options import NO_TEXT_BODY, ConvertOptions
+from parchmint.plans.recognised import recognised_documents
 from parchmint.sources.docx import read_docx
 from parchmint.sources.files import zip_directory
 from parchmint.sources.pdf import read_pdfs
@@ -26,24 +27,30 @@ def items_to_markdown(items: DataFrame, options: ConvertOptions | None = None) -
     return render_pages(lines_of_items(shown, options), options)
 
 
-RECORD = ("id", "name", "sanitized_name", "size", "status", "error", "pages", "soft_page_warn", "markdown")
+RECORD = ("id", "name", "sanitized_name", "size", "status", "error", "pages", "soft_page_warn", "ocr_confidence", "markdown")
 
 
-def convert_files(files: DataFrame, options: ConvertOptions | None = None, styles: bool = False) -> DataFrame:
+def convert_files(files: DataFrame, options: ConvertOptions | None = None, styles: bool = False, recognised: DataFrame | None = None, session: list[str] | None = None) -> DataFrame:
     """Records of files (path, length, content): status, error and Markdown.
 
-    Files that fail a gate never reach a reader: each branch reads only its own rows.
+    Files that fail a gate never reach a reader: each branch reads only its own rows. With ``session``,
+    columns that tell upload sessions apart, each keeps its first ``max_files`` by path. With the option
+    ``ocr`` PDF files go by pages through ``recognised`` (what ``recognised_pages`` reads, keyed by path in place of doc_id).
     """
     options = options or ConvertOptions()
     limits = options.limits
+    if session:
+        first = capped(files.select("path", *session), "path", session, limits.max_files)
+        files = files.join(first.select("path"), "path", "left_semi")
     records = ingest(files, limits).withColumn("kind", F.when(F.col("status") == "queued", F.coalesce(sniff(F.col("content")), F.lit("none"))))
-    null = {"error": F.lit(None).cast("string"), "pages": F.lit(None).cast("int"), "soft_page_warn": F.lit(False), "markdown": F.lit(None).cast("string")}
+    null = {"error": F.lit(None).cast("string"), "pages": F.lit(None).cast("int"), "soft_page_warn": F.lit(False), "ocr_confidence": F.lit(None).cast("int"), "markdown": F.lit(None).cast("string")}
     out = records.where("kind IS NULL").withColumns(null).select(*RECORD)
     out = out.unionByName(records.where("kind = 'none'").withColumns(null | {"status": F.lit("invalid-format")}).select(*RECORD))
 
     head = ("id", "name", "sanitized_name", "size")
     zips = records.where("kind = 'zip'")
-    parts = zip_directory(zips).withColumnRenamed("error", "_zip_error").withColumn("gate", archive_error(F.col("entries"), F.col("content_types"), limits))
+    parts = zip_directory(zips, limit=limits.max_part_bytes).withColumnRenamed("error", "_zip_error")
+    parts = parts.withColumn("gate", F.when(F.col("entries").isNotNull() & F.col("_zip_error").isNotNull(), F.col("_zip_error")).otherwise(archive_error(F.col("entries"), F.col("content_types"), limits)))
     for column, bound in (("uncompressed", limits.max_uncompressed_bytes), ("largest", limits.max_entry_bytes), ("images", limits.max_images)):
         if bound is not None:
             parts = parts.withColumn("gate", F.coalesce("gate", F.when(F.col(column) > bound, F.lit(f"Archive exceeds the limit of {column}"))))
@@ -58,23 +65,32 @@ def convert_files(files: DataFrame, options: ConvertOptions | None = None, style
     text = text.withColumn("error", F.coalesce("_read", "error"))
     good = finish(text.where("error IS NULL").withColumn("markdown", F.concat("_before", "markdown")), limits, blank_is_no_text=True).select("id", "markdown", "status", F.lit(None).cast("string").alias("error"))
     bad = text.where("error IS NOT NULL").select("id", F.lit(None).cast("string").alias("markdown"), F.lit("failed").alias("status"), "error")
-    blank = {k: null[k] for k in ("pages", "soft_page_warn")}
+    blank = {k: null[k] for k in ("pages", "soft_page_warn", "ocr_confidence")}
     out = out.unionByName(known.join(good.unionByName(bad), "id").withColumns(blank).select(*RECORD))
 
     pdfs = records.where("kind = 'pdf'")
     known = pdfs.select(*head)
-    read = read_pdfs(pdfs).withColumn("n", F.size("pages"))
+    read = read_pdfs(pdfs, limit=limits.max_part_bytes).withColumn("n", F.size("pages"))
     status = F.when(F.col("error_name") == "PasswordException", "encrypted").when(F.col("error").isNotNull(), "failed").otherwise(page_status(F.col("n"), limits))
     judged = read.withColumn("status", status)
-    refused = judged.where("status IS NOT NULL").select("id", "status", F.when(F.col("status") == "failed", classify_error(F.col("error"), F.col("error_name"))).alias("error"))
-    out = out.unionByName(known.join(refused, "id").withColumns({k: null[k] for k in ("pages", "soft_page_warn", "markdown")}).select(*RECORD))
+    refused = judged.where("status IS NOT NULL").select("id", "status", F.when(F.col("status") == "failed", F.when(F.col("error").contains("over the limit"), F.col("error")).otherwise(classify_error(F.col("error"), F.col("error_name")))).alias("error"))
+    out = out.unionByName(known.join(refused, "id").withColumns({k: null[k] for k in ("pages", "soft_page_warn", "ocr_confidence", "markdown")}).select(*RECORD))
     fine = judged.where("status IS NULL")
     sizes = fine.select("id", "n", F.size("items").alias("n_items"), soft_warning(F.col("n"), limits).alias("soft_page_warn"))
     geometry = fine.select(F.col("id").alias("doc_id"), F.explode("pages").alias("p")).select("doc_id", "p.page_no", F.col("p.width").alias("page_width"), F.col("p.height").alias("page_height"))
-    items = fine.select(F.col("id").alias("doc_id"), F.explode("items").alias("i")).select("doc_id", "i.*").join(geometry, ["doc_id", "page_no"])
-    pages = items_to_markdown(items, options)
+    items = fine.select(F.col("id").alias("doc_id"), F.explode("items").alias("i")).select("doc_id", "i.*")
+    if options.ocr and recognised is not None:
+        seen = recognised.withColumn("doc_id", F.sha2("path", 256)).drop("path", "width", "height")
+        if "lang" in seen.columns:
+            seen = seen.where(F.col("lang") == options.lang).drop("lang")
+        drawn = geometry.withColumnsRenamed({"page_width": "width", "page_height": "height"}).join(seen, ["doc_id", "page_no"], "left")
+        names = known.join(sizes, "id").select(F.col("id").alias("doc_id"), "sanitized_name")
+        docs = recognised_documents(drawn, items, names, options).withColumnRenamed("doc_id", "id")
+        whole = finish(known.join(sizes, "id").join(docs, "id"), limits).withColumn("pages", F.col("n")).withColumn("error", F.lit(None).cast("string"))
+        return out.unionByName(whole.select(*RECORD))
+    pages = items_to_markdown(items.join(geometry, ["doc_id", "page_no"]), options)
     docs = assemble(pages.join(known.select(F.col("id").alias("doc_id"), "sanitized_name"), "doc_id"), F.col("sanitized_name")).select(F.col("doc_id").alias("id"), F.col("markdown").alias("_md"))
     title = F.concat(F.lit("# "), F.col("sanitized_name"))
     whole = known.join(sizes, "id").join(docs, "id", "left").withColumn("markdown", F.when(F.col("n_items") == 0, F.concat(title, F.lit("\n\n" + NO_TEXT_BODY))).otherwise(F.coalesce("_md", title)))
-    whole = finish(whole, limits).withColumn("pages", F.col("n")).withColumn("error", F.lit(None).cast("string"))
+    whole = finish(whole, limits).withColumn("pages", F.col("n")).withColumn("error", F.lit(None).cast("string")).withColumn("ocr_confidence", null["ocr_confidence"])
     return out.unionByName(whole.select(*RECORD))

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from parchmint.functions import text as T
 from parchmint.functions.unicode import nfc
-from parchmint.operators import export, gates, html_markdown, integrity, layout, ocr, page_layout, raster
+from parchmint.operators import audits, export, gates, html_markdown, integrity, layout, ocr, page_layout, preferences, raster
 from parchmint.options import (
+    CHANGES_WARNING,
     COMPOUND_PREFIXES,
+    IMAGES_WARNING,
     LANGUAGES,
     LOW_CONFIDENCE,
     NO_TEXT,
@@ -19,10 +21,12 @@ from parchmint.options import (
     OCR_STOPPED,
     PDF_ERRORS,
     STATUSES,
+    TIMED_OUT,
     TRUNCATED,
     ConvertOptions,
     Limits,
 )
+from parchmint.plans.recognised import recognised_documents, recognised_pages
 from parchmint.plans.views import ITEMS, MARKED, PIXELS, TYPESET, items, line_ctes, marked_lines, pixels, table, typeset, wide
 from parchmint.sources.files import content_policy, scan_lines
 
@@ -527,9 +531,10 @@ def status_dim_join(spark, d):
     return gates.queue_display(_records(spark, d)).select("o_orderkey", "label", "cls", "aria")
 
 
-@query("queue_display", _RECORDS + f" SELECT o_orderkey, {_SHOWN.format(k='o_orderkey')} || CASE WHEN pages IS NULL THEN '' ELSE ' · ' || pages || ' pages' END AS detail FROM rec")
+@query("queue_display", _RECORDS + ", " + _DIM + f" SELECT o_orderkey, {_SHOWN.format(k='o_orderkey')} || CASE WHEN pages > 0 THEN ' · ' || pages || ' pages' ELSE '' END || CASE WHEN pages > 20 THEN ' · ⚠ large document' ELSE '' END AS detail, CASE WHEN status = 'odd' THEN 'OCR · PAGE 3 OF ' || CASE WHEN pages > 0 THEN pages::VARCHAR ELSE '?' END ELSE coalesce(label, 'QUEUED') END AS label FROM rec LEFT JOIN dim USING (status)")
 def queue_display(spark, d):
-    return gates.queue_display(_records(spark, d)).select("o_orderkey", "detail")
+    records = _records(spark, d).withColumn("ocr_page", F.lit(3)).withColumn("status", F.when(F.col("status") == "odd", "ocr").otherwise(F.col("status"))).withColumn("soft_page_warn", F.col("pages") > 20)
+    return gates.queue_display(records).select("o_orderkey", "detail", "label")
 
 
 @query("status_counts", _RECORDS + " SELECT status, count(*) AS n FROM rec GROUP BY status")
@@ -550,7 +555,30 @@ def requeue(spark, d):
 @query("progress", _PAGES + ", n AS (SELECT doc_id, count(*) AS pages FROM pg GROUP BY 1) SELECT doc_id, page_no, floor(page_no::DOUBLE / pages * 90 + 0.5::DOUBLE)::BIGINT AS progress FROM pg JOIN n USING (doc_id)")
 def progress(spark, d):
     n = F.count("*").over(Window.partitionBy("doc_id"))
-    return _as_pages(spark, d).select("doc_id", "page_no", F.floor(F.col("page_no") / n * 90 + F.lit(0.5)).alias("progress"))
+    return _as_pages(spark, d).select("doc_id", "page_no", gates.progress(F.col("page_no"), n).alias("progress"))
+
+
+@query("active_index", "SELECT c_custkey, CASE WHEN c_custkey % 9 >= c_nationkey % 6 THEN greatest(c_nationkey % 6 - 1, 0) ELSE c_custkey % 9 END::BIGINT AS kept, CASE WHEN c_nationkey % 6 > 0 THEN CASE WHEN c_custkey % 9 >= c_nationkey % 6 THEN 0 ELSE c_custkey % 9 END END::BIGINT AS shown FROM customer")
+def active_index(spark, d):
+    index, count = F.col("c_custkey") % 9, F.col("c_nationkey") % 6
+    return table(spark, d, "customer").select("c_custkey", gates.clamp_index(index, count).cast("long").alias("kept"), gates.shown_index(index, count).cast("long").alias("shown"))
+
+
+@query("timeouts", _RECORDS + """, run AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'converting' WHEN 1 THEN 'ocr' ELSE status END AS status, o_orderkey * 17 % 100000 AS ms FROM rec), late AS (SELECT *, status IN ('converting', 'ocr') AND ms > 60000 AS l FROM run)
+    SELECT o_orderkey, CASE WHEN l THEN 'failed' ELSE status END AS status, CASE WHEN l THEN """ + lit(TIMED_OUT) + " END AS error FROM late")
+def timeouts(spark, d):
+    return gates.timed_out(_running(spark, d), F.col("o_orderkey") * 17 % 100000).select("o_orderkey", "status", "error")
+
+
+@query("cancel_or_remove", _RECORDS + ", run AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'converting' WHEN 1 THEN 'ocr' ELSE status END AS status FROM rec) SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'cancelled' ELSE status END AS status FROM run WHERE o_orderkey % 5 <> 0 OR status IN ('converting', 'ocr')")
+def cancel_or_remove(spark, d):
+    running = _running(spark, d)
+    return gates.cancel_or_remove(running, running.where("o_orderkey % 5 = 0"), "o_orderkey").select("o_orderkey", "status")
+
+
+def _running(spark, d):
+    k = F.col("o_orderkey") % 4
+    return _records(spark, d).withColumn("status", F.when(k == 0, "converting").when(k == 1, "ocr").otherwise(F.col("status"))).withColumn("error", F.lit(None).cast("string"))
 
 
 def _files(spark, d):
@@ -599,17 +627,17 @@ def mime_types(spark, d):
 @query("exclude_anti", "SELECT page_id FROM pages WHERE page_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)")
 def exclude_anti(spark, d):
     gone = table(spark, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("page_id"))
-    return table(spark, d, "pages").select("page_id").join(gone, "page_id", "left_anti")
+    return integrity.without(table(spark, d, "pages").select("page_id"), gone, "page_id")
 
 
 @query("union_files", "SELECT 'doc' AS kind, doc_id AS id FROM documents UNION ALL SELECT 'page', page_id FROM pages")
 def union_files(spark, d):
-    return table(spark, d, "documents").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id")).unionByName(table(spark, d, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id")))
+    return gates.added(table(spark, d, "documents").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id")), table(spark, d, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id")))
 
 
 @query("remove_except", "SELECT doc_id, n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 0)")
 def remove_except(spark, d):
-    return table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels").where("quality = 0"), "doc_id", "left_anti")
+    return gates.without(table(spark, d, "documents").select("doc_id", "n_chars"), table(spark, d, "labels").where("quality = 0"), "doc_id")
 
 
 @query(
@@ -621,12 +649,12 @@ def remove_except(spark, d):
 def warnings_classify(spark, d):
     k = F.col("event_id") % 3
     m = table(spark, d, "events").select("user_id", F.concat("event_type", F.when(k == 0, " IMAGE lost").when(k == 1, " tracked change").otherwise("")).alias("msg"))
-    return m.groupBy("user_id").agg(F.count_if(F.col("msg").rlike("(?i)image")).alias("images"), F.count_if(F.col("msg").rlike("(?i)tracked.change|revision")).alias("changes"), F.count_if(~F.col("msg").rlike("(?i)image|tracked.change|revision")).alias("others"))
+    return gates.warning_counts(m, ["user_id"], "msg")
 
 
 @query(
     "warning_lines",
-    """SELECT event_id, CASE event_id % 3 WHEN 0 THEN '> 🖼️ **1 image(s) not included.** Embedded images cannot be converted to Markdown.' WHEN 1 THEN '> ⚠️ **Tracked changes detected.** This document contains revision marks that may not be fully reflected in the output. Review the original before use.' ELSE '> ℹ️ ' || event_type END || chr(10) || chr(10) AS lines FROM events""",
+    f"""SELECT event_id, CASE event_id % 3 WHEN 0 THEN {lit(IMAGES_WARNING % 1)} WHEN 1 THEN {lit(CHANGES_WARNING)} ELSE '> ℹ️ ' || event_type END || chr(10) || chr(10) AS lines FROM events""",
 )
 def warnings_lines(spark, d):
     k = F.col("event_id") % 3
@@ -657,14 +685,23 @@ def html_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(html_markdown.links(F.col("html"))).alias("href"))
 
 
-@query("html_list_items", "SELECT page_id, len(regexp_extract_all(html, '<li>'))::BIGINT AS n_items FROM pages")
+def _markdown_lines(spark, d):
+    """Lines of the Markdown of pages' lists and articles; the wrappers around them are not in the allow-list."""
+    parts = [F.regexp_extract("html", pattern, 1) for pattern in ("(?s)(<ul>.*?</ul>)", "(?s)<article>(.*?)</article>")]
+    found = html_markdown.html_to_markdown(table(spark, d, "pages").select("page_id", F.concat(*parts).alias("html")), clean=True)
+    return scan_lines(found, "markdown", ("page_id",))
+
+
+@query("html_list_items", "SELECT page_id, unnest(regexp_extract_all(html, '<li>(?:<a href=\"[^\"]*\">)?([^<]+)', 1)) AS item FROM pages")
 def html_list_items(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit("<li>")).alias("n_items"))
+    item = F.regexp_replace(F.regexp_extract("line", r"^- (.*)$", 1), r"^\[(.*)\]\([^)]*\)$", "$1")
+    return _markdown_lines(spark, d).where(F.col("line").startswith("- ")).select("page_id", item.alias("item"))
 
 
-@query("html_headings", "SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1 FROM pages")
+@query("html_headings", f"SELECT page_id, 1::BIGINT AS level, replace(replace(replace(heading, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS heading FROM (SELECT page_id, trim(regexp_replace(unnest(regexp_extract_all(html, '<h1>([^<]+)</h1>', 1)), '{WS}+', ' ', 'g'), ' ') AS heading FROM pages) WHERE heading <> ''")
 def html_headings(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("h1"))
+    marks = F.regexp_extract("line", "^(#{1,6}) ", 1)
+    return _markdown_lines(spark, d).where(marks != "").select("page_id", F.length(marks).alias("level"), F.regexp_extract("line", "^#{1,6} (.*)$", 1).alias("heading"))
 
 
 @query("html_to_markdown")
@@ -686,9 +723,26 @@ def csp_parse(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(content_policy(html)).alias("directive", "t")).select("page_id", "directive", F.array_join("t", " ").alias("tokens"))
 
 
-@query("static_bans", "SELECT doc_id, line_no, line FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, 'password|token\\s*=|[|]{1}')")
+# Lines of code put after the lines of documents; the last few break no rule.
+_CODE = (
+    "x = eval (y)", "new Function('a')", "document.write(z)", "let r = new XMLHttpRequest", "new WebSocket(u)", "navigator.sendBeacon(u)", "new EventSource(u)", "e.insertAdjacentHTML('x')", "e.outerHTML = x",
+    "e.innerHTML = x", "fetch(u)", "import('/other/a.js')", "see https://host/path",
+    "e.innerHTML = ''", "if (e.innerHTML == x)", "fetch('/a')", "fetch(path, o)", "import('/vendor/a.js')", "// see http://host/path", "evaluate(x)", "",
+)
+_AUDITED = f"""WITH code AS (SELECT doc_id, line_no, raw || ' ' || [{', '.join(map(lit, _CODE))}][1 + (doc_id * 7 + line_no) % {len(_CODE)}] AS line FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS raw FROM documents)),
+    found AS (SELECT doc_id, line_no, line, unnest(list_filter([{', '.join(f"CASE WHEN regexp_matches(line, {lit(p)}) THEN {lit(n)} END" for n, p in audits.BANS)},
+        CASE WHEN regexp_matches(line, {lit(audits.ASSIGNED)}) AND NOT regexp_matches(line, {lit(audits.CLEARED)}) THEN 'markup is only cleared' END,
+        CASE WHEN contains(line, 'fetch(') AND NOT regexp_matches(line, {lit(audits.SAFE_REQUEST)}) THEN 'requests stay on the origin' END,
+        CASE WHEN regexp_extract(line, {lit(audits.IMPORTED)}, 1) <> '' AND NOT starts_with(regexp_extract(line, {lit(audits.IMPORTED)}, 1), '/vendor/') THEN 'imports come from the vendored files' END,
+        CASE WHEN regexp_matches(line, {lit(audits.ADDRESS)}) AND NOT regexp_matches(line, {lit(audits.COMMENT)}) AND NOT contains(line, 'github.com') THEN 'no remote addresses' END], lambda x: x IS NOT NULL)) AS rule FROM code)
+    SELECT doc_id, line_no, rule, 'line ' || (line_no + 1) || ': ' || CASE rule WHEN 'no remote addresses' THEN left(trim(line, ' '), 80) ELSE trim(line, ' ') END AS shown FROM found"""
+
+
+@query("static_bans", _AUDITED)
 def static_bans(spark, d):
-    return scan_lines(table(spark, d, "documents")).where(F.col("line").rlike(r"password|token\s*=|[|]{1}")).select("doc_id", "line_no", "line")
+    snippet = F.element_at(F.array(*map(F.lit, _CODE)), (1 + (F.col("doc_id") * 7 + F.col("line_no")) % len(_CODE)).cast("int"))
+    lines = scan_lines(table(spark, d, "documents")).withColumn("line", F.concat("line", F.lit(" "), snippet))
+    return audits.audit(lines).select("doc_id", "line_no", "rule", "shown")
 
 
 @query("conversation_assemble", "SELECT conv_id, string_agg('**' || role || ':** ' || text, chr(10) || chr(10) ORDER BY turn, role, text) AS markdown FROM conversations GROUP BY conv_id")
@@ -698,12 +752,76 @@ def conversation_assemble(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(shown, "\n\n").alias("markdown"))
 
 
-@query("prefs_validate", f"SELECT doc_id, CASE WHEN l IN ({', '.join(map(lit, LANGUAGES))}) THEN l END AS lang, CASE WHEN b IN ('true', 'false') THEN b = 'true' END AS ocr FROM (SELECT doc_id, CASE lang WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' ELSE lang END AS l, CASE doc_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE 'yes' END AS b FROM documents)")
-def prefs_validate(spark, d):
-    given = F.col("lang")
+_STORED = """WITH stored AS (SELECT doc_id AS session, unnest(['lang', 'ocr', 'extended', 'normalize', 'other']) AS key,
+    unnest([CASE lang WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' ELSE lang END, CASE doc_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE 'yes' END, CASE doc_id % 4 WHEN 0 THEN 'false' WHEN 1 THEN '' ELSE 'true' END, CASE WHEN doc_id % 5 = 0 THEN 'FALSE' END, 'x']) AS value FROM documents)"""
+
+
+def _stored(spark, d):
+    given, k = F.col("lang"), F.col("doc_id")
     lang = F.when(given == "en", "eng").when(given == "fr", "fra").when(given == "de", "deu").otherwise(given)
-    flag = F.when(F.col("doc_id") % 3 == 0, "true").when(F.col("doc_id") % 3 == 1, "false").otherwise("yes")
-    return table(spark, d, "documents").select("doc_id", F.when(lang.isin(*LANGUAGES), lang).alias("lang"), F.when(flag.isin("true", "false"), flag == "true").alias("ocr"))
+    values = {
+        "lang": lang, "ocr": F.when(k % 3 == 0, "true").when(k % 3 == 1, "false").otherwise("yes"), "extended": F.when(k % 4 == 0, "false").when(k % 4 == 1, "").otherwise("true"),
+        "normalize": F.when(k % 5 == 0, "FALSE"), "other": F.lit("x"),
+    }
+    rows = F.array(*[F.struct(F.lit(key).alias("key"), value.alias("value")) for key, value in values.items()])
+    return table(spark, d, "documents").select(k.alias("session"), F.explode(rows).alias("r")).select("session", "r.*")
+
+
+@query("prefs_validate", _STORED + f" SELECT session, key, CASE WHEN value IN ({', '.join(map(lit, LANGUAGES))}) THEN value END AS lang, CASE WHEN value IN ('true', 'false') THEN value = 'true' END AS flag FROM stored")
+def prefs_validate(spark, d):
+    return _stored(spark, d).select("session", "key", preferences.valid_language(F.col("value")).alias("lang"), preferences.valid_flag(F.col("value")).alias("flag"))
+
+
+@query("prefs_load", _STORED + f""" SELECT session, coalesce(max(value) FILTER (WHERE key = 'lang' AND value IN ({', '.join(map(lit, LANGUAGES))})), 'eng') AS lang, coalesce(bool_or(value = 'true') FILTER (WHERE key = 'ocr' AND value IN ('true', 'false')), false) AS ocr,
+    coalesce(bool_or(value = 'true') FILTER (WHERE key = 'extended' AND value IN ('true', 'false')), true) AS extended, coalesce(bool_or(value = 'true') FILTER (WHERE key = 'normalize' AND value IN ('true', 'false')), true) AS "normalize", true AS hyphens FROM stored GROUP BY 1""")
+def prefs_load(spark, d):
+    return preferences.load_preferences(_stored(spark, d))
+
+
+def _recognised(spark, d):
+    """Customers as scanned pages: a third with an embedded line, some timed out or failed, the others with plain text."""
+    k = F.col("c_custkey")
+    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    box = "struct<x0:int,y0:int,x1:int,y1:int>"
+    word = f"array<struct<text:string,confidence:double,bbox:{box}>>"
+    return table(spark, d, "customer").select(
+        F.col("c_nationkey").cast("long").alias("doc_id"), F.row_number().over(w).alias("page_no"), (600 + k % 400).cast("double").alias("width"), (800 + k * 7 % 3000).cast("double").alias("height"),
+        F.when(k % 3 == 0, F.col("c_name")).otherwise(" ").alias("embedded"), F.when(k % 7 == 0, "timeout").when(k % 11 == 0, "failed").otherwise("ok").alias("outcome"),
+        F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit("\n")).alias("text"), (k % 101).cast("double").alias("confidence"), F.lit(2400).alias("canvas_h"),
+        F.lit(None).cast(f"array<struct<line_no:long,bbox:{box},words:{word}>>").alias("lines"), F.lit(None).cast(word).alias("words"), F.lit(None).cast("array<double>").alias("h_lines"), F.lit(None).cast("array<double>").alias("v_lines"),
+    )
+
+
+_SCANNED = f"""WITH pg AS (SELECT c_nationkey::BIGINT AS doc_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS page_no, c_custkey AS k, c_name, c_mktsegment, c_custkey % 101 AS conf, ((600 + c_custkey % 400) * (800 + c_custkey * 7 % 3000))::DOUBLE AS area FROM customer),
+    sized AS (SELECT *, CASE WHEN k % 3 = 0 OR page_no > 40 THEN 0 WHEN area * 9 > 9000000 THEN 9000000 ELSE area * 9 END AS drawn FROM pg WHERE page_no <= 41),
+    summed AS (SELECT *, sum(drawn) OVER w AS total, coalesce(sum(drawn) OVER (PARTITION BY doc_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sized WINDOW w AS (PARTITION BY doc_id ORDER BY page_no ROWS UNBOUNDED PRECEDING)),
+    routed AS (SELECT *, CASE WHEN total > 200000000.5 OR page_no > 40 THEN 'notice' WHEN k % 3 = 0 THEN 'text' ELSE 'recognise' END AS route FROM summed WHERE before <= 200000000.5),
+    shown AS (SELECT *, CASE WHEN total > 200000000.5 THEN {lit(OCR_ABORTED)} WHEN page_no > 40 THEN {lit(OCR_STOPPED % 40)} WHEN route = 'text' THEN c_name WHEN k % 7 = 0 THEN '[OCR timed out — page ' || page_no || ']' WHEN k % 11 = 0 THEN '[OCR failed — page ' || page_no || ']'
+        WHEN conf < 75 THEN replace({lit(LOW_CONFIDENCE.replace('%%', '%'))}, '%s', conf::VARCHAR) || chr(10) || chr(10) || c_mktsegment ELSE c_mktsegment END AS markdown, route = 'recognise' AND k % 7 <> 0 AND k % 11 <> 0 AS scored FROM routed)"""
+_SCAN_LIMITS = Limits(max_ocr_pages=40, max_page_pixels=9_000_000, max_total_pixels=200_000_000)
+
+
+def _scanned(spark, d):
+    pages = _recognised(spark, d)
+    found = pages.select("doc_id", "page_no", F.lit(0).alias("item_idx"), F.col("embedded").alias("str"), F.lit(72.0).alias("x"), F.lit(400.0).alias("y"), F.lit(12.0).alias("height"))
+    return pages.drop("embedded"), found
+
+
+@query("page_has_text", "SELECT c_nationkey::BIGINT AS doc_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS page_no, c_custkey % 3 = 0 AS has_text FROM customer")
+def page_has_text(spark, d):
+    return gates.page_has_text(_scanned(spark, d)[1])
+
+
+@query("ocr_convert_pages", _SCANNED + " SELECT doc_id, page_no, markdown, CASE WHEN scored THEN conf::DOUBLE END AS confidence FROM shown")
+def ocr_convert_pages(spark, d):
+    return recognised_pages(*_scanned(spark, d), ConvertOptions(ocr=True, limits=_SCAN_LIMITS))
+
+
+@query("ocr_convert", _SCANNED + """ SELECT doc_id, '# ' || 'n' || doc_id || string_agg(chr(10) || chr(10) || markdown || chr(10) || chr(10) || '---', '' ORDER BY page_no) AS markdown, floor(avg(conf) FILTER (WHERE scored) + 0.5::DOUBLE)::BIGINT AS ocr_confidence FROM shown GROUP BY doc_id""")
+def ocr_convert(spark, d):
+    pages, found = _scanned(spark, d)
+    names = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("doc_id")).distinct().withColumn("sanitized_name", F.concat(F.lit("n"), F.col("doc_id").cast("string")))
+    return recognised_documents(pages, found, names, ConvertOptions(ocr=True, limits=_SCAN_LIMITS))
 
 
 @query("page_stats", PAGE_LINES + ", md AS (SELECT doc_id, page_no, count(*) FILTER (WHERE text <> '') AS n_lines, sum(n_items)::BIGINT AS n_items FROM lines GROUP BY 1, 2) SELECT doc_id, page_no, n_lines, n_items FROM md")

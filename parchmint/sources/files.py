@@ -36,21 +36,24 @@ def content_policy(html: Column) -> Column:
 ENTRIES = "entries array<string>, content_types string, document binary, relations string, uncompressed long, largest long, images int, error string"
 
 
-def zip_directory(files: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
+def zip_directory(files: DataFrame, id_col: str = "id", content_col: str = "content", limit: int = 1 << 27) -> DataFrame:
     """Per archive its entry names and the parts that gates and readers need; entries is null for what is no archive.
 
-    Sizes come from the directory; a part is inflated only up to ``1 << 27`` bytes.
+    Sizes come from the directory. A needed part over ``limit`` bytes is not inflated: the
+    archive's error tells of it.
     """
     kind = dict(files.dtypes)[id_col]
-    limit = 1 << 27
 
     def part(z: zipfile.ZipFile, names: set[str], name: str) -> bytes | None:
-        return z.read(name) if name in names and z.getinfo(name).file_size <= limit else None
+        if name in names and z.getinfo(name).file_size > limit:
+            raise ValueError(f"the part {name} is over the limit of {limit} bytes")
+        return z.read(name) if name in names else None
 
     def scan(batches):
         for batch in batches:
             rows = []
             for content in batch.column(content_col).to_pylist():
+                names = None
                 try:
                     with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
                         infos = z.infolist()
@@ -58,7 +61,7 @@ def zip_directory(files: DataFrame, id_col: str = "id", content_col: str = "cont
                         types, relations = part(z, names, "[Content_Types].xml"), part(z, names, "word/_rels/document.xml.rels")
                         rows.append((sorted(names), types.decode("utf-8", "replace") if types is not None else None, part(z, names, "word/document.xml"), relations.decode("utf-8", "replace") if relations else None, sum(i.file_size for i in infos), max((i.file_size for i in infos), default=0), sum(i.filename.startswith("word/media/") for i in infos), None))
                 except Exception as e:  # one file must not end the job
-                    rows.append((None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:500]))
+                    rows.append((sorted(names) if names else None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:500]))
             types_ = [pa.list_(pa.string()), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(types_)
             yield pa.RecordBatch.from_arrays([batch.column(id_col), *(pa.array(c, t) for c, t in zip(columns, types_, strict=True))], names=[id_col, *(c.split(" ")[0] for c in ENTRIES.split(", "))])

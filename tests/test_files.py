@@ -9,8 +9,11 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from parchmint.operators.html_markdown import html_markdown, safe_link
 from parchmint.operators.raster import gray_of, prepare_images, rotated, rules_of, skew_of, threshold_of
+from parchmint.options import ConvertOptions, Limits
 from parchmint.plans.convert import convert_files
 from parchmint.sources.files import scan_files
 from parchmint.sources.pdf import read_pdf
@@ -105,6 +108,56 @@ def test_pdf_operators():
     assert [(i["str"], i["y"], i["height"], i["font_name"]) for i in items] == [("A BC", 500.0, 10.0, "Helvetica-Bold"), ("Hi", 488.0, 10.0, "Helvetica-Bold"), ("next", 476.0, 10.0, "Helvetica-Bold")]
 
 
+def test_object_streams_and_code_maps():
+    held = {2: b"<< /Type /Pages /MediaBox [0 0 300 400] /Kids [4 0 R] /Count 1 >>", 3: b"<< /Type /Font /BaseFont /Any-Bold /ToUnicode 8 0 R >>", 4: b"<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 3 0 R >> >> /Contents 5 0 R >>"}
+    starts, body = [], b""
+    for number, data in held.items():
+        starts.append(b"%d %d" % (number, len(body)))
+        body += data + b" "
+    head = b" ".join(starts) + b" "
+    packed = zlib.compress(head + body)
+    content = b"BT /F1 9 Tf 10 20 Td <000100020003> Tj ET"
+    codes = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfchar <0001> <00480069> endbfchar 2 beginbfrange <0002> <0003> <4E2D> <0005> <0006> [<0041> <0042>] endbfrange"
+    data = b"%PDF-1.5\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n"
+    data += b"6 0 obj << /Type /ObjStm /N %d /First %d /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream endobj\n" % (len(held), len(head), len(packed), packed)
+    data += b"5 0 obj << /Length %d >>\nstream\n%s\nendstream endobj\n8 0 obj << /Length %d >>\nstream\n%s\nendstream endobj\n" % (len(content), content, len(codes), codes)
+    geometry, items = read_pdf(data)
+    assert geometry == [{"page_no": 1, "width": 300.0, "height": 400.0}]
+    assert [(i["str"], i["bold"], i["x"], i["y"]) for i in items] == [("Hi\u4e2d\u4e2e", True, 10.0, 20.0)]
+
+
+def test_large_parts_are_reported_not_cut(spark, tmp_path):
+    (tmp_path / "large.pdf").write_bytes(pdf([TEXT + " " * 5000], flate=True))
+    (tmp_path / "large.docx").write_bytes(docx(p("x" * 5000)))
+    (tmp_path / "small.docx").write_bytes(docx(p("x")))
+    got = {r.name: r for r in convert_files(scan_files(spark, str(tmp_path)), ConvertOptions(limits=Limits(max_part_bytes=2000))).collect()}
+    assert got["large.pdf"].status == "failed" and got["large.pdf"].error == "a stream is over the limit of 2000 bytes" and got["small.docx"].status == "complete"
+    assert got["large.docx"].status == "invalid-docx" and "over the limit of 2000 bytes" in got["large.docx"].error
+
+
+def test_sessions_keep_their_first_files(spark, folder):
+    files = scan_files(spark, folder, "*.docx").withColumn("who", F.when(F.col("path").endswith("x"), F.substring("path", -9, 1)))
+    got = convert_files(files.withColumn("who", F.lit("one")), ConvertOptions(limits=Limits(max_files=3)), session=["who"]).collect()
+    assert sorted(r.name for r in got) == sorted(n for n in FILES if n.endswith("docx"))[:3]
+
+
+def test_recognised_files(spark, tmp_path):
+    (tmp_path / "scan.pdf").write_bytes(pdf(["", TEXT, "", ""]))
+    box = "struct<x0:int,y0:int,x1:int,y1:int>"
+    word = f"array<struct<text:string,confidence:double,bbox:{box}>>"
+    schema = f"path string, page_no int, outcome string, text string, confidence double, canvas_h int, lines array<struct<line_no:long,bbox:{box},words:{word}>>, words {word}, h_lines array<double>, v_lines array<double>, lang string"
+    b = {"x0": 300, "y0": 900, "x1": 400, "y1": 930}
+    words = [{"text": "Seen", "confidence": 90.0, "bbox": b}, {"text": "noise", "confidence": 1.0, "bbox": b}, {"text": "words", "confidence": 91.0, "bbox": b}]
+    path = scan_files(spark, str(tmp_path)).first().path
+    rows = [(path, 1, "ok", "plain", 80.0, 2376, [{"line_no": 0, "bbox": b, "words": words}], words, None, None, "eng"), (path, 3, "timeout", None, None, 2376, None, None, None, None, "eng"), (path, 4, "ok", " e\u0301 ", 60.0, 2376, None, None, None, None, "eng"), (path, 4, "ok", "autre", 99.0, 2376, None, None, None, None, "fra")]
+    seen = spark.createDataFrame(rows, schema)
+    r = convert_files(scan_files(spark, str(tmp_path)), ConvertOptions(ocr=True), recognised=seen).first()
+    parts = r.markdown.split("\n\n---")
+    assert r.status == "complete" and r.pages == 4 and r.ocr_confidence == 70
+    assert parts[0] == "# scan\n\nSeen words" and parts[1] == "\n\nFirst (line) and second." and parts[2] == "\n\n[OCR timed out — page 3]"
+    assert parts[3].startswith("\n\n> ⚠️ **Low OCR confidence (60%)**") and parts[3].endswith("\n\n\u00e9") and parts[4] == ""
+
+
 @pytest.mark.parametrize(
     ("html", "want"),
     [

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from parchmint.functions import text as T
 from parchmint.functions.unicode import nfc
 from parchmint.operators import gates, integrity
-from parchmint.operators.export import export_names, zip_archives
+from parchmint.operators.audits import audit
+from parchmint.operators.export import export_names, write_markdown, zip_archives
+from parchmint.operators.preferences import load_preferences, stored_preferences
 from parchmint.options import PDF_ERRORS, TRUNCATED, ConvertOptions, Limits
 
 
@@ -96,3 +98,35 @@ def test_archives_of_exports(spark):
         with zipfile.ZipFile(io.BytesIO(bytes(r.archive))) as z:
             found |= {n: z.read(n).decode() for n in z.namelist()}
     assert found == {"a.md": "one", "a (2).md": "two", "c.md": ""}
+
+
+def test_markdown_files_have_their_names(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a", "one"), (2, "a", "two é"), (3, "x/y", None)], "file_ord int, sanitized_name string, markdown string")
+    written = {r.entry_name: r.bytes for r in write_markdown(export_names(docs), str(tmp_path / "out")).collect()}
+    assert written == {"a.md": 3, "a (2).md": 6, "x/y.md": 0}
+    assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir()} == {"a.md": "one", "a (2).md": "two é", "x_y.md": ""}
+
+
+def test_preferences(spark):
+    rows = [("a", "lang", "fra"), ("a", "ocr", "true"), ("a", "hyphens", "1"), ("b", "lang", "xyz"), ("b", "extended", "false"), ("b", "normalize", "yes"), ("c", "other", None)]
+    got = {r.session: r.asDict() for r in load_preferences(spark.createDataFrame(rows, "session string, key string, value string")).collect()}
+    assert got["a"] == {"session": "a", "lang": "fra", "ocr": True, "extended": True, "normalize": True, "hyphens": True}
+    assert got["b"] == {"session": "b", "lang": "eng", "ocr": False, "extended": False, "normalize": True, "hyphens": True} and got["c"]["lang"] == "eng"
+    again = load_preferences(stored_preferences(spark.createDataFrame([("z", "deu", True, False, True, False)], "session string, lang string, ocr boolean, extended boolean, normalize boolean, hyphens boolean"))).first()
+    assert (again.lang, again.ocr, again.extended, again.normalize, again.hyphens) == ("deu", True, False, True, False)
+
+
+def test_audit_reports_lines_and_rules(spark):
+    lines = spark.createDataFrame([(0, "  eval(x); e.innerHTML = y"), (1, "e.innerHTML = ''"), (2, "go https://h/" + "p" * 100), (3, "import(`/x`)")], "line_no int, line string")
+    got = [(r.line_no, r.rule, r.shown) for r in audit(lines).collect()]
+    assert [g[:2] for g in got] == [(0, "no eval()"), (0, "markup is only cleared"), (2, "no remote addresses"), (3, "imports come from the vendored files")]
+    assert got[0][2] == "line 1: eval(x); e.innerHTML = y" and len(got[2][2]) == len("line 3: ") + 80
+
+
+def test_activity_log_is_appended(spark, tmp_path):
+    from parchmint.streaming.watch import activity
+
+    spark.sql("SELECT timestamp'2024-01-01 10:02:03.456' AS ts, 'begun' AS msg, 'info' AS level").write.json(str(tmp_path / "in"))
+    entries = spark.readStream.schema("ts timestamp, msg string, level string").json(str(tmp_path / "in"))
+    activity(entries, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    assert [(r.msg, r.shown) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("begun", "02:03.456")]
