@@ -20,33 +20,57 @@ from parchmint.llm.secrets import masked, secret_spans
 _WORD = r"[^\x20\x09-\x0D]"
 
 
+def _held(docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns that a stage reads, and all others in one, so that none clashes with a stage's own."""
+    rest = [c for c in docs.columns if c not in needed]
+    return docs.select(*needed, *([F.struct(*rest).alias("_rest")] if rest else []))
+
+
+def _whole(out: DataFrame, docs: DataFrame, rewritten: bool = False) -> DataFrame:
+    """The columns of ``docs`` again; n_chars follows a rewritten text."""
+    columns = {c: F.col(c) if c in ("doc_id", "text", "source") and c in out.columns else F.col(f"_rest.`{c}`") for c in docs.columns}
+    if rewritten and "n_chars" in columns:
+        columns["n_chars"] = F.char_length("text").cast("long")
+    return out.select(*[c.alias(name) for name, c in columns.items()])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the regression; labels are those of ``labels``."""
+    """Documents that pass the base rules and the regression; labels are those of ``labels``.
+
+    Null, empty and blank texts have no words and go. Repeated rows and rows without an id are judged one by one.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = quality_rules(docs, docs, labels, carry=[c for c in docs.columns if c not in ("doc_id", "kept")])
-    return judged.where("kept").withColumnRenamed("id", "doc_id").select(*docs.columns)
+    held = _held(docs, "doc_id", "text")
+    judged = quality_rules(held, docs, labels, carry=[c for c in held.columns if c != "doc_id"])
+    return _whole(judged.where("kept").withColumnRenamed("id", "doc_id"), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the repeated lines of many sites; one of which no word is left goes."""
-    out = drop_spread_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.where((F.col("n_removed") == 0) | F.col("text").rlike(_WORD)).select(*docs.columns)
+    """Documents without the repeated lines of many sites; one of which no word is left goes.
+
+    A line's first occurrence, by id and place, stays; rows of one id share it. A text without lines to remove stays as it is, null too.
+    """
+    out = drop_spread_lines(_held(docs, "doc_id", "text", "source"))
+    return _whole(out.where((F.col("n_removed") == 0) | F.col("text").rlike(_WORD)), docs, True)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each near-duplicate group: five-word shingles, similarity of 0.8 or more."""
+    """The least document of each near-duplicate group: five-word shingles, similarity of 0.8 or more.
+
+    Texts without words and rows without an id are in no group and stay; rows of one id are one document and stay or go together.
+    """
     gone = near_duplicates(docs).where("id <> component").select(F.col("id").alias("doc_id")).distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with every secret replaced by a mask."""
-    out = secret_spans(docs).withColumn("text", masked(F.col("text"), F.col("secret_spans")))
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """Documents with every secret replaced by a mask; overlapping spans become one. Null texts stay null, no row goes."""
+    out = secret_spans(_held(docs, "doc_id", "text")).withColumn("text", masked(F.col("text"), F.col("secret_spans")))
+    return _whole(out, docs, True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of windows, under the public word-end vocabulary."""
+    """Pieces of windows, under the public word-end vocabulary; a null text counts as empty, every row is packed."""
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
