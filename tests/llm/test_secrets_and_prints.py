@@ -6,8 +6,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from parchmint.llm.arrowtext import Texts, Words, mix64, ngram_hashes
 from parchmint.llm.secrets import KINDS, WINDOW, masked, secret_spans, window_entropy
 from parchmint.llm.simhash import edited_likeness, fingerprints, likeness, within_radius
 from tests.llm.conftest import AWKWARD, documents
@@ -100,6 +103,31 @@ def test_edited_texts_and_fingerprints(spark, awkward, empty):
     assert edited_likeness(documents(spark, ["only one text"])).first().near_next == 1
 
 
+def test_fingerprints_equal_a_plain_count_of_votes():
+    """Votes counted one term at a time, from the terms' own hashes."""
+    texts = ["One two two three one two", "lone", "", "a b " * 50 + "tail é", "x\ty\nz"]
+    for text, got in zip(texts, fingerprints(texts), strict=True):
+        lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+        words = [w for w in re.split("[\x20\x09-\x0d]+", lowered) if w]
+        terms = Counter(" ".join(words[i : i + 2]) for i in range(max(len(words) - 1, min(len(words), 1))))
+        votes = [0] * 128
+        for term, n in terms.items():
+            own, at = ngram_hashes(Words(Texts(pa.array([term]))).hashes(), np.array([0, len(term.split(" "))]), 2)
+            bits = own[:1].tobytes() + mix64(own[:1] ^ np.uint64(0x5851F42D4C957F2D)).tobytes()
+            for k in range(128):
+                votes[k] += n if bits[k // 8] >> (7 - k % 8) & 1 else -n
+        assert got == sum(1 << (127 - k) for k in range(128) if votes[k] > 0).to_bytes(16, "big")
+
+
+def test_radius_search_of_copies_and_of_none(spark):
+    """A third of all rows with one fingerprint are links to its first row, never all their pairs."""
+    rows = [(i, f"{7:032x}") for i in range(600)] + [(600 + i, f"{i << 40:032x}") for i in range(1, 1200)]
+    df = spark.createDataFrame(rows, "id long, fingerprint string")
+    found = within_radius(df, 1).where("distance = 0").collect()
+    assert sorted((r.a, r.b) for r in found) == [(0, i) for i in range(1, 600)]
+    assert within_radius(df.limit(0)).count() == 0
+
+
 def test_likeness_falls_with_edits():
     rng = random.Random(8)
     words = [f"v{rng.randrange(5000)}" for _ in range(800)]
