@@ -169,3 +169,31 @@ def assemble(pages: DataFrame, name: Column, doc: str = "doc_id") -> DataFrame:
     piece = F.when(F.regexp_replace("markdown", f"{WS}+", "") != "", F.concat(F.lit("\n\n"), F.col("markdown"), F.lit("\n\n---")))
     parts = F.array_sort(F.collect_list(F.when(piece.isNotNull(), F.struct("page_no", piece.alias("m")))))
     return pages.groupBy(doc, name.alias("name")).agg(F.concat(F.lit("# "), F.first(name), F.array_join(F.transform(parts, lambda p: p["m"]), "")).alias("markdown"))
+
+
+def span_of_lines(lines: DataFrame, spans: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Rows (doc, line_no, begins): the first of the spans (doc, b, e) that holds a line, null for none; ends are exclusive."""
+    inside = (F.col("line_no") >= F.col("b")) & (F.col("line_no") < F.col("e"))
+    return lines.select(doc, "line_no").join(spans, doc, "left").groupBy(doc, "line_no").agg(F.min(F.when(inside, F.col("b"))).alias("begins"))
+
+
+def page_stats(lines: DataFrame, keys: Keys = PAGE) -> DataFrame:
+    """Lines with text, and items, of each page."""
+    return lines.groupBy(*keys).agg(F.count_if(F.col("text") != "").alias("n_lines"), F.sum(F.size("items")).alias("n_items"))
+
+
+def place_in_grid(items: DataFrame, rows: Sequence[float], columns: Sequence[float]) -> DataFrame:
+    """Items (x, y) within a ruled grid, with row_no and col; a cell has its upper and left rule, not the others."""
+
+    def place(value: Column, rules: Sequence[float]) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, rules)), lambda v: v <= value)) - 1
+
+    placed = items.withColumn("row_no", place(F.col("y"), rows)).withColumn("col", place(F.col("x"), columns))
+    return placed.where(F.col("row_no").between(0, len(rows) - 2) & F.col("col").between(0, len(columns) - 2))
+
+
+def table_in_place(lines: DataFrame, inside: Column, doc: str = "doc_id") -> DataFrame:
+    """Rows (doc, line_no, shown): lines as they are, but those inside a region give way to one ``table`` at the first of them."""
+    k = F.row_number().over(Window.partitionBy(doc, inside).orderBy("line_no"))
+    kept = lines.withColumn("_k", k).where(~inside | (F.col("_k") == 1))
+    return kept.select(doc, "line_no", F.when(inside, "table").otherwise(F.col("text")).alias("shown"))

@@ -328,8 +328,7 @@ def grid_continuation(spark, d):
 def table_interval_join(spark, d):
     lines = _lines(items(spark, d)).select("doc_id", "line_no")
     spans = lines.select("doc_id").distinct().select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("b"), F.lit(2).alias("e")), F.struct(F.lit(3).alias("b"), F.lit(5).alias("e")))).alias("s")).select("doc_id", "s.*")
-    inside = (F.col("line_no") >= F.col("b")) & (F.col("line_no") < F.col("e"))
-    return lines.join(spans, "doc_id", "left").groupBy("doc_id", "line_no").agg(F.min(F.when(inside, F.col("b"))).alias("begins"))
+    return layout.span_of_lines(lines, spans)
 
 
 @query(
@@ -338,18 +337,13 @@ def table_interval_join(spark, d):
     SELECT doc_id, r AS row_no, c AS col, string_agg(str, ' ' ORDER BY item_idx) AS cell FROM items JOIN h ON y >= h.lo AND y < h.hi JOIN v ON x >= v.lo AND x < v.hi GROUP BY 1, 2, 3""",
 )
 def ruled_cell_2d_join(spark, d):
-    hs, vs = F.array(*[F.lit(100.0 + 120 * r) for r in range(6)]), F.array(*[F.lit(60.0 + 130 * c) for c in range(4)])
-    row, col = F.size(F.filter(hs, lambda v: v <= F.col("y"))) - 1, F.size(F.filter(vs, lambda v: v <= F.col("x"))) - 1
-    placed = items(spark, d).withColumn("row_no", row).withColumn("col", col).where("row_no BETWEEN 0 AND 4 AND col BETWEEN 0 AND 2")
+    placed = layout.place_in_grid(items(spark, d), [100.0 + 120 * r for r in range(6)], [60.0 + 130 * c for c in range(4)])
     return layout.grid_cells(placed, ["doc_id", "row_no"], order=("item_idx",))
 
 
 @query("ruled_region_anti", ITEM_LINES + " SELECT doc_id, ln AS line_no, CASE WHEN y BETWEEN 200 AND 400 THEN 'table' ELSE text END AS shown FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, y BETWEEN 200 AND 400 ORDER BY ln) AS k FROM lines) WHERE NOT (y BETWEEN 200 AND 400) OR k = 1")
 def ruled_region_anti(spark, d):
-    inside = F.col("y").between(200, 400)
-    w = Window.partitionBy("doc_id", inside).orderBy("line_no")
-    lines = _lines(items(spark, d)).withColumn("k", F.row_number().over(w)).where(~inside | (F.col("k") == 1))
-    return lines.select("doc_id", "line_no", F.when(inside, "table").otherwise(F.col("text")).alias("shown"))
+    return layout.table_in_place(_lines(items(spark, d)), F.col("y").between(200, 400))
 
 
 @query(
@@ -487,10 +481,19 @@ def projection_variance(spark, d):
     return raster.projection_variance(pixels(spark, d), ["image"]).select("image", F.round("variance", 6).alias("variance"))
 
 
-@query("skew_angle", "WITH" + PIXELS + ", a AS (SELECT y % 50 AS image, image * 0.5::DOUBLE AS angle, (count(*) FILTER (WHERE v < 128))::BIGINT AS variance FROM pixels GROUP BY 1, 2) SELECT image, arg_max(angle, (variance, -angle)) AS angle FROM a GROUP BY image")
+_TURNED = "WITH" + PIXELS + f""", size AS (SELECT image, (max(x) + 1)::DOUBLE AS w, (max(y) + 1)::DOUBLE AS h FROM pixels GROUP BY 1), turns(angle, s, c) AS (VALUES {', '.join(f'({a}::DOUBLE, {s!r}::DOUBLE, {c!r}::DOUBLE)' for a, s, c in raster.ANGLES)}),
+    moved AS (SELECT image, angle, w, h, floor((x + 0.5::DOUBLE - w / 2) * c - (y + 0.5::DOUBLE - h / 2) * s + w / 2) AS x, floor((x + 0.5::DOUBLE - w / 2) * s + (y + 0.5::DOUBLE - h / 2) * c + h / 2) AS y FROM pixels JOIN size USING (image), turns WHERE v < 128),
+    turned AS (SELECT image, angle, h, y, count(*) AS dark FROM moved WHERE x >= 0 AND x < w AND y >= 0 AND y < h GROUP BY 1, 2, 3, 4)"""
+
+
+@query("turned_rows", _TURNED + " SELECT image, angle, y::BIGINT AS y, dark FROM turned")
+def turned_rows(spark, d):
+    return raster.turned_rows(pixels(spark, d), ["image"]).select("image", "angle", "y", "dark")
+
+
+@query("skew_angle", _TURNED + ", v AS (SELECT image, angle, sum(dark * dark)::DOUBLE / h - (sum(dark)::DOUBLE / h) * (sum(dark)::DOUBLE / h) AS variance FROM turned GROUP BY image, angle, h) SELECT image, arg_max(angle, (variance, -angle)) AS angle FROM v GROUP BY image")
 def skew_angle(spark, d):
-    v = pixels(spark, d).groupBy((F.col("y") % 50).alias("image"), (F.col("image") * F.lit(0.5)).alias("angle")).agg(F.count_if(F.col("v") < 128).alias("variance"))
-    return raster.best_angle(v, ["image"])
+    return raster.skew_angle(pixels(spark, d), ["image"])
 
 
 @query(
@@ -836,4 +839,4 @@ def ocr_convert(spark, d):
 
 @query("page_stats", PAGE_LINES + ", md AS (SELECT doc_id, page_no, count(*) FILTER (WHERE text <> '') AS n_lines, sum(n_items)::BIGINT AS n_items FROM lines GROUP BY 1, 2) SELECT doc_id, page_no, n_lines, n_items FROM md")
 def page_stats(spark, d):
-    return _lines(typeset(spark, d)).groupBy("doc_id", "page_no").agg(F.count_if(F.col("text") != "").alias("n_lines"), F.sum(F.size("items")).alias("n_items"))
+    return layout.page_stats(_lines(typeset(spark, d)))
