@@ -12,7 +12,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, where: Column
 
     Ids with several rows or labels take the greatest text and label. The ids are
     chosen before any text is read; they are at most ``rows`` longs, so they are
-    broadcast to the scan of the texts.
+    broadcast to the scan of the texts. Texts come whole, so the driver needs room for
+    ``rows`` texts of whatever length they have.
     """
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     if where is not None:
