@@ -60,7 +60,16 @@ def test_byte_bpe_merges_random_bytes(library):
     rng, bpe = random.Random(5), model(RANKS, public_tokenizers.PATTERN)
     for _ in range(300):
         word = "".join(rng.choice("aeinrst") for _ in range(rng.randrange(1, 40)))
-        assert list(bpe.encode_piece(word.encode())) == library.encode_ordinary(word)
+        want = library.encode_ordinary(word)
+        assert list(bpe.encode_piece(word.encode())) == want
+        assert len(bpe.encode_piece(word.encode())) == 1 or [i for part in bpe.tokens(word.encode(), 3) for i in part] == want
+
+
+def test_a_long_piece_is_emitted_as_its_tokens_become_certain(library):
+    rng, bpe = random.Random(15), model(RANKS, public_tokenizers.PATTERN)
+    word = "".join(rng.choice("aeinrsté") for _ in range(70_000))
+    parts = list(bpe.tokens(word.encode()))
+    assert len(parts) > 15 and [i for part in parts for i in part] == library.encode_ordinary(word) == bpe.encode(word)
 
 
 @given(st.binary(max_size=30), st.lists(st.integers(1, 5), max_size=12))
