@@ -83,6 +83,27 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None =
     return found.withColumnRenamed("id", "doc_id").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parchmint.llm.vector_codes import vector_codes
+
+    found = vector_codes(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parchmint.llm.lexical_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    from parchmint.llm.token_files import written_and_read
+
+    return written_and_read(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -94,8 +115,71 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_token_counts": op10_token_counts,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_token_files": op13_token_files,
 }
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Plain comparison of every part with every entry, round by round."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} AS MATERIALIZED (
+            SELECT a.row, a.p, min((list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), b.e)) AS best
+            FROM parts a JOIN book{k} b ON a.p = b.p GROUP BY a.row, a.p)""")
+        if k < rounds:
+            steps.append(f"""book{k + 1} AS MATERIALIZED (
+            WITH summed AS (SELECT n.p, n.best[2] AS e, i, CAST(floor(sum(a.v[i]) / count(*)) AS BIGINT) AS x
+                            FROM near{k} n JOIN parts a ON a.row = n.row AND a.p = n.p, unnest(range(1, len(a.v) + 1)) u(i) GROUP BY 1, 2, 3),
+                 moved AS (SELECT p, e, list(x ORDER BY i) AS v FROM summed GROUP BY p, e)
+            SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN moved m ON m.p = b.p AND m.e = b.e)""")
+    return f"""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label,
+                   list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), parts AS MATERIALIZED (
+            SELECT row, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS v FROM kept, range(4) t(p)
+        ), book0 AS MATERIALIZED (SELECT p, row - 1 AS e, v FROM parts WHERE row <= 256),
+        {", ".join(steps)},
+        coded AS (
+            SELECT k.vec_id, k.label, string_agg(printf('%02x', n.best[2]), '' ORDER BY n.p) AS code, CAST(sum(n.best[1]) AS BIGINT) AS error
+            FROM kept k JOIN near{rounds} n ON n.row = k.row GROUP BY k.row, k.vec_id, k.label
+        ), digest AS (
+            SELECT sha256(string_agg(CAST(v[i] AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256
+            FROM book{rounds}, unnest(range(1, len(v) + 1)) u(i)
+        )
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, digest
+    """
+
+
 ORACLES: dict[str, str] = {
+    "op11_vector_codes": _codes_sql(),
+    "op12_lexical_search": r"""
+        WITH split AS (
+            SELECT row_number() OVER () AS row, doc_id,
+                   regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents WHERE text IS NOT NULL
+        ), size AS (SELECT (count(*) FILTER (WHERE len(terms) > 0))::BIGINT AS docs, sum(len(terms))::BIGINT AS terms FROM split),
+        postings AS (
+            SELECT row, doc_id, term, count(*)::BIGINT AS tf, any_value(75 + (25 * n * size.docs) // size.terms)::BIGINT AS m
+            FROM (SELECT row, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM split), size GROUP BY row, doc_id, term
+        ), weights AS (
+            SELECT term, CAST(floor(1000 * ln((2 * any_value(size.docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, size GROUP BY term
+        ), wanted AS (
+            SELECT item, item_id, term, count(*)::BIGINT AS uses FROM (
+                SELECT row_number() OVER () AS item, item_id,
+                       unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                FROM benchmark) GROUP BY item, item_id, term
+        ), scored AS (
+            SELECT item, item_id, row, doc_id, sum(uses * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+            FROM wanted JOIN postings USING (term) JOIN weights USING (term) GROUP BY item, item_id, row, doc_id
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM scored WHERE score > 0 QUALIFY rank <= 20
+    """,
     "op3_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,

@@ -10,6 +10,7 @@ distinct ones are Python objects.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -49,16 +50,20 @@ class Pieces:
         held = texts.bytes
         if len(begin) and ((begin[1:] != end[:-1]).any() or begin[0] or end[-1] != len(held)):
             inside = np.zeros(len(held) + 1, np.int8)
-            np.add.at(inside, begin, 1)
-            np.add.at(inside, end, -1)
+            inside[begin] += 1  # no two pieces begin or end at one place
+            inside[end] -= 1
             held = held[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
         offsets = np.concatenate([[0], np.cumsum(end - begin)])
         values = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(held))])
         coded = pc.dictionary_encode(values)
-        #: The distinct pieces, and for each piece its place among them.
-        self.distinct: list[bytes] = coded.dictionary.to_pylist()
+        #: The distinct pieces as an array, and for each piece its place among them.
+        self.dictionary = coded.dictionary
         self.index = coded.indices.to_numpy()
 
+    @cached_property
+    def distinct(self) -> list[bytes]:
+        return self.dictionary.to_pylist()
+
     def joined(self, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The bytes that ``values`` gives for the distinct pieces, for all pieces in order, and the rows' places in them."""
         return gathered(pa.array(values, pa.large_binary()), self.index, self.at)
