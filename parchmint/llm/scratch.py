@@ -1,58 +1,7 @@
-"""Intermediate tables in the folder that all executors share.
-
-A written table cuts the lineage as a checkpoint does, survives the loss of an
-executor, and is smaller than a checkpoint's rows. The folder is the session's
-``spark.checkpoint.dir``; a temporary one is chosen only in local mode.
-"""
+"""Intermediate tables of the training-text operators: the library's own."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; without one, a temporary folder in local mode and an error on a cluster."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    application = spark.sparkContext.applicationId
-    if application not in _local:
-        _local[application] = "file://" + tempfile.mkdtemp(prefix="parchmint-")
-        atexit.register(shutil.rmtree, _local[application].removeprefix("file://"), True)
-    return _local[application]
-
-
-class Scratch:
-    """Tables of one computation; ``drop`` removes one, the interpreter's end removes the rest."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/parchmint/{name}-{uuid.uuid4().hex}"
-        atexit.register(self._remove, self.root)
-
-    def _remove(self, path: str) -> None:
-        try:
-            jvm = self.spark._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended: the folder's owner clears it
-            pass
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a table and read it back with the same schema."""
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+from parchmint.sources.scratch import Scratch, shared_dir
 
-    def drop(self, name: str) -> None:
-        self._remove(f"{self.root}/{name}")
+__all__ = ["Scratch", "shared_dir"]
