@@ -10,7 +10,8 @@ spaces and line feeds, and chunks that need more than merges go to the library.
 word it stores the count at every prefix, found by dynamic programming: the encoding
 of a prefix ends with the one symbol that fits the last symbol of a shorter prefix's
 encoding. With the running totals of a text's words, any truncation or budget
-is looked up, and nothing is encoded again (the other texts' chunks are, at the cut).
+is looked up, and nothing is encoded again. Texts of other scripts are split by the library's own normaliser
+and splitter; of a long word only as much of the table is made as a budget asks for.
 """
 
 from __future__ import annotations
@@ -36,6 +37,11 @@ CACHE_WORDS, CACHE_CHUNKS, CACHE_PAIRS = 800_000, 200_000, 1_000_000
 _tokenizers: dict[str, object] = {}
 _encoders: dict[str, ChunkIds] = keep_cache({})
 _counters: dict[str, PrefixCounter] = keep_cache({})
+#: Bytes from which a word's table is not stored: its count comes from the library's merges, its table is made as far as it is asked for.
+LONG_WORD = 256
+#: Unicode's white space, and the Hangul letters that join the one before them.
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_JOINING_HANGUL = ((0x1161, 0x1175), (0x11A8, 0x11C2))
 #: Marks that end many words and are words by themselves.
 _POINTS = frozenset(".,;:!?")
 #: Rank and parts of a symbol that no merge makes.
@@ -149,6 +155,9 @@ class WordEnd:
         split = next(p for p in read["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(split["pattern"]["Regex"])
         self.specials = [t["content"] for t in read["added_tokens"]]
+        self.specials_pattern = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")")
+        self.spaced = regex.compile(f"[{_WHITE}]+|[^{_WHITE}]+")
+        self._stable = None
         self.marks = {t[0] for t in self.specials}
         #: The most letters of an open and of a closing symbol that ends with three given letters; others have two at most.
         self.reach: dict[str, int] = {}
@@ -156,12 +165,21 @@ class WordEnd:
         for symbol in self.vocab:
             reach, letters = (self.reach_end, symbol[: -len(self.end)]) if symbol.endswith(self.end) else (self.reach, symbol)
             reach[letters[-3:]] = max(reach.get(letters[-3:], 2), len(letters))
+        #: The most letters of any symbol.
+        self.longest = max(max(self.reach.values(), default=2), max(self.reach_end.values(), default=2))
         self.fits: dict[tuple[str, str], bool] = {}
         self.alone: dict[str, bool] = {}
         codes = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in codes]
         self.letters = {b: chr(b) for b in codes} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
+    def stable(self):
+        """A pattern of the least parts that normalise by themselves; made when the first text needs it."""
+        if self._stable is None:
+            joins = _composing()
+            self._stable = regex.compile(f"[{_WHITE}]+|[^{_WHITE}][{joins}]*")
+        return self._stable
+
     def spelling(self, word: bytes) -> str:
         """A word's bytes in the vocabulary's letters."""
         return word.decode() if word.isalnum() else word.decode("latin-1").translate(self.letters)
@@ -282,6 +300,23 @@ class WordEnd:
             found[word] = bytes(counts) if len(counts) <= 256 else tuple(counts)
         return [found[w] for w in new]
 
+    def counts_within(self, word: bytes, budget: int) -> list[int]:
+        """The counts at the first prefixes of a word: at least at all that have ``budget`` tokens or fewer.
+
+        An open prefix has one token more than one of the prefixes that the longest symbol reaches back to.
+        Where all of those have ``budget`` tokens, every longer prefix has more.
+        """
+        letters, reach = self.spelling(word), self.longest
+        last, inner, counts = [""], [0], [0]
+        for begin in range(0, len(letters), LONG_WORD):
+            end = min(begin + LONG_WORD, len(letters))
+            self.extend(letters[:end], last, inner)
+            for i in range(len(counts), end + 1):
+                counts.append(self.close(letters, i, last, inner))
+            if end >= reach and min(inner[-reach:]) >= budget:
+                break
+        return counts
+
     def split_all(self, chunks: set[str]) -> dict[str, list[bytes]]:
         """Words of chunks as the vocabulary's file normalises and splits them.
 
@@ -305,14 +340,78 @@ class WordEnd:
         return out
 
 
+def _composing() -> str:
+    """A pattern's class of the characters that may join one before them: marks, and second parts of compositions."""
+    joins = {c for c in range(0x110000) if unicodedata.combining(chr(c))}
+    for c in range(0x110000):
+        parts = unicodedata.decomposition(chr(c)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            joins.add(int(parts[1], 16))
+    for begin, end in _JOINING_HANGUL:
+        joins.update(range(begin, end + 1))
+    return "".join(f"\\U{c:08x}" for c in sorted(joins))
+
+
+class Split:
+    """A text that is not plain, as the library's pieces, and the places where a cut parts nothing.
+
+    A cut stands at no place inside a special string, a run of white space, or a character and
+    the marks that compose with it: the prefix's normal form is then a prefix of the text's.
+    Where the library composes otherwise than this Python does, cuts stand at white space only.
+    """
+
+    def __init__(self, model: WordEnd, library, text: str):
+        #: Cuts in code points, and the places in the normal form's bytes that belong to them.
+        self.cuts, self.places = [0], [0]
+        #: Where in the normal form each piece begins, and its bytes (None: a special string).
+        self.begin: list[int] = []
+        self.words: list[bytes | None] = []
+        whole = model.specials_pattern.split(text) if model.specials else [text]
+        for i, span in enumerate(whole):
+            if i % 2:
+                self.begin.append(self.places[-1])
+                self._cut([len(span)], [len(span)])
+                self.words.append(None)
+            elif span:
+                self._span(model, library, span)
+
+    def _cut(self, sizes: list[int], normal: list[int]) -> None:
+        for size, length in zip(sizes, normal, strict=True):
+            self.cuts.append(self.cuts[-1] + size)
+            self.places.append(self.places[-1] + length)
+
+    def _span(self, model: WordEnd, library, span: str) -> None:
+        normal = library.normalizer.normalize_str(span)
+        for pattern in (model.stable(), model.spaced):
+            parts = pattern.findall(span)
+            shown = {p: library.normalizer.normalize_str(p) for p in set(parts)}
+            if "".join(map(shown.__getitem__, parts)) == normal:
+                break
+        else:
+            parts, shown = [span], {span: normal}
+        base = self.places[-1]
+        data = np.frombuffer(normal.encode(), np.uint8)
+        at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data)).tolist()
+        for _, (begin, end) in library.pre_tokenizer.pre_tokenize_str(normal):
+            self.begin.append(base + at[begin])
+            self.words.append(normal[begin:end].encode())
+        sizes = {p: len(n.encode()) for p, n in shown.items()}
+        self._cut([len(p) for p in parts], [sizes[p] for p in parts])
+
+
 class PrefixCounter(Columns):
     """Token counts of the prefixes of texts.
 
-    ``table(text)`` holds the ends and running counts of a text's words (of its chunks, if it
-    is not plain); ``count`` adds what the open word's own table has at the cut.
+    ``count`` adds what the open word's own table has at the cut to the total of the words before it.
     ``longest_prefix`` is the answer to a budget.
     """
 
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__(path)
+        self.merges = Tokenizer(self.tokenizer.model)
+
     @classmethod
     def of(cls, path: str) -> PrefixCounter:
         """A worker's counter for a file."""
@@ -321,79 +420,102 @@ class PrefixCounter(Columns):
         return _counters[path]
 
     def of_words(self, new: list[bytes]) -> list:
-        return self.model.tables(new)
+        """The counts at every prefix of each word; of a long one its whole count alone, as a number."""
+        short = [w for w in new if len(w) < LONG_WORD]
+        long = [w for w in new if len(w) >= LONG_WORD]
+        found = dict(zip(short, self.model.tables(short), strict=True))
+        if long:
+            coded = self.merges.encode_batch_fast([self.model.spelling(w) for w in long], add_special_tokens=False)
+            found.update((w, len(e.ids)) for w, e in zip(long, coded, strict=True))
+        return [found[w] for w in new]
 
     @staticmethod
-    def together(tables: list) -> int:
-        return sum(t[-1] for t in tables)
+    def whole(table) -> int:
+        return table if isinstance(table, int) else table[-1]
+
+    @classmethod
+    def together(cls, tables: list) -> int:
+        return sum(map(cls.whole, tables))
 
     of_ids = staticmethod(len)
 
     def totals(self, column: pa.Array) -> np.ndarray:
         """Tokens of whole texts; a null text has none."""
         found, odd = self.split(column)
-        out = found.sums([t[-1] for t in self.by_word(found.distinct)])
+        out = found.sums([t if isinstance(t, int) else t[-1] for t in self.by_word(found.distinct)])
         for i in odd:
             out[i] = sum(self.by_chunk(column[int(i)].as_py()))
         return out
 
-    def table(self, text: str) -> tuple[list[int], list[int], list]:
-        """Ends in code points, the tokens up to each, and each word's beginning and own table (None: a chunk without one)."""
+    def _counts(self, word: bytes, budget: int):
+        """Tokens of a word's prefixes by their bytes, each a word itself; of a long word at least of those within a budget.
+
+        A contraction that is cut is an apostrophe and a word.
+        """
+        table = self.by_word([word])[0]
+        if isinstance(table, int):
+            return self.model.counts_within(word, budget)
+        if len(word) > 1 and word[:1] == b"'" and word[1:].isalpha():
+            rest = self.by_word([word[1:]])[0]
+            return [0, *(1 + n for n in rest[:-1]), table[-1]]
+        return table
+
+    def table(self, text: str) -> tuple[np.ndarray, np.ndarray, list, np.ndarray, np.ndarray]:
+        """Where pieces begin in bytes of the normal form, their running totals (0 first) and bytes, cuts in code points, and the cuts' places in bytes."""
         found, odd = self.split(pa.array([text], pa.large_string()))
         if len(odd):
-            ends, totals, own, end, total = [], [], [], -1, 0
-            for chunk, tokens in zip(chunks(text), self.by_chunk(text), strict=True):
-                own.append((end + 1, None))
-                end += len(chunk) + 1
-                total += tokens
-                ends.append(end)
-                totals.append(total)
-            return ends, totals, own
-        tables = self.by_word(found.distinct)
+            split = Split(self.model, self.tokenizer, text)
+            known = list({w for w in split.words if w is not None})
+            sizes = {w: self.whole(t) for w, t in zip(known, self.by_word(known), strict=True)} | {None: 1}
+            return np.array(split.begin, np.int64), np.cumsum([0, *(sizes[w] for w in split.words)]), split.words, np.array(split.cuts), np.array(split.places)
         data = np.frombuffer(text.encode(), np.uint8)
-        place = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        totals = np.cumsum(np.array([t[-1] for t in tables], np.int64)[found.index]) if len(found.index) else np.zeros(0, np.int64)
-        own = [(b, (found.distinct[i], tables[i])) for b, i in zip(place[found.begin].tolist(), found.index.tolist(), strict=True)]
-        return place[found.end].tolist(), totals.tolist(), own
-
-    def _part(self, word: bytes, table, length: int) -> int:
-        """Tokens of the first code points of a word, itself a word; a cut contraction is an apostrophe and a word."""
-        size = len(word.decode()[:length].encode())
-        if size < len(word) and word[:1] == b"'" and word[1:].isalpha():
-            return 1 + (self.by_word([word[1:]])[0][size - 1] if size > 1 else 0)
-        return table[size]
+        places = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        sizes = np.array([self.whole(t) for t in self.by_word(found.distinct)], np.int64)
+        return found.begin, np.concatenate([[0], np.cumsum(sizes[found.index])]), [found.distinct[i] for i in found.index], np.arange(len(places)), places
 
     def count(self, text: str, length: int, table: tuple | None = None) -> int:
-        """Tokens of the first ``length`` code points."""
-        ends, totals, own = table or self.table(text)
+        """Tokens of the first ``length`` code points; where no cut stands there, they are encoded."""
+        begin, totals, words, cuts, places = table or self.table(text)
         length = min(length, len(text))
-        i = bisect.bisect_right(ends, length)
-        before = totals[i - 1] if i else 0
-        if i == len(ends) or length <= own[i][0]:
-            return before
-        begin, held = own[i]
-        if held is not None:
-            return before + self._part(*held, length - begin)
-        return before + sum(self.by_chunk(text[begin:length]))
+        k = int(np.searchsorted(cuts, length))
+        if cuts[k] != length:
+            return sum(self.by_chunk(text[:length]))
+        place = int(places[k])
+        i = int(np.searchsorted(begin, place)) - 1  # the last piece that begins before the place
+        if i < 0:
+            return 0
+        size = place - int(begin[i])
+        if words[i] is None or size >= len(words[i]):
+            return int(totals[i + 1])
+        return int(totals[i]) + self._counts(words[i], size)[size]
 
     def longest_prefix(self, text: str, budget: int) -> int:
-        """The most code points whose own count, and that of every shorter prefix at the end of a word or chunk, is within a budget."""
-        ends, totals, own = table = self.table(text)
-        i = bisect.bisect_right(totals, budget)
-        if i == len(ends):
+        """The most code points up to a cut whose own count is within a budget.
+
+        Any code point may be cut off but those that stand inside a special string, a run of white space or
+        a composed character of a text that is not plain (see ``Split``).
+        """
+        begin, totals, words, cuts, places = self.table(text)
+        i = int(np.searchsorted(totals, budget, side="right")) - 1
+        if i == len(words):
             return len(text)
-        best = own[i][0]
-        for length in range(best, ends[i] + 1):
-            if self.count(text, length, table) <= budget:
-                best = length
-        return best
+        first = int(np.searchsorted(places, begin[i], side="right")) - 1
+        if words[i] is None:
+            return int(cuts[first])
+        left = budget - int(totals[i])
+        counts = self._counts(words[i], left)
+        end = begin[i] + min(len(counts) - 1, len(words[i]) - 1)
+        for k in range(int(np.searchsorted(places, end, side="right")) - 1, first, -1):
+            if counts[places[k] - begin[i]] <= left:
+                return int(cuts[k])
+        return int(cuts[first])
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_bytes, n_tokens, limit_chars), one for each row of ``docs``, without special tokens added.
 
     limit_chars is how many code points of the text fit into ``limit`` tokens: all of a text within the
-    limit, else the longest prefix that the tables give (see ``longest_prefix``). A null text
+    limit, else the longest prefix (see ``longest_prefix``). A null text
     counts as empty, with 0 bytes and 0 tokens; blanks have bytes but no tokens. Repeated
     rows and null ids give a row each; an empty table gives none.
     """
