@@ -26,8 +26,8 @@ from parchmint.llm.arrowtext import bounded_batches, pieces, tidied
 TIERS = (512, 1024, 2048, 4096)
 #: Tokens of each step group, alike for every tier.
 STEP_TOKENS = 8 * 4096
-#: Tokens of waiting pieces from which gaps are filled.
-POOL_TOKENS = 1 << 18
+#: Bytes of waiting pieces, with so many for each one's own keeping, down to which gaps are filled when twice as many wait.
+POOL_BYTES, PIECE_BYTES = 1 << 21, 256
 SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
@@ -41,7 +41,7 @@ class Packer:
         self.groups: dict[int, tuple[int, int]] = {}
         self.next_group = 0
         self.pool: list[tuple[int, int]] = []
-        self.held: dict[int, tuple[object, bytes, int]] = {}
+        self.held: dict[int, tuple[object, bytes, int, int]] = {}
         self.serial = self.tokens = 0
         self.ready: list[tuple] = []
 
@@ -49,27 +49,32 @@ class Packer:
         """Take a document's little-endian 32-bit ids."""
         at, end = 0, len(ids) // 4
         while end - at >= self.largest:
-            self._emit(self.largest, [(doc, ids, at, self.largest)])
+            self._emit(self.largest, [(doc, ids[4 * at : 4 * (at + self.largest)], at, end)])
             at += self.largest
-        self._wait(doc, ids, at, end - at)
-        if self.tokens >= 2 * POOL_TOKENS:
-            self.pack(POOL_TOKENS)
+        self._wait(doc, ids[4 * at :], at, end)
+        if self.waiting() >= 2 * POOL_BYTES:
+            self.pack(POOL_BYTES)
 
-    def _wait(self, doc, ids: bytes, start: int, length: int) -> None:
-        if length:
+    def waiting(self) -> int:
+        """Bytes that the pool holds: of a waiting piece only its own ids stay."""
+        return 4 * self.tokens + PIECE_BYTES * len(self.pool)
+
+    def _wait(self, doc, ids: bytes, start: int, total: int) -> None:
+        if ids:
+            length = len(ids) // 4
             self.serial += 1
             insort(self.pool, (length, self.serial))
-            self.held[self.serial] = (doc, ids, start)
+            self.held[self.serial] = (doc, ids, start, total)
             self.tokens += length
 
     def _take(self, i: int) -> tuple:
         length, serial = self.pool.pop(i)
         self.tokens -= length
-        return (*self.held.pop(serial), length)
+        return self.held.pop(serial)
 
     def pack(self, leave: int) -> None:
-        """Pack whole windows until at most ``leave`` tokens, or less than a largest window, wait."""
-        while self.tokens > leave and self.tokens >= self.largest:
+        """Pack whole windows until at most ``leave`` bytes, or less than a largest window, wait."""
+        while self.waiting() > leave and self.tokens >= self.largest:
             longest = self.pool[-1][0]
             self._fill(next(t for t in self.tiers if t >= longest), [self._take(-1)])
 
@@ -83,15 +88,15 @@ class Packer:
                 size //= 2
 
     def _fill(self, size: int, parts: list[tuple]) -> None:
-        gap = size - sum(p[3] for p in parts)
+        gap = size - sum(len(ids) // 4 for _, ids, _, _ in parts)
         while gap:
             i = bisect_right(self.pool, (gap, 1 << 62))
-            doc, ids, start, length = self._take(i - 1 if i else 0)
-            if length > gap:
-                self._wait(doc, ids, start + gap, length - gap)
-                length = gap
-            parts.append((doc, ids, start, length))
-            gap -= length
+            doc, ids, start, total = self._take(i - 1 if i else 0)
+            if len(ids) > 4 * gap:
+                self._wait(doc, ids[4 * gap :], start + gap, total)
+                ids = ids[: 4 * gap]
+            parts.append((doc, ids, start, total))
+            gap -= len(ids) // 4
         self._emit(size, parts)
 
     def _emit(self, size: int, parts: list[tuple]) -> None:
@@ -102,9 +107,9 @@ class Packer:
         self.groups[size] = (group, used + size)
         sequence, offset = self.base + self.windows, 0
         self.windows += 1
-        for doc, ids, start, length in parts:
-            crc = zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)])
-            self.ready.append((doc, start, length, crc, len(ids) // 4, sequence, offset, size, self.base + group))
+        for doc, ids, start, total in parts:
+            length = len(ids) // 4
+            self.ready.append((doc, start, length, zlib.crc32(ids), total, sequence, offset, size, self.base + group))
             offset += length
 
 
