@@ -22,9 +22,10 @@ Row = dict
 #: fn(rows, following): the results of rows, each of which is followed by the row at its place in ``following`` (None: by nothing).
 Pairer = Callable[[list[Row], list[Row | None]], list[Row]]
 #: Sampled keys for each range.
-SAMPLE = 50
-#: Bytes of compressed input that a range holds at most, about.
-RANGE_BYTES = 16 << 20
+SAMPLE = 32
+#: Rows of a range, about, and the most ranges there are: what the driver holds (a sample of the
+#: keys, the keys at the ends of ranges) does not grow with the input beyond these. Larger ranges are sorted on disk and walked as a stream.
+RANGE_ROWS, MOST_RANGES = 8192, 8192
 #: Runs of like rows that are tried on either side of a row.
 REACH = 4
 
@@ -34,18 +35,18 @@ def _key(values: tuple) -> tuple:
     return tuple((0, 0) if v is None else (1, v.encode() if isinstance(v, str) else v) for v in values)
 
 
-def _ranges(df: DataFrame) -> int:
-    """As many ranges as there are shuffle partitions, and enough for about ``RANGE_BYTES`` of the input's files in each."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    known = size if size < 1 << 60 else 0  # a plan without statistics counts as endless
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // RANGE_BYTES), 1)
+def _ranges(spark, rows: int) -> int:
+    """As many ranges as there are shuffle partitions, and enough for ``RANGE_ROWS`` in each, up to ``MOST_RANGES``."""
+    return min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE_ROWS), 1), MOST_RANGES)
 
 
-def _cuts(keys: DataFrame, order: list[str], ranges: int) -> list[tuple]:
-    """At most ``ranges`` - 1 keys that part the rows about evenly; the driver gets about ``SAMPLE`` keys for each."""
-    share = min(1.0, SAMPLE * ranges / max(keys.count(), 1))
+def _cuts(keys: DataFrame, order: list[str]) -> tuple[int, list[tuple]]:
+    """The number of ranges, and at most one key less that part the rows about evenly; the driver gets about ``SAMPLE`` keys for each range."""
+    rows = keys.count()
+    ranges = _ranges(keys.sparkSession, rows)
+    share = min(1.0, SAMPLE * ranges / max(rows, 1))
     sample = sorted(_key(tuple(r)) for r in keys.sample(False, share, 7).select(*order).collect())
-    return sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
+    return ranges, sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
 
 
 def with_successor(df: DataFrame, order: list[str], text: str, fn: Pairer, schema: str, wrap: bool = False) -> DataFrame:
@@ -56,8 +57,7 @@ def with_successor(df: DataFrame, order: list[str], text: str, fn: Pairer, schem
     """
     spark = df.sparkSession
     bounded_batches(spark)
-    partitions = _ranges(df)
-    cuts = _cuts(df.select(*order), order, partitions)
+    partitions, cuts = _cuts(df.select(*order), order)
     columns = df.columns
     fields = spark.createDataFrame([], schema).schema
 
@@ -157,8 +157,7 @@ def with_neighbours(df: DataFrame, order: list[str], text: str, parse: Callable,
     """
     spark = df.sparkSession
     bounded_batches(spark)
-    partitions = _ranges(df)
-    cuts = _cuts(df.select(*order), order, partitions)
+    partitions, cuts = _cuts(df.select(*order), order)
     columns = df.columns
     kinds = dict(df.dtypes)
     fields = spark.createDataFrame([], schema).schema
