@@ -3,7 +3,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -16,7 +18,7 @@ from hypothesis import strategies as st
 from parchmint.llm import splitting
 from parchmint.llm.arrowtext import Texts
 from parchmint.llm.byte_bpe import Utf8Machine, model, round_trip
-from parchmint.llm.packing import TIERS, pack_documents
+from parchmint.llm.packing import POOL_BYTES, TIERS, Packer, pack_documents
 from parchmint.llm.word_tokens import ChunkIds, PrefixCounter, WordEnd, token_counts, tokenizer
 from tests.llm.conftest import documents
 
@@ -106,6 +108,62 @@ def test_prefix_counts_equal_the_library(texts):
             assert best == len(t) or exact[best + 1] > budget
 
 
+def test_longest_prefixes_of_all_scripts_equal_brute_force():
+    counter, lib, rng = PrefixCounter(WORDS), tokenizer(WORDS), random.Random(31)
+    parts = ["a", "é", "é", "中", "文", "가", "각", "ſ", "İ", "Σ", "'s", "'re", "'", " ", "\n", "\t", "!", "1", "½", "٣", "<|endoftext|>", "<|endo", "̣", "Å", "ﬁ", "😀", "th", "ing", "\u3000"]
+
+    def tokens(text):
+        return len(lib.encode(text, add_special_tokens=False).ids)
+
+    for _ in range(400):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))
+        cuts = counter.table(text)[3].tolist()
+        exact = [tokens(text[:k]) for k in range(len(text) + 1)]
+        assert [counter.count(text, k) for k in range(len(text) + 1)] == exact and {0, len(text)} <= set(cuts)
+        for budget in range(7):
+            assert counter.longest_prefix(text, budget) == (len(text) if exact[-1] <= budget else max(k for k in cuts if exact[k] <= budget))
+
+
+def test_long_texts_without_spaces_are_cut_in_linear_time():
+    counter, lib, rng = PrefixCounter(WORDS), tokenizer(WORDS), random.Random(32)
+    counter.longest_prefix("中 x", 1)
+    for text in ("".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(100_000)), "a" * 200_000, "".join(rng.choice("aeiou") + rng.choice("\u0323\u0300") for _ in range(30_000))):
+        begun = time.perf_counter()
+        best = counter.longest_prefix(text, 2048)
+        assert time.perf_counter() - begun < 5  # hours where every prefix is encoded
+        exact = [len(lib.encode(text[:k], add_special_tokens=False).ids) for k in range(best, best + 6)]
+        assert exact[0] <= 2048 and all(n > 2048 for k, n in zip(range(best, best + 6), exact, strict=True) if k > best and k in counter.table(text)[3])
+
+
+def test_long_words_are_counted_as_far_as_asked():
+    model = WordEnd(WORDS)
+    rng = random.Random(33)
+    for word in ("a" * 1000, "".join(rng.choice("aeinrst") for _ in range(1500))):
+        whole = list(model.tables([word.encode()])[0])
+        for budget in (0, 1, 20, 100):
+            some = model.counts_within(word.encode(), budget)
+            assert some == whole[: len(some)] and all(n > budget for n in whole[len(some) :])
+
+
+def test_the_pool_of_a_partition_holds_tails_and_not_documents():
+    packer, largest = Packer(0), 0
+    for i in range(3000):
+        packer.add(i, bytes(4 * 4097))
+        held = sum(len(ids) for _, ids, _, _ in packer.held.values())
+        largest = max(largest, packer.waiting())
+        assert held == 4 * packer.tokens and len(packer.held) == len(packer.pool)
+    assert largest <= 2 * POOL_BYTES + 4 * 4097 + 256
+    for i in range(40_000):
+        packer.add(3000 + i, bytes(4))
+        largest = max(largest, packer.waiting())
+    packer.finish()
+    assert largest <= 2 * POOL_BYTES + 4 * 4097 + 256 and not packer.held
+    pieces = Counter()
+    for doc, start, length, *_ in packer.ready:
+        pieces[doc] += length
+    assert pieces == {**{i: 4097 for i in range(3000)}, **{3000 + i: 1 for i in range(40_000)}}
+
+
 def test_splits_equal_the_patterns():
     """Both vectorised splits against their patterns, on every code point below U+3000 and on odd sequences."""
     rng = random.Random(11)
