@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from parchmint.plans import stream_queries  # noqa: F401  registers its queries
 from parchmint.plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

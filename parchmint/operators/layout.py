@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchmint.functions.text import WS, collapse, escape_pipes
+from parchmint.functions.text import OPEN_LINK, WS, collapse, escape_pipes, sanitize_links
+from parchmint.sources.scratch import Scratch
 
 PAGE = ("doc_id", "page_no")
 Keys = Sequence[str]
@@ -171,6 +172,36 @@ def assemble(pages: DataFrame, name: Column, doc: str = "doc_id") -> DataFrame:
     return pages.groupBy(doc, name.alias("name")).agg(F.concat(F.lit("# "), F.first(name), F.array_join(F.transform(parts, lambda p: p["m"]), "")).alias("markdown"))
 
 
+def assemble_within(pages: DataFrame, name: Column, limit: int, doc: str = "doc_id") -> DataFrame:
+    """Documents as ``assemble`` gives them, but of long ones no more pages than ``limit`` code points with safe links need.
+
+    Pages are cut by running lengths before they are gathered. A text that safe links shorten below the limit, or in
+    which a link is open at the cut, is gathered again with four times as much, until the first
+    ``limit`` + 1 code points are those of the whole document; what stands after them is left out.
+    """
+    spark = pages.sparkSession
+    scratch = Scratch(spark, "assemble")
+    piece = F.when(F.regexp_replace("markdown", f"{WS}+", "") != "", F.concat(F.lit("\n\n"), F.col("markdown"), F.lit("\n\n---")))
+    todo = pages.select(doc, name.alias("name"), "page_no", piece.alias("m"))
+    before = F.sum(F.coalesce(F.char_length("m"), F.lit(0))).over(Window.partitionBy(doc).orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1))
+    out, cap, turn = None, limit, 0
+    while True:
+        kept = todo.withColumn("_in", F.coalesce(before, F.lit(0)) <= cap)
+        parts = F.array_sort(F.collect_list(F.when(F.col("_in") & F.col("m").isNotNull(), F.struct("page_no", "m"))))
+        docs = kept.groupBy(doc, "name").agg(
+            F.concat(F.lit("# "), F.first("name"), F.array_join(F.transform(parts, lambda p: p["m"]), "")).alias("markdown"),
+            F.bool_or(~F.col("_in") & F.col("m").isNotNull()).alias("_cut"),
+        )
+        unsure = (F.char_length(sanitize_links(F.col("markdown"))) <= limit) | F.col("markdown").rlike(OPEN_LINK)
+        docs = scratch.save(docs.withColumn("_again", F.col("_cut") & unsure), f"docs-{turn}")
+        sure = docs.where("NOT _again").select(doc, "name", "markdown")
+        out = sure if out is None else out.unionByName(sure)
+        again = docs.where("_again").select(doc)
+        if again.isEmpty():
+            return out
+        todo, cap, turn = todo.join(again, doc, "left_semi"), 4 * cap, turn + 1
+
+
 def span_of_lines(lines: DataFrame, spans: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Rows (doc, line_no, begins): the first of the spans (doc, b, e) that holds a line, null for none; ends are exclusive."""
     inside = (F.col("line_no") >= F.col("b")) & (F.col("line_no") < F.col("e"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchmint.functions.text import all_caps, collapse, trim_all
+from parchmint.operators.deadlines import OutOfTime, within
 from parchmint.operators.page_layout import OCR_TABLES, SPACES, Line, Writer, markdown_table, pipe_table, table_regions
 from parchmint.options import LOW_CONFIDENCE, OCR_ABORTED, OCR_STOPPED, Limits
 
@@ -26,19 +27,31 @@ def good_words(words: Column) -> Column:
     return F.filter(words, lambda w: (trim_all(w["text"]) != "") & (w["confidence"] >= 5) & ~trim_all(w["text"]).rlike(r"^[|\[\]]\z"))
 
 
+def _line(words: Column, bbox: Column, canvas_h: Column, scale: Column) -> dict[str, Column]:
+    """Columns of a line in page units."""
+    placed = F.transform(good_words(words), lambda w: F.struct(w["text"].alias("text"), (w["bbox"]["x0"] / scale).alias("x")))
+    return {
+        "words": placed, "text": collapse(F.array_join(F.transform(placed, lambda w: w["text"]), " ")), "xs": F.transform(placed, lambda w: w["x"]),
+        "y": (canvas_h - bbox["y0"]) / scale, "y_mid": (bbox["y0"] + bbox["y1"]) / F.lit(2.0) / scale, "h": (bbox["y1"] - bbox["y0"]) / scale,
+    }
+
+
+def _stands(text: Column, y: Column, height: Column) -> Column:
+    """Whether a line is neither noise nor in the margins."""
+    keep = (text != "") & (y > height * F.lit(0.04)) & (y < height * F.lit(0.97))
+    return keep & ~((F.length(text) <= 4) & text.rlike("^[a-z]"))
+
+
 def ocr_line_table(lines: DataFrame, canvas_h: Column, scale: Column) -> DataFrame:
     """Lines (bbox, words) in page units; noise and lines in the margins are dropped."""
-    height = canvas_h / scale
-    good = good_words(F.col("words"))
-    out = lines.withColumn("words", F.transform(good, lambda w: F.struct(w["text"].alias("text"), (w["bbox"]["x0"] / scale).alias("x"))))
-    out = out.withColumns(
-        {
-            "text": collapse(F.array_join(F.transform("words", lambda w: w["text"]), " ")), "xs": F.transform("words", lambda w: w["x"]),
-            "y": (canvas_h - F.col("bbox.y0")) / scale, "y_mid": (F.col("bbox.y0") + F.col("bbox.y1")) / F.lit(2.0) / scale, "h": (F.col("bbox.y1") - F.col("bbox.y0")) / scale,
-        }
-    )
-    keep = (F.col("text") != "") & (F.col("y") > height * F.lit(0.04)) & (F.col("y") < height * F.lit(0.97))
-    return out.where(keep & ~((F.length("text") <= 4) & F.col("text").rlike("^[a-z]")))
+    out = lines.withColumns(_line(F.col("words"), F.col("bbox"), canvas_h, scale))
+    return out.where(_stands(F.col("text"), F.col("y"), canvas_h / scale))
+
+
+def ocr_lines(lines: Column, canvas_h: Column, scale: Column) -> Column:
+    """The same over a page's array of lines (line_no, bbox, words); null stays null."""
+    shown = F.transform(lines, lambda l: F.struct(l["line_no"].alias("line_no"), *[c.alias(n) for n, c in _line(l["words"], l["bbox"], canvas_h, scale).items()]))
+    return F.filter(shown, lambda l: _stands(l["text"], l["y"], canvas_h / scale))
 
 
 def no_table_line(text: Column) -> Column:
@@ -98,34 +111,39 @@ def ocr_page_markdown(lines: Sequence[Line], middles: Sequence[float], ruled: tu
     return writer.text()
 
 
-def render_ocr_pages(pages: DataFrame) -> DataFrame:
-    """Rows (doc_id, page_no, markdown, error) for pages with arrays of lines and words.
+def render_ocr_pages(pages: DataFrame, carry: Sequence[str] = (), limits: Limits = Limits()) -> DataFrame:
+    """Rows (doc_id, page_no, markdown, error, and the columns to carry) for pages with arrays of lines and words.
 
-    ``pages`` has doc_id, page_no, scale, text, lines (from ``ocr_line_table``: line_no, y, y_mid, h, text,
+    ``pages`` has doc_id, page_no, scale, text, lines (from ``ocr_lines``: line_no, y, y_mid, h, text,
     xs, words), words (text, bbox), and h_lines and v_lines in page units (null: no grid).
-    Without any line the page's plain text stands.
+    Without any line the page's plain text stands. A page whose time is over has the error ``timeout``.
     """
-    source = pages.select("doc_id", "page_no", "scale", "text", "lines", "words", "h_lines", "v_lines")
+    source = pages.select("doc_id", "page_no", "scale", "text", "lines", "words", "h_lines", "v_lines", *carry)
+    own = ("scale", "text", "lines", "words", "h_lines", "v_lines")
 
     def render(batches):
         for batch in batches:
             out: list[tuple[str | None, str | None]] = []
-            for p in batch.to_pylist():
+            for p in batch.select(["doc_id", "page_no", *own]).to_pylist():
                 try:
-                    rows = sorted(p["lines"] or [], key=lambda r: r["line_no"])
-                    lines = [Line(r["y"], r["h"], r["text"], r["xs"], [(w["x"], w["text"]) for w in r["words"]]) for r in rows]
-                    ruled = None
-                    if p["h_lines"] and p["v_lines"] and len(p["h_lines"]) > 1 and len(p["v_lines"]) > 1:
-                        s = p["scale"] * 2
-                        words = [(w["text"] or "", (w["bbox"]["x0"] + w["bbox"]["x1"]) / s, (w["bbox"]["y0"] + w["bbox"]["y1"]) / s) for w in p["words"] or []]
-                        ruled = (ruled_cells(words, p["h_lines"], p["v_lines"]), p["h_lines"][0], p["h_lines"][-1])
-                    out.append((ocr_page_markdown(lines, [r["y_mid"] for r in rows], ruled) or (p["text"] or "").strip(SPACES), None))
+                    with within(limits.max_ocr_page_ms):
+                        rows = sorted(p["lines"] or [], key=lambda r: r["line_no"])
+                        lines = [Line(r["y"], r["h"], r["text"], r["xs"], [(w["x"], w["text"]) for w in r["words"]]) for r in rows]
+                        ruled = None
+                        if p["h_lines"] and p["v_lines"] and len(p["h_lines"]) > 1 and len(p["v_lines"]) > 1:
+                            s = p["scale"] * 2
+                            words = [(w["text"] or "", (w["bbox"]["x0"] + w["bbox"]["x1"]) / s, (w["bbox"]["y0"] + w["bbox"]["y1"]) / s) for w in p["words"] or []]
+                            ruled = (ruled_cells(words, p["h_lines"], p["v_lines"]), p["h_lines"][0], p["h_lines"][-1])
+                        out.append((ocr_page_markdown(lines, [r["y_mid"] for r in rows], ruled) or (p["text"] or "").strip(SPACES), None))
+                except OutOfTime:
+                    out.append((None, "timeout"))
                 except Exception as e:  # one page must not end the job
                     out.append((None, f"{type(e).__name__}: {e}"[:500]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("page_no"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string())], names=["doc_id", "page_no", "markdown", "error"])
+            kept = ["doc_id", "page_no", *carry]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string())], names=[*kept, "markdown", "error"])
 
     kinds = dict(source.dtypes)
-    return source.mapInArrow(render, f"doc_id {kinds['doc_id']}, page_no {kinds['page_no']}, markdown string, error string")
+    return source.mapInArrow(render, ", ".join([*(f"{c} {kinds[c]}" for c in ("doc_id", "page_no", *carry)), "markdown string, error string"]))
 
 
 def confidence_badge(percent: Column) -> Column:

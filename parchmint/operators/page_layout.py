@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchmint.functions.text import heading_level
+from parchmint.operators.deadlines import OutOfTime, within
 from parchmint.operators.layout import PAGE, line_table, number_lines, reading_order, with_modal_height
-from parchmint.options import COMPOUND_PREFIXES, ConvertOptions
+from parchmint.options import COMPOUND_PREFIXES, TIMED_OUT, ConvertOptions
 
 SPACES = "\t\n\x0b\x0c\r                  　﻿"
 _SPACE_RUN = re.compile(f"[{SPACES}]+")
@@ -214,7 +215,7 @@ def lines_of_items(items: DataFrame, options: ConvertOptions, keys: Sequence[str
 
 def render_pages(lines: DataFrame, options: ConvertOptions, keys: Sequence[str] = PAGE) -> DataFrame:
     """Rows (keys, markdown, error), one for each page of ``lines``."""
-    extended, hyphens = options.extended, options.hyphens
+    extended, hyphens, limit = options.extended, options.hyphens, options.limits.max_conversion_ms
     source = lines.select(*keys, "line_no", "y", "h", "text", "xs", "level", "modal_h", F.when(F.col("ol_cand"), F.col("ol_marker")).alias("marker"), F.coalesce("ol_text", F.lit("")).alias("marked"), F.transform("items", lambda i: F.struct(i["x"].alias("x"), i["str"].alias("str"))).alias("cells"))
     key_types = {k: t for k, t in lines.dtypes if k in keys}
 
@@ -222,8 +223,11 @@ def render_pages(lines: DataFrame, options: ConvertOptions, keys: Sequence[str]
         rows = sorted(table.drop_columns(list(keys)).to_pylist(), key=lambda r: r["line_no"])
         markdown, error = None, None
         try:
-            page = [Line(r["y"], r["h"], r["text"], r["xs"], [(c["x"], c["str"]) for c in r["cells"]], r["level"], r["marker"], r["marked"]) for r in rows]
-            markdown = page_markdown(page, rows[0]["modal_h"], extended, hyphens)
+            with within(limit):
+                page = [Line(r["y"], r["h"], r["text"], r["xs"], [(c["x"], c["str"]) for c in r["cells"]], r["level"], r["marker"], r["marked"]) for r in rows]
+                markdown = page_markdown(page, rows[0]["modal_h"], extended, hyphens)
+        except OutOfTime:
+            error = TIMED_OUT
         except Exception as e:  # one page must not end the job
             error = f"{type(e).__name__}: {e}"[:500]
         return pa.table({**{k: pa.array([v.as_py()], table.schema.field(k).type) for k, v in zip(keys, key, strict=True)}, "markdown": pa.array([markdown], pa.string()), "error": pa.array([error], pa.string())})

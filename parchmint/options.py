@@ -27,6 +27,7 @@ class Limits:
     #: Bytes of one inflated part of a file that a task holds; a larger one is reported as an error.
     max_part_bytes: int = 1 << 27
     max_conversion_ms: int = 60_000
+    max_ocr_page_ms: int = 45_000
 
 
 @dataclass(frozen=True)

@@ -13,22 +13,23 @@ from pyspark.sql import functions as F
 
 from parchmint.functions.unicode import nfc
 from parchmint.operators.gates import page_has_text
-from parchmint.operators.layout import assemble
-from parchmint.operators.ocr import document_confidence, label_low_confidence, ocr_line_table, render_ocr_pages, render_scale, within_page_cap, within_pixel_budget
+from parchmint.operators.layout import assemble_within
+from parchmint.operators.ocr import document_confidence, label_low_confidence, ocr_lines, render_ocr_pages, render_scale, within_page_cap, within_pixel_budget
 from parchmint.options import OCR_FAILED, OCR_TIMED_OUT, ConvertOptions, Limits
+from parchmint.sources.scratch import Scratch
 
 KEYS = ["doc_id", "page_no"]
 
 
 def route_pages(pages: DataFrame, items: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Rows (doc_id, page_no, scale, route, markdown): route is text, recognise or notice, and markdown a notice."""
+    """Rows (doc_id, page_no, width, height, scale, route, markdown): route is text, recognise or notice, and markdown a notice."""
     texts = page_has_text(items).where("has_text")
     sizes = pages.select(*KEYS, "width", "height").join(texts, KEYS, "left").withColumn("scale", render_scale(F.col("width"), F.col("height"), limits))
     kept = within_page_cap(sizes.withColumn("markdown", F.lit(None).cast("string")), limits)
     drawn = F.when(F.col("has_text").isNull() & F.col("markdown").isNull(), F.col("width") * F.col("height") * F.col("scale") * F.col("scale")).otherwise(F.lit(0.0))
     kept = within_pixel_budget(kept, drawn, limits)
     route = F.when(F.col("markdown").isNotNull(), "notice").when(F.col("has_text"), "text").otherwise("recognise")
-    return kept.select(*KEYS, "scale", route.alias("route"), "markdown")
+    return kept.select(*KEYS, "width", "height", "scale", route.alias("route"), "markdown")
 
 
 def recognised_pages(pages: DataFrame, items: DataFrame, options: ConvertOptions | None = None) -> DataFrame:
@@ -44,33 +45,38 @@ def recognised_pages(pages: DataFrame, items: DataFrame, options: ConvertOptions
     options = options or ConvertOptions()
     if "lang" in pages.columns:
         pages = pages.where(F.col("lang") == options.lang)
-    routed = route_pages(pages, items, options.limits)
-    notices = routed.where("route = 'notice'").select(*KEYS, "markdown", F.lit(None).cast("double").alias("confidence"))
+    scratch = Scratch(pages.sparkSession, "recognised")
+    routed = scratch.save(route_pages(pages, items, options.limits), "routed")  # one thin row a page, read by each route
+    confidence = F.lit(None).cast("double").alias("confidence")
+    notices = routed.where("route = 'notice'").select(*KEYS, "markdown", confidence)
 
-    embedded = items.join(routed.where("route = 'text'").select(*KEYS), KEYS, "left_semi")
-    sized = embedded.join(pages.select(*KEYS, F.col("width").alias("page_width"), F.col("height").alias("page_height")), KEYS)
-    texts = items_to_markdown(sized, options).select(*KEYS, "markdown", F.lit(None).cast("double").alias("confidence"))
+    sized = items.join(routed.where("route = 'text'").select(*KEYS, F.col("width").alias("page_width"), F.col("height").alias("page_height")), KEYS)
+    texts = items_to_markdown(sized, options).select(*KEYS, "markdown", confidence)
 
+    # A drawn page stays one row from its route to its text.
     drawn = pages.drop("scale").join(routed.where("route = 'recognise'").select(*KEYS, "scale"), KEYS)
+    text = F.coalesce("text", F.lit(""))
+    ready = drawn.withColumns({"text": nfc(text) if options.normalize else text, "lines": ocr_lines(F.col("lines"), F.col("canvas_h"), F.col("scale")), "confidence": F.col("confidence").cast("double")})
+    shown = render_ocr_pages(ready, ("outcome", "confidence"), options.limits)
     fine = F.coalesce(F.col("outcome") == "ok", F.lit(False))
-    lost = F.when(F.col("outcome") == "timeout", F.format_string(OCR_TIMED_OUT, "page_no")).otherwise(F.format_string(OCR_FAILED, "page_no"))
-    lost = drawn.where(~fine).select(*KEYS, lost.alias("markdown"), F.lit(None).cast("double").alias("confidence"))
-
-    good = drawn.where(fine).withColumn("text", F.coalesce("text", F.lit("")))
-    if options.normalize:
-        good = good.withColumn("text", nfc("text"))
-    lines = good.select(*KEYS, "canvas_h", "scale", F.explode("lines").alias("l")).select(*KEYS, "canvas_h", "scale", "l.line_no", "l.bbox", "l.words")
-    lines = ocr_line_table(lines, F.col("canvas_h"), F.col("scale")).groupBy(*KEYS).agg(F.collect_list(F.struct("line_no", "y", "y_mid", "h", "text", "xs", "words")).alias("lines"))
-    ready = good.drop("lines").join(lines, KEYS, "left")
-    shown = render_ocr_pages(ready).join(good.select(*KEYS, F.col("confidence").cast("double").alias("confidence")), KEYS)
-    text = F.when(F.col("error").isNotNull(), F.format_string(OCR_FAILED, "page_no")).otherwise(label_low_confidence(F.col("markdown"), F.col("confidence")))
-    shown = shown.select(*KEYS, text.alias("markdown"), "confidence")
-    return notices.unionByName(texts).unionByName(lost).unionByName(shown)
+    late = F.coalesce(F.when(fine, F.col("error") == "timeout").otherwise(F.col("outcome") == "timeout"), F.lit(False))
+    lost = F.when(late, F.format_string(OCR_TIMED_OUT, "page_no")).otherwise(F.format_string(OCR_FAILED, "page_no"))
+    shown = shown.select(
+        *KEYS,
+        F.when(fine & F.col("error").isNull(), label_low_confidence(F.col("markdown"), F.col("confidence"))).otherwise(lost).alias("markdown"),
+        F.when(fine, F.col("confidence")).alias("confidence"),
+    )
+    return notices.unionByName(texts).unionByName(shown)
 
 
 def recognised_documents(pages: DataFrame, items: DataFrame, names: DataFrame, options: ConvertOptions | None = None) -> DataFrame:
     """Rows (doc_id, markdown, ocr_confidence) for each document of ``names`` (doc_id, sanitized_name)."""
-    found = recognised_pages(pages, items, options)
+    found = Scratch(pages.sparkSession, "recognised").save(recognised_pages(pages, items, options), "pages")
+    return assembled(found, names, (options or ConvertOptions()).limits)
+
+
+def assembled(found: DataFrame, names: DataFrame, limits: Limits) -> DataFrame:
+    """Rows (doc_id, markdown, ocr_confidence) of pages (doc_id, page_no, markdown, confidence), for each document of ``names``."""
     named = names.select("doc_id", "sanitized_name").join(found, "doc_id", "left")
-    docs = assemble(named, F.col("sanitized_name")).select("doc_id", "markdown")
+    docs = assemble_within(named, F.col("sanitized_name"), limits.max_output_chars).select("doc_id", "markdown")
     return docs.join(document_confidence(found.where("confidence IS NOT NULL")), "doc_id", "left")

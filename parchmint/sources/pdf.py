@@ -14,6 +14,9 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from parchmint.operators.deadlines import OutOfTime, within
+from parchmint.options import TIMED_OUT
+
 _OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
 _STREAM = re.compile(rb"(.*?)\bstream\r?\n(.*?)\r?\n?endstream", re.S)
 _NUMBERS = rb"[-+]?\d*\.?\d+"
@@ -200,8 +203,11 @@ def read_pdf(data: bytes, limit: int = 1 << 27) -> tuple[list[dict], list[dict]]
     return geometry, items
 
 
-def read_pdfs(files: DataFrame, id_col: str = "id", content_col: str = "content", limit: int = 1 << 27) -> DataFrame:
-    """Rows (id, pages, items, error_name, error) for files; explode pages and items for tables of them."""
+def read_pdfs(files: DataFrame, id_col: str = "id", content_col: str = "content", limit: int = 1 << 27, max_ms: int | None = None) -> DataFrame:
+    """Rows (id, pages, items, error_name, error) for files; explode pages and items for tables of them.
+
+    A file that takes more than ``max_ms`` to read has the error name ``TimeoutException``.
+    """
     kind = dict(files.dtypes)[id_col]
 
     def read(batches):
@@ -211,7 +217,10 @@ def read_pdfs(files: DataFrame, id_col: str = "id", content_col: str = "content"
             rows = []
             for content in batch.column(content_col).to_pylist():
                 try:
-                    rows.append((*read_pdf(content or b"", limit), None, None))
+                    with within(max_ms):
+                        rows.append((*read_pdf(content or b"", limit), None, None))
+                except OutOfTime:
+                    rows.append((None, None, "TimeoutException", TIMED_OUT))
                 except Exception as e:  # one file must not end the job
                     rows.append((None, None, "PasswordException" if isinstance(e, PermissionError) else "InvalidPDFException", str(e)[:500]))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 4
