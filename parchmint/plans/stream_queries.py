@@ -26,20 +26,21 @@ def run_to_end(spark: SparkSession, stream: DataFrame, scratch: Scratch, name: s
 
 
 def as_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """A table's files as a stream, whether it is one file or a folder: a pattern may name either, a plain path only a folder."""
+    known = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(known).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 @query(
     "stream_file_states",
     f"""
     WITH RECURSIVE ev AS (
-        SELECT user_id, event_id, epoch_ms(ts) AS at, {_KIND} AS kind, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS k FROM events
+        SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, {_KIND} AS kind, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events
     ), state AS (
         SELECT DISTINCT user_id, 0::BIGINT AS k, NULL::VARCHAR AS status, 0::BIGINT AS since, 0::BIGINT AS at_ms, NULL::VARCHAR AS error FROM ev
         UNION ALL
-        SELECT user_id, k, then_, CASE WHEN then_ = 'converting' AND was <> 'converting' THEN at ELSE since END,
-               CASE WHEN moved THEN at WHEN late THEN since + {_LIMIT.max_conversion_ms} ELSE at_ms END,
+        SELECT user_id, k, then_, CASE WHEN then_ = 'converting' AND was <> 'converting' THEN ms ELSE since END,
+               CASE WHEN moved THEN ms WHEN late THEN since + {_LIMIT.max_conversion_ms} ELSE at_ms END,
                CASE WHEN moved THEN NULL WHEN late THEN {lit(TIMED_OUT)} ELSE error END
         FROM (
             SELECT *, then_ IS DISTINCT FROM was AS moved FROM (
@@ -54,12 +55,12 @@ def as_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
                     WHEN kind = 'fail' AND was IN ('converting', 'ocr') THEN 'failed'
                     ELSE was END AS then_
                 FROM (
-                    SELECT s.user_id, e.k, e.at, e.kind, s.since, s.at_ms, s.error,
-                           s.status IN ('converting', 'ocr') AND e.at >= s.since + {_LIMIT.max_conversion_ms} AS late,
-                           CASE WHEN s.status IN ('converting', 'ocr') AND e.at >= s.since + {_LIMIT.max_conversion_ms} THEN 'failed' ELSE s.status END AS was
+                    SELECT s.user_id, e.k, e.ms, e.kind, s.since, s.at_ms, s.error,
+                           s.status IN ('converting', 'ocr') AND e.ms >= s.since + {_LIMIT.max_conversion_ms} AS late,
+                           CASE WHEN s.status IN ('converting', 'ocr') AND e.ms >= s.since + {_LIMIT.max_conversion_ms} THEN 'failed' ELSE s.status END AS was
                     FROM state s JOIN ev e ON e.user_id = s.user_id AND e.k = s.k + 1)))
-    ), ends AS (SELECT user_id, max(k) AS k FROM ev GROUP BY user_id), now AS (SELECT max(at) AS at FROM ev),
-    last AS (SELECT s.*, s.status IN ('converting', 'ocr') AND s.since + {_LIMIT.max_conversion_ms} <= now.at AS late FROM state s JOIN ends USING (user_id, k), now)
+    ), ends AS (SELECT user_id, max(k) AS k FROM ev GROUP BY user_id), now AS (SELECT max(ms) AS ms FROM ev),
+    last AS (SELECT s.*, s.status IN ('converting', 'ocr') AND s.since + {_LIMIT.max_conversion_ms} <= now.ms AS late FROM state s JOIN ends USING (user_id, k), now)
     SELECT user_id, CASE WHEN late THEN 'failed' ELSE status END AS status, CASE WHEN late THEN since + {_LIMIT.max_conversion_ms} ELSE at_ms END AS at_ms,
            CASE WHEN late THEN {lit(TIMED_OUT)} ELSE error END AS error
     FROM last WHERE status IS NOT NULL
