@@ -37,13 +37,15 @@ def format_size(size: Column) -> Column:
     return F.when(size >= 1048576, F.format_string("%.1f MB", size / F.lit(1048576.0))).otherwise(F.format_string("%.0f KB", size / F.lit(1024.0)))
 
 
+#: Links to script and HTML data addresses.
+LINK = rf"\[([^\]]*)\]\({WS}*(?i:javascript:|data:text/html)[^)]*\)"
 #: A text whose end may be the beginning of a link that loses its address.
 OPEN_LINK = rf"(?s)\[[^\]]*(?:\](?:\({WS}*(?:[a-zA-Z:/]{{0,13}}|(?i:javascript:|data:text/html)[^)]*))?)?\z"
 
 
 def sanitize_links(md: Column) -> Column:
     """Links to script and HTML data addresses lose their address."""
-    return F.regexp_replace(md, rf"\[([^\]]*)\]\({WS}*(?i:javascript:|data:text/html)[^)]*\)", "[$1]()")
+    return F.regexp_replace(md, LINK, "[$1]()")
 
 
 def classify_error(message: Column, name: Column) -> Column:

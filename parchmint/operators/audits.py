@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 # What no line may hold, and the safe forms of markup assignments, requests, imports and addresses.
 BANS = (
-    ("no eval()", r"\beval\s*\("),
-    ("no new Function()", r"new\s+Function\s*\("),
-    ("no document.write", r"document\.write\s*\("),
-    ("no XMLHttpRequest", r"\bXMLHttpRequest\b"),
-    ("no WebSocket", r"new\s+WebSocket\s*\("),
-    ("no sendBeacon", r"\bsendBeacon\b"),
-    ("no EventSource", r"new\s+EventSource\s*\("),
-    ("no insertAdjacentHTML", r"\binsertAdjacentHTML\b"),
-    ("no outerHTML assignment", r"\.outerHTML\s*="),
+    ("eval is called", r"\beval\s*\("),
+    ("a function is built from text", r"new\s+Function\s*\("),
+    ("the document is written into", r"document\.write\s*\("),
+    ("an old request object is used", r"\bXMLHttpRequest\b"),
+    ("a web socket is opened", r"new\s+WebSocket\s*\("),
+    ("a beacon is sent", r"\bsendBeacon\b"),
+    ("an event source is opened", r"new\s+EventSource\s*\("),
+    ("markup is put beside an element", r"\binsertAdjacentHTML\b"),
+    ("an element's markup is replaced", r"\.outerHTML\s*="),
 )
 ASSIGNED, CLEARED = r"\.innerHTML\s*=([^=]|$)", r"\.innerHTML\s*=\s*''"
 REQUEST, SAFE_REQUEST = "fetch(", r"fetch\s*\(\s*('/|path\b)"

@@ -55,9 +55,11 @@ def _numbered(docs: DataFrame, name: str, nth) -> DataFrame:
 def zip_archives(docs: DataFrame, batch: str, per_archive: int = 1000) -> DataFrame:
     """Rows (batch, part, archive): zip bytes of entry_name and markdown; a batch of any size is cut into parts.
 
-    A part is what one task holds; equal entry names in a part keep the later document.
+    A batch has as many parts as its size asks for, and an entry's part comes from its name's hash, so parts hold about
+    ``per_archive`` documents and no task sees more than a part. Equal entry names meet in one part, which keeps the later document.
     """
-    numbered = docs.withColumn("part", F.floor((F.row_number().over(Window.partitionBy(batch, F.pmod(F.xxhash64("entry_name"), F.lit(64))).orderBy("file_ord")) - 1) / per_archive) * 64 + F.pmod(F.xxhash64("entry_name"), F.lit(64)))
+    sizes = docs.groupBy(batch).agg(F.ceil(F.count("*") / per_archive).alias("_parts"))  # one row for each batch
+    numbered = docs.alias("d").join(sizes.alias("s"), F.col(f"d.{batch}").eqNullSafe(F.col(f"s.{batch}"))).select("d.*", F.pmod(F.xxhash64("entry_name"), F.col("_parts")).alias("part"))
     kind = dict(docs.dtypes)[batch]
 
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:

@@ -213,24 +213,104 @@ def lines_of_items(items: DataFrame, options: ConvertOptions, keys: Sequence[str
     return lines.withColumn("level", heading_level(F.col("text"), F.col("h"), F.col("modal_h")))
 
 
+def page_rows(lines: DataFrame, columns: Sequence[str], keys: Sequence[str] = PAGE) -> DataFrame:
+    """One row for each page, with its lines (line_no and the columns) as an ordered array."""
+    return lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", *columns))).alias("lines"))
+
+
 def render_pages(lines: DataFrame, options: ConvertOptions, keys: Sequence[str] = PAGE) -> DataFrame:
     """Rows (keys, markdown, error), one for each page of ``lines``."""
     extended, hyphens, limit = options.extended, options.hyphens, options.limits.max_conversion_ms
     source = lines.select(*keys, "line_no", "y", "h", "text", "xs", "level", "modal_h", F.when(F.col("ol_cand"), F.col("ol_marker")).alias("marker"), F.coalesce("ol_text", F.lit("")).alias("marked"), F.transform("items", lambda i: F.struct(i["x"].alias("x"), i["str"].alias("str"))).alias("cells"))
-    key_types = {k: t for k, t in lines.dtypes if k in keys}
-
-    def render(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        rows = sorted(table.drop_columns(list(keys)).to_pylist(), key=lambda r: r["line_no"])
-        markdown, error = None, None
-        try:
-            with within(limit):
-                page = [Line(r["y"], r["h"], r["text"], r["xs"], [(c["x"], c["str"]) for c in r["cells"]], r["level"], r["marker"], r["marked"]) for r in rows]
-                markdown = page_markdown(page, rows[0]["modal_h"], extended, hyphens)
-        except OutOfTime:
-            error = TIMED_OUT
-        except Exception as e:  # one page must not end the job
-            error = f"{type(e).__name__}: {e}"[:500]
-        return pa.table({**{k: pa.array([v.as_py()], table.schema.field(k).type) for k, v in zip(keys, key, strict=True)}, "markdown": pa.array([markdown], pa.string()), "error": pa.array([error], pa.string())})
-
-    schema = ", ".join([*(f"{k} {key_types[k]}" for k in keys), "markdown string, error string"])
-    return source.groupBy(*keys).applyInArrow(render, schema)
+    pages = page_rows(source, ("y", "h", "text", "xs", "level", "modal_h", "marker", "marked", "cells"), keys)
+
+    def render(batches):
+        for batch in batches:
+            out: list[tuple[str | None, str | None]] = []
+            for rows in batch.column("lines").to_pylist():
+                try:
+                    with within(limit):
+                        page = [Line(r["y"], r["h"], r["text"], r["xs"], [(c["x"], c["str"]) for c in r["cells"]], r["level"], r["marker"], r["marked"]) for r in rows]
+                        out.append((page_markdown(page, rows[0]["modal_h"], extended, hyphens), None))
+                except OutOfTime:
+                    out.append((None, TIMED_OUT))
+                except Exception as e:  # one page must not end the job
+                    out.append((None, f"{type(e).__name__}: {e}"[:500]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string())], names=[*keys, "markdown", "error"])
+
+    kinds = dict(pages.dtypes)
+    return pages.mapInArrow(render, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "markdown string, error string"]))
+
+
+def find_tables(lines: DataFrame, rules: TableRules = TEXT_TABLES, keys: Sequence[str] = PAGE) -> DataFrame:
+    """Rows (keys, start_line, end_line, columns): half-open runs of a page's lines that are tables.
+
+    ``lines`` has line_no, xs and barred, which tells the lines that no table holds. A run is a fold over
+    lines with the sorted left edges of the open run as its state; lines are counted from 0 in their order.
+    """
+    pages = page_rows(lines, ("xs", "barred"), keys)
+
+    def find(batches):
+        for batch in batches:
+            at, out = [], []
+            for i, rows in enumerate(batch.column("lines").to_pylist()):
+                page = [Line(0.0, 0.0, "", r["xs"] or [], [], int(bool(r["barred"]))) for r in rows]
+                for found in table_regions(page, lambda line: line.level > 0, rules):
+                    at.append(i)
+                    out.append(found)
+            where = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k).take(where) for k in keys), pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.list_(pa.float64()))],
+                names=[*keys, "start_line", "end_line", "columns"],
+            )
+
+    kinds = dict(pages.dtypes)
+    return pages.mapInArrow(find, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "start_line int, end_line int, columns array<double>"]))
+
+
+def heading_runs(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
+    """Rows (keys, first_line, n_lines, level, text): headings that go over several lines, made one.
+
+    ``lines`` has line_no, y, text, level (0: no heading), modal_h, and free (false: in a table, or a list item). A line goes on with
+    the run before it where it follows it, has its level, and stands within 2.2 modal heights of the run's first line, whose place is the fold's state.
+    """
+    pages = page_rows(lines, ("y", "text", "level", "free", "modal_h"), keys)
+    run = "struct<first_line:int,n_lines:int,level:int,y:double,texts:array<string>>"
+
+    def step(runs, indexed):
+        line, at = indexed["line"], indexed["at"]
+        last = F.try_element_at(runs, F.lit(-1))
+        heads = F.coalesce(line["free"] & (line["level"] > 0) & (line["text"] != ""), F.lit(False))
+        goes_on = last.isNotNull() & (last["first_line"] + last["n_lines"] == at) & (last["level"] == line["level"]) & (F.abs(line["y"] - last["y"]) < line["modal_h"] * F.lit(2.2))
+        grown = F.struct(last["first_line"].alias("first_line"), (last["n_lines"] + 1).alias("n_lines"), last["level"].alias("level"), last["y"].alias("y"), F.concat(last["texts"], F.array(line["text"])).alias("texts"))
+        begun = F.struct(at.alias("first_line"), F.lit(1).alias("n_lines"), line["level"].cast("int").alias("level"), line["y"].alias("y"), F.array(line["text"]).alias("texts"))
+        before = F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0)))
+        return F.when(heads & F.coalesce(goes_on, F.lit(False)), F.concat(before, F.array(grown))).when(heads, F.concat(runs, F.array(begun))).otherwise(runs).cast(f"array<{run}>")
+
+    indexed = F.transform("lines", lambda line, at: F.struct(line.alias("line"), at.alias("at")))
+    runs = F.aggregate(indexed, F.array().cast(f"array<{run}>"), step)
+    out = pages.select(*keys, F.explode(runs).alias("r"))
+    return out.select(*keys, "r.first_line", "r.n_lines", "r.level", F.array_join("r.texts", " ").alias("text"))
+
+
+def repaired_paragraphs(lines: DataFrame, keep_hyphens: bool = True, keys: Sequence[str] = (*PAGE, "para_no")) -> DataFrame:
+    """Rows (keys, text): the lines of a paragraph (line_no, text) in order, words broken by a hyphen made whole.
+
+    The fold's state is the list of chunks so far: a line after a broken word gives its first word to it, and the rest is a chunk of its own.
+    With ``keep_hyphens`` first parts that are prefixes of compounds keep their hyphen.
+    """
+    pages = page_rows(lines, ("text",), keys)
+    space = f"[{SPACES}]"
+
+    def step(chunks, line):
+        last = F.try_element_at(chunks, F.lit(-1))
+        broken = F.coalesce(last.rlike(r"[A-Za-z]-\z"), F.lit(False))
+        stem = F.lower(F.regexp_extract(last, rf"([^{SPACES}]*)-\z", 1))
+        kept = stem.isin(*COMPOUND_PREFIXES) if keep_hyphens else F.lit(False)
+        words = F.split(line["text"], space, -1)
+        joined = F.concat(F.substring(last, F.lit(1), F.length(last) - 1), words[0])
+        before = F.slice(chunks, 1, F.greatest(F.size(chunks) - 1, F.lit(0)))
+        rest = F.array_join(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), " ")
+        return F.when(broken & ~kept, F.concat(before, F.array(joined, rest))).otherwise(F.concat(chunks, F.array(line["text"])))
+
+    return pages.select(*keys, F.array_join(F.aggregate("lines", F.array().cast("array<string>"), step), " ").alias("text"))

@@ -356,12 +356,6 @@ def para_reflow(spark, d):
     return layout.reflow(lines).select("doc_id", "para_no", "text")
 
 
-@query("page_layout_full")
-def page_layout_full(spark, d):
-    options = ConvertOptions()
-    return page_layout.render_pages(page_layout.lines_of_items(typeset(spark, d), options), options)
-
-
 def _ocr(spark, d):
     """Items as recognised words: pixel boxes at scale 3 on pages of 1800 by 2400."""
     box = F.struct((F.col("x") * 3).cast("int").alias("x0"), (2400 - F.col("y") * 3).cast("int").alias("y0"), (F.col("x") * 3 + 30).cast("int").alias("x1"), (2436 - F.col("y") * 3).cast("int").alias("y1"))
@@ -689,19 +683,30 @@ def html_links(spark, d):
 
 
 def _markdown_lines(spark, d):
-    """Lines of the Markdown of pages' lists and articles; the wrappers around them are not in the allow-list."""
-    parts = [F.regexp_extract("html", pattern, 1) for pattern in ("(?s)(<ul>.*?</ul>)", "(?s)<article>(.*?)</article>")]
-    found = html_markdown.html_to_markdown(table(spark, d, "pages").select("page_id", F.concat(*parts).alias("html")), clean=True)
+    """Lines of the Markdown of whole pages."""
+    found = html_markdown.html_to_markdown(table(spark, d, "pages").select("page_id", "html"), clean=False)
     return scan_lines(found, "markdown", ("page_id",))
 
 
 @query("html_list_items", "SELECT page_id, unnest(regexp_extract_all(html, '<li>(?:<a href=\"[^\"]*\">)?([^<]+)', 1)) AS item FROM pages")
 def html_list_items(spark, d):
-    item = F.regexp_replace(F.regexp_extract("line", r"^- (.*)$", 1), r"^\[(.*)\]\([^)]*\)$", "$1")
-    return _markdown_lines(spark, d).where(F.col("line").startswith("- ")).select("page_id", item.alias("item"))
+    return _markdown_lines(spark, d).where(F.col("line").startswith("- ")).select("page_id", F.substring("line", 3, 1 << 30).alias("item"))
+
+
+_REFERENCES = (("&nbsp;", "chr(160)"), ("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&amp;", "'&'"))
+
 
+def _decoded(sql: str) -> str:
+    for spelt, shown in _REFERENCES:
+        sql = f"replace({sql}, '{spelt}', {shown})"
+    return sql
 
-@query("html_headings", f"SELECT page_id, 1::BIGINT AS level, replace(replace(replace(heading, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS heading FROM (SELECT page_id, trim(regexp_replace(unnest(regexp_extract_all(html, '<h1>([^<]+)</h1>', 1)), '{WS}+', ' ', 'g'), ' ') AS heading FROM pages) WHERE heading <> ''")
+
+@query(
+    "html_headings",
+    f"""WITH found AS (SELECT page_id, unnest(regexp_extract_all(html, '<h([1-6])[^>]*>([^<]+)</h[1-6]>', 1))::BIGINT AS level, unnest(regexp_extract_all(html, '<h([1-6])[^>]*>([^<]+)</h[1-6]>', 2)) AS spelt FROM pages)
+    SELECT page_id, level, heading FROM (SELECT page_id, level, regexp_replace({_decoded('spelt')}, '^{WS}+|{WS}+$', '', 'g') AS heading FROM found) WHERE heading <> ''""",
+)
 def html_headings(spark, d):
     marks = F.regexp_extract("line", "^(#{1,6}) ", 1)
     return _markdown_lines(spark, d).where(marks != "").select("page_id", F.length(marks).alias("level"), F.regexp_extract("line", "^#{1,6} (.*)$", 1).alias("heading"))
@@ -717,8 +722,7 @@ def _flat_html(html: str) -> str:
     text = f"regexp_replace({html}, '<!--.*?-->|<!DOCTYPE[^>]*>|<title>[^<]*</title>', '', 'gs')"
     text = f"replace({text}, chr(34) || '</p>' || chr(34), chr(34) || chr(1) || chr(34))"
     text = f"replace(regexp_replace({text}, '<[^>]*>', '', 'g'), chr(1), '</p>')"
-    for spelt, shown in (("&nbsp;", "chr(160)"), ("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&amp;", "'&'")):
-        text = f"replace({text}, '{spelt}', {shown})"
+    text = _decoded(text)
     return rf"regexp_replace({text}, '^{WS}+|{WS}+$', '', 'g')"
 
 
@@ -743,11 +747,21 @@ _CODE = (
     "e.innerHTML = ''", "if (e.innerHTML == x)", "fetch('/a')", "fetch(path, o)", "import('/vendor/a.js')", "// see http://host/path", "evaluate(x)", "",
 )
 _AUDITED = f"""WITH code AS (SELECT doc_id, line_no, raw || ' ' || [{', '.join(map(lit, _CODE))}][1 + (doc_id * 7 + line_no) % {len(_CODE)}] AS line FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS raw FROM documents)),
-    found AS (SELECT doc_id, line_no, line, unnest(list_filter([{', '.join(f"CASE WHEN regexp_matches(line, {lit(p)}) THEN {lit(n)} END" for n, p in audits.BANS)},
-        CASE WHEN regexp_matches(line, {lit(audits.ASSIGNED)}) AND NOT regexp_matches(line, {lit(audits.CLEARED)}) THEN 'markup is only cleared' END,
-        CASE WHEN contains(line, 'fetch(') AND NOT regexp_matches(line, {lit(audits.SAFE_REQUEST)}) THEN 'requests stay on the origin' END,
-        CASE WHEN regexp_extract(line, {lit(audits.IMPORTED)}, 1) <> '' AND NOT starts_with(regexp_extract(line, {lit(audits.IMPORTED)}, 1), '/vendor/') THEN 'imports come from the vendored files' END,
-        CASE WHEN regexp_matches(line, {lit(audits.ADDRESS)}) AND NOT regexp_matches(line, {lit(audits.COMMENT)}) AND NOT contains(line, 'github.com') THEN 'no remote addresses' END], lambda x: x IS NOT NULL)) AS rule FROM code)
+    found AS (SELECT doc_id, line_no, line, unnest(list_filter([
+        CASE WHEN regexp_matches(line, '(^|[^A-Za-z0-9_])eval[[:space:]]*[(]') THEN 'eval is called' END,
+        CASE WHEN regexp_matches(line, 'new[[:space:]]+Function[[:space:]]*[(]') THEN 'a function is built from text' END,
+        CASE WHEN regexp_matches(line, 'document[.]write[[:space:]]*[(]') THEN 'the document is written into' END,
+        CASE WHEN regexp_matches(line, '(^|[^A-Za-z0-9_])XMLHttpRequest($|[^A-Za-z0-9_])') THEN 'an old request object is used' END,
+        CASE WHEN regexp_matches(line, 'new[[:space:]]+WebSocket[[:space:]]*[(]') THEN 'a web socket is opened' END,
+        CASE WHEN regexp_matches(line, '(^|[^A-Za-z0-9_])sendBeacon($|[^A-Za-z0-9_])') THEN 'a beacon is sent' END,
+        CASE WHEN regexp_matches(line, 'new[[:space:]]+EventSource[[:space:]]*[(]') THEN 'an event source is opened' END,
+        CASE WHEN regexp_matches(line, '(^|[^A-Za-z0-9_])insertAdjacentHTML($|[^A-Za-z0-9_])') THEN 'markup is put beside an element' END,
+        CASE WHEN regexp_matches(line, '[.]outerHTML[[:space:]]*=') THEN 'an element''s markup is replaced' END,
+        CASE WHEN regexp_matches(line, '[.]innerHTML[[:space:]]*=($|[^=])') AND NOT regexp_matches(line, '[.]innerHTML[[:space:]]*=[[:space:]]*''''') THEN 'markup is only cleared' END,
+        CASE WHEN contains(line, 'fetch(') AND NOT regexp_matches(line, 'fetch[[:space:]]*[(][[:space:]]*(''/|path($|[^A-Za-z0-9_]))') THEN 'requests stay on the origin' END,
+        CASE WHEN regexp_matches(line, '(^|[^A-Za-z0-9_])import[[:space:]]*[(][[:space:]]*[''"`][^''"` ]+[''"`][[:space:]]*[)]')
+            AND NOT starts_with(regexp_extract(line, '(^|[^A-Za-z0-9_])import[[:space:]]*[(][[:space:]]*[''"`]([^''"` ]+)', 2), '/vendor/') THEN 'imports come from the vendored files' END,
+        CASE WHEN regexp_matches(line, 'https?://[^[:space:]]') AND NOT regexp_matches(line, '^[[:space:]]*//') AND NOT contains(line, 'github.com') THEN 'no remote addresses' END], lambda x: x IS NOT NULL)) AS rule FROM code)
     SELECT doc_id, line_no, rule, 'line ' || (line_no + 1) || ': ' || CASE rule WHEN 'no remote addresses' THEN left(trim(line, ' '), 80) ELSE trim(line, ' ') END AS shown FROM found"""
 
 
@@ -837,6 +851,43 @@ def ocr_convert(spark, d):
     return recognised_documents(pages, found, names, ConvertOptions(ocr=True, limits=_SCAN_LIMITS))
 
 
+def _drawn(spark, d):
+    """Customers as recognised pages with lines: a heading, two rows that a ruled grid holds on every other page, and a list item."""
+    k = F.col("c_custkey")
+
+    def word(text, x, y, confidence=50.0):
+        at = F.struct(F.lit(x).alias("x0"), F.lit(y).alias("y0"), F.lit(x + 60).alias("x1"), F.lit(y + 30).alias("y1"))
+        return F.struct(text.alias("text"), F.lit(confidence).alias("confidence"), at.alias("bbox"))
+
+    def line(no, y, words):
+        return F.struct(F.lit(no).cast("long").alias("line_no"), F.expr(f"named_struct('x0', 90, 'y0', {y}, 'x1', 900, 'y1', {y + 30})").alias("bbox"), F.array(*words).alias("words"))
+
+    first = [word(F.lit("EXHIBIT"), 90, 300), word(k.cast("string"), 300, 300), word(F.lit("noise"), 500, 300, 2.0)]
+    rows = [
+        [word(F.col("c_name"), 90, 600), word(F.lit("|"), 200, 600), word(F.lit("of type"), 450, 600), word(F.col("c_mktsegment"), 750, 600)],
+        [word(F.lit("key"), 90, 660), word(F.concat(F.lit("a|"), (k % 7).cast("string")), 450, 660), word(F.lit("x"), 750, 660)],
+    ]
+    last = [word(F.lit("12."), 90, 1200), word(F.col("c_name"), 200, 1200)]
+    words = F.array(*first, *rows[0], *rows[1], *last)
+    ruled = k % 2 == 0
+    pages = table(spark, d, "customer").select(
+        F.col("c_custkey").cast("long").alias("doc_id"), F.lit(1).alias("page_no"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.lit("ok").alias("outcome"), F.lit("unused").alias("text"),
+        F.lit(90.0).alias("confidence"), F.lit(2400).alias("canvas_h"), F.array(line(0, 300, first), line(1, 600, rows[0]), line(2, 660, rows[1]), line(3, 1200, last)).alias("lines"), words.alias("words"),
+        F.when(ruled, F.array(F.lit(195.0), F.lit(215.0), F.lit(300.0))).alias("h_lines"), F.when(ruled, F.array(F.lit(20.0), F.lit(140.0), F.lit(240.0), F.lit(320.0))).alias("v_lines"),
+    )
+    none = spark.createDataFrame([], "doc_id long, page_no int, item_idx int, str string, x double, y double, height double")
+    return pages, none
+
+
+@query(
+    "ocr_convert_grids",
+    r"""SELECT c_custkey::BIGINT AS doc_id, 1::BIGINT AS page_no, '## EXHIBIT ' || c_custkey || chr(10) || chr(10) || '| ' || c_name || ' | of type | ' || c_mktsegment || ' |' || chr(10) || '| --- | --- | --- |' || chr(10)
+        || '| key | a\|' || (c_custkey % 7) || ' | x |' || chr(10) || chr(10) || '12. ' || c_name AS markdown, 90.0::DOUBLE AS confidence FROM customer""",
+)
+def ocr_convert_grids(spark, d):
+    return recognised_pages(*_drawn(spark, d), ConvertOptions(ocr=True))
+
+
 @query("page_stats", PAGE_LINES + ", md AS (SELECT doc_id, page_no, count(*) FILTER (WHERE text <> '') AS n_lines, sum(n_items)::BIGINT AS n_items FROM lines GROUP BY 1, 2) SELECT doc_id, page_no, n_lines, n_items FROM md")
 def page_stats(spark, d):
     return layout.page_stats(_lines(typeset(spark, d)))

@@ -150,13 +150,18 @@ def _unpacked(objects: dict[int, bytes], limit: int) -> None:
             objects.setdefault(number, data[begin:end])
 
 
+#: A trailer's dictionary, which alone tells of encryption (a cross-reference stream's does where there is no trailer).
+_TRAILER = re.compile(rb"\btrailer\b(.*?)(?:startxref|%%EOF|\Z)", re.S)
+
+
 def read_pdf(data: bytes, limit: int = 1 << 27) -> tuple[list[dict], list[dict]]:
     """Pages (page_no, width, height) and items (page_no, item_idx, ...) of a file; a stream over ``limit`` bytes is an error."""
     if data[:5] != b"%PDF-":
         raise ValueError("invalid header")
-    if re.search(rb"/Encrypt\b", data):
-        raise PermissionError("password or encryption")
     objects = {int(m[1]): m[3] for m in _OBJECT.finditer(data)}
+    tables = [m[1] for m in _TRAILER.finditer(data)] + [b.split(b"stream", 1)[0] for b in objects.values() if re.search(rb"/Type\s*/XRef\b", b[:4096])]
+    if any(re.search(rb"/Encrypt\b", t) for t in tables):
+        raise PermissionError("password or encryption")
     if not objects:
         raise ValueError("corrupt: no objects")
     _unpacked(objects, limit)
@@ -200,6 +205,8 @@ def read_pdf(data: bytes, limit: int = 1 << 27) -> tuple[list[dict], list[dict]]
         content = b"\n".join(stream(n) for n in refs(b"Contents", body))
         bold = {f: bool(re.search("bold", f, re.I)) for f in fonts.values()}
         items += [{"page_no": number, "item_idx": i, **item, "bold": bold.get(item["font_name"], "bold" in item["font_name"].lower())} for i, item in enumerate(_text_items(content, fonts, maps))]
+    if any("\x00" in item["str"] for item in items):
+        raise ValueError("a font of two-byte codes has no map to text")
     return geometry, items
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import itertools
 import random
 import time
+import zipfile
 from collections import Counter, defaultdict
 from datetime import datetime, timezone
 
@@ -13,16 +15,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from parchmint.operators.deadlines import OutOfTime, within
-from parchmint.operators.export import StagedFiles, export_names, located, write_markdown
+from parchmint.operators.export import StagedFiles, export_names, located, write_markdown, zip_archives
 from parchmint.operators.gates import capped
 from parchmint.operators.layout import assemble, assemble_within
 from parchmint.operators.page_layout import lines_of_items, render_pages
 from parchmint.options import TIMED_OUT, ConvertOptions, Limits
 from parchmint.plans.convert import convert_files
 from parchmint.plans.running import Conversion
+from parchmint.plans.sql_surface import register
 from parchmint.plans.stream_queries import run_to_end
 from parchmint.sources import committed
-from parchmint.sources.pdf import read_pdfs
+from parchmint.sources.pdf import read_pdf, read_pdfs
 from parchmint.sources.scratch import Scratch
 from parchmint.streaming.states import TRANSITIONS, capped_stream, file_states, final_states
 from parchmint.streaming.watch import FolderProgress, convert_folder
@@ -317,3 +320,36 @@ def test_assembly_gathers_what_the_limit_needs(spark):
 def test_ocr_without_recognised_pages_is_an_error(spark):
     with pytest.raises(ValueError):
         convert_files(spark.createDataFrame([], "path string, length long, content binary"), ConvertOptions(ocr=True))
+
+
+def test_encryption_is_told_by_the_trailer_alone_and_unmapped_codes_are_errors():
+    text = pdf(["BT /F1 12 Tf 72 700 Td (the word /Encrypt in a text) Tj ET"])
+    _, items = read_pdf(text)
+    assert items[0]["str"] == "the word /Encrypt in a text"
+    with pytest.raises(PermissionError):
+        read_pdf(text.replace(b"%%EOF", b"trailer << /Root 1 0 R /Encrypt 9 0 R >>\nstartxref\n0\n%%EOF"))
+    with pytest.raises(PermissionError):
+        read_pdf(text.replace(b"%%EOF", b"90 0 obj << /Type /XRef /Encrypt 9 0 R >>\nstream\nx\nendstream endobj\n%%EOF"))
+    with pytest.raises(ValueError, match="no map"):
+        read_pdf(pdf(["BT /F1 12 Tf 72 700 Td <00010002> Tj ET"]))
+
+
+def test_archives_have_parts_of_their_size(spark):
+    docs = spark.range(2500).selectExpr("CAST(id AS INT) AS file_ord", "IF(id < 2400, 'big', 'small') AS batch", "concat('d', id, '.md') AS entry_name", "concat('text ', id) AS markdown")
+    found, sizes = {}, defaultdict(list)
+    for r in zip_archives(docs, "batch", per_archive=300).collect():
+        with zipfile.ZipFile(io.BytesIO(bytes(r.archive))) as z:
+            sizes[r.batch].append(len(z.namelist()))
+            found |= {n: z.read(n).decode() for n in z.namelist()}
+    assert found == {f"d{i}.md": f"text {i}" for i in range(2500)}
+    assert len(sizes["big"]) == 8 and max(sizes["big"]) < 400 and sizes["small"] == [100]
+
+
+def test_sql_functions_tell_what_they_need(spark):
+    register(register(spark))
+    assert spark.sql("SELECT nfc('é') AS a, html_markdown('<h1>T</h1>') AS b, size_label(2097152) AS c, progress_percent(1, 8) AS d, file_kind(X'255044462D31') AS e, file_kind(NULL) AS f").first() == ("é", "# T", "2.0 MB", 11, "pdf", None)
+    spark.range(1).selectExpr("1 AS doc_id", "1 AS page_no").createOrReplaceTempView("thin")
+    with pytest.raises(Exception, match="lacks line_no"):
+        spark.sql("SELECT * FROM page_tables(TABLE(thin))").collect()
+    with pytest.raises(Exception, match="is a table"):
+        spark.sql("SELECT * FROM page_tables(1)").collect()

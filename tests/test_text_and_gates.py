@@ -119,7 +119,7 @@ def test_preferences(spark):
 def test_audit_reports_lines_and_rules(spark):
     lines = spark.createDataFrame([(0, "  eval(x); e.innerHTML = y"), (1, "e.innerHTML = ''"), (2, "go https://h/" + "p" * 100), (3, "import(`/x`)")], "line_no int, line string")
     got = [(r.line_no, r.rule, r.shown) for r in audit(lines).collect()]
-    assert [g[:2] for g in got] == [(0, "no eval()"), (0, "markup is only cleared"), (2, "no remote addresses"), (3, "imports come from the vendored files")]
+    assert [g[:2] for g in got] == [(0, "eval is called"), (0, "markup is only cleared"), (2, "no remote addresses"), (3, "imports come from the vendored files")]
     assert got[0][2] == "line 1: eval(x); e.innerHTML = y" and len(got[2][2]) == len("line 3: ") + 80
 
 
