@@ -101,6 +101,34 @@ def test_pooling_does_not_depend_on_the_batch():
         assert np.allclose(whole[i], quality_model.pooled(pa.array([t], pa.string()), vectors)[0], atol=1e-5)
 
 
+def test_word_vectors_and_scores_equal_plain_loops():
+    """Random indexing, pooling and the network, each once more without arrays over batches."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["one", "two", "Three", "four!", "x9", "the"]) for _ in range(rng.randrange(40))) for _ in range(30)] + ["", " ", "lone"]
+    column = pa.array(texts)
+    index = quality_model.index_vectors()
+    own, shape, at = quality_model.buckets(column)
+    context = {}
+    for i in range(len(texts)):
+        for words in (own[at[i] : at[i + 1]].tolist(), shape[at[i] : at[i + 1]].tolist()):
+            for a in range(len(words)):
+                for b in range(max(0, a - 2), min(len(words), a + 3)):
+                    if a != b:
+                        context[words[a]] = context.get(words[a], 0) + index[words[b]].astype(np.float64)
+    vectors = quality_model.word_vectors([column.slice(0, 11), column.slice(11)], index)
+    for word in {*own.tolist(), *shape.tolist()}:
+        mine = context.get(word, np.zeros(quality_model.DIMENSIONS))
+        assert np.allclose(vectors[word], index[word] + mine / max(np.linalg.norm(mine), 1e-9), atol=1e-5)
+    labels = [int("the" in t) for t in texts]
+    model = quality_model.fit(pa.table({"text": texts, "label": labels}), rounds=20)
+    got = quality_model.scores(column, model)
+    for i in range(len(texts)):
+        some = [(own[k], shape[k]) for k in range(at[i], at[i + 1])]
+        x = np.concatenate([sum((model["vectors"][s[j]] for s in some), np.zeros(quality_model.DIMENSIONS)) / max(len(some), 1) for j in (0, 1)])
+        z = sum(max(0.0, float(sum((x[d] - model["mean"][d]) / model["scale"][d] * model["w1"][d, h] for d in range(len(x))) + model["b1"][h])) * model["w2"][h] for h in range(len(model["b1"]))) + model["b2"][0]
+        assert abs(got[i] - 1 / (1 + np.exp(-z / model["temperature"]))) < 1e-4
+
+
 def test_the_fit_reads_2500_labelled_rows(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(quality_rules, "fit", lambda sample: seen.append(sample.num_rows))
