@@ -9,7 +9,8 @@ from parchmint.functions import text as T
 from parchmint.operators import layout, ocr, page_layout
 from parchmint.operators.page_layout import OCR_TABLES, TEXT_TABLES, TableRules
 from parchmint.options import COMPOUND_PREFIXES, ConvertOptions
-from parchmint.plans.queries import WS, lit, query
+from parchmint.plans import queries
+from parchmint.plans.queries import _OCR, WS, lit, query
 from parchmint.plans.sql_surface import register, with_views
 from parchmint.plans.views import MARKED, TYPESET, line_ctes, marked_lines, typeset
 
@@ -27,7 +28,7 @@ def _wide_lines(spark, d) -> DataFrame:
 
 
 def _tables_sql(barred: str, rules: TableRules) -> str:
-    """Runs of lines that are tables, by one recursive step for each line that is tried.
+    """Common table expressions of runs of lines that are tables (``walk``), by one recursive step for each line that is tried.
 
     A step adds the line at ``i`` to the run that began at ``s`` (-1: none is open), or ends the run there. Clusters are
     folded from the sorted edges with their sums and counts.
@@ -60,14 +61,17 @@ def _tables_sql(barred: str, rules: TableRules) -> str:
                         SELECT *, list_transform(list_filter(CASE WHEN len(wider) = 0 THEN [] ELSE {folded.format(xs='wider')} END, lambda c: c.n >= 2), lambda c: c.s / c.n) AS shared
                         FROM (SELECT w.doc_id, w.page_no, w.i, w.s, w.pool, p.lines_xs, p.bars, p.n, list_concat(w.pool, coalesce(p.lines_xs[w.i + 1], [])) AS wider
                               FROM walk w JOIN page p USING (doc_id, page_no) WHERE w.i < p.n OR w.s <> -1)))))
-    ) SELECT doc_id, page_no, t0 AS start_line, t1 AS end_line, unnest(range(len(tcols))) AS col_no, unnest(tcols) AS x FROM walk WHERE t0 <> -1"""
+    )"""
+
+
+_REGIONS = " SELECT doc_id, page_no, t0 AS start_line, t1 AS end_line, unnest(range(len(tcols))) AS col_no, unnest(tcols) AS x FROM walk WHERE t0 <> -1"
 
 
 def _columns(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "page_no", "start_line", "end_line", F.posexplode("columns").alias("col_no", "x"))
 
 
-@query("table_regions", _WIDE + _tables_sql("level > 0", TEXT_TABLES))
+@query("table_regions", _WIDE + _tables_sql("level > 0", TEXT_TABLES) + _REGIONS)
 def table_regions(spark, d):
     return _columns(page_layout.find_tables(_wide_lines(spark, d).withColumn("barred", F.col("level") > 0)))
 
@@ -76,7 +80,7 @@ _NO_TABLE = rf"""(regexp_matches(text, '^(?i:EXHIBIT){WS}+[A-Za-z0-9]') OR (rege
     OR regexp_matches(text, '^[0-9]{{1,2}}\.{WS}+') OR regexp_matches(text, '^[•\-*·]{WS}+'))"""
 
 
-@query("ocr_table_regions", _WIDE + _tables_sql(_NO_TABLE, OCR_TABLES))
+@query("ocr_table_regions", _WIDE + _tables_sql(_NO_TABLE, OCR_TABLES) + _REGIONS)
 def ocr_table_regions(spark, d):
     return _columns(page_layout.find_tables(_wide_lines(spark, d).withColumn("barred", ocr.no_table_line(F.col("text"))), OCR_TABLES))
 
@@ -172,8 +176,58 @@ def page_layout_full(spark, d):
     return page_layout.render_pages(page_layout.lines_of_items(typeset(spark, d), options), options)
 
 
+@query(
+    "ocr_page_full",
+    _OCR.replace("WITH", "WITH RECURSIVE", 1) + f""", boxes AS (SELECT doc_id, floor(y / 50)::BIGINT AS line_no, min((2400 - y * 3)::INT) AS y0, max((2436 - y * 3)::INT) AS y1 FROM items GROUP BY 1, 2),
+    texts AS (SELECT doc_id, floor(y / 50)::BIGINT AS line_no, string_agg(text, ' ' ORDER BY item_idx) AS text FROM good GROUP BY 1, 2),
+    shown AS (SELECT doc_id, line_no, text, (2400 - y0) / 3.0::DOUBLE AS y, (y0 + y1) / 2.0::DOUBLE / 3.0::DOUBLE AS y_mid, (y1 - y0) / 3.0::DOUBLE AS h FROM boxes JOIN texts USING (doc_id, line_no)),
+    kept AS (SELECT * FROM shown WHERE y > 800.0::DOUBLE * 0.04::DOUBLE AND y < 800.0::DOUBLE * 0.97::DOUBLE AND NOT (length(text) <= 4 AND regexp_matches(text, '^[a-z]'))),
+    leveled AS (SELECT doc_id, 1 AS page_no, -line_no AS ln, text FROM kept WHERE doc_id % 2 = 1),
+    numbered AS (SELECT doc_id, 1 AS page_no, -floor(y / 50)::BIGINT AS ln, x, item_idx AS ord, text FROM good)"""
+    + _tables_sql(_NO_TABLE, OCR_TABLES)
+    + f""", placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no DESC) AS k, lag(y) OVER (PARTITION BY doc_id ORDER BY line_no DESC) AS y_before FROM kept),
+    regions AS (SELECT doc_id, t0, t1, tcols FROM walk WHERE t0 <> -1),
+    table_cells AS (
+        SELECT doc_id, t0, k, any_value(tcols) AS tcols, col, string_agg(text, ' ' ORDER BY ord) AS cell FROM (
+            SELECT p.doc_id, t0, k, tcols, n.text, n.ord, greatest(len(list_filter(tcols, lambda c: c <= n.x + {OCR_TABLES.assign})) - 1, 0) AS col
+            FROM placed p JOIN regions r ON r.doc_id = p.doc_id AND k - 1 >= t0 AND k - 1 < t1 JOIN numbered n ON n.doc_id = p.doc_id AND n.ln = -p.line_no)
+        GROUP BY doc_id, t0, k, col
+    ), table_rows AS (
+        SELECT doc_id, t0, k, any_value(tcols) AS tcols, '| ' || array_to_string(list_transform(range(len(any_value(tcols))), lambda i: coalesce(map_from_entries(list({{'k': col, 'v': cell}}))[i], '')), ' | ') || ' |' AS line FROM table_cells GROUP BY doc_id, t0, k
+    ), tables AS (
+        SELECT doc_id, t0, string_agg(CASE WHEN k = t0 + 1 THEN line || chr(10) || '| ' || array_to_string(list_transform(tcols, lambda c: '---'), ' | ') || ' |' ELSE line END, chr(10) ORDER BY k) AS drawn FROM table_rows GROUP BY doc_id, t0
+    ), kinds AS (
+        SELECT p.*, r.t0, CASE WHEN p.doc_id % 2 = 0 AND y_mid BETWEEN 300 AND 540 THEN 'grid' WHEN r.t0 IS NOT NULL THEN 'table'
+            WHEN regexp_matches(regexp_replace(text, '[^A-Za-z]', '', 'g'), '^[A-Z]{{3,}}$') AND length(text) BETWEEN 3 AND 60 THEN 'head' WHEN regexp_matches(text, '^[0-9]{{1,2}}\\.{WS}+') THEN 'item' ELSE 'body' END AS kind
+        FROM placed p LEFT JOIN regions r ON r.doc_id = p.doc_id AND k - 1 >= r.t0 AND k - 1 < r.t1
+    ), parts AS (
+        SELECT *, CASE kind WHEN 'body' THEN max(CASE WHEN kind = 'body' AND (before IS DISTINCT FROM 'body' OR abs(y_before - y) > h * 2.5::DOUBLE) THEN k END) OVER (PARTITION BY doc_id ORDER BY k)
+            WHEN 'grid' THEN min(k) FILTER (WHERE kind = 'grid') OVER (PARTITION BY doc_id) WHEN 'table' THEN t0 + 1 ELSE k END AS element
+        FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM kinds)
+    ), cells AS (
+        SELECT doc_id, CASE WHEN 806 - y < 420 THEN 0 ELSE 1 END AS r, CASE WHEN x + 5 < 300 THEN 0 ELSE 1 END AS c, string_agg(text, ' ' ORDER BY item_idx) AS cell
+        FROM words WHERE doc_id % 2 = 0 AND text <> '|' AND 806 - y >= 300 AND 806 - y < 540 AND x + 5 >= 36 AND x + 5 < 600 GROUP BY 1, 2, 3
+    ), grids AS (
+        SELECT doc_id, {' || '.join(f"'{a}' || coalesce(max(cell) FILTER (WHERE r = {r} AND c = {c}), ' ') || '{b}'" for r, c, a, b in ((0, 0, '| ', ' | '), (0, 1, '', ' |'), (1, 0, '@| --- | --- |@| ', ' | '), (1, 1, '', ' |')))} AS grid FROM cells GROUP BY doc_id
+    ), elements AS (
+        SELECT p.doc_id, element, CASE WHEN any_value(kind) IN ('head', 'grid', 'table') THEN 'block' ELSE any_value(kind) END AS kind, CASE any_value(kind) WHEN 'grid' THEN replace(coalesce(any_value(grid), '|   |   |@| --- | --- |@|   |   |'), '@', chr(10))
+            WHEN 'table' THEN any_value(drawn) WHEN 'head' THEN '## ' || any_value(text) WHEN 'item' THEN regexp_replace(any_value(text), '^([0-9]{{1,2}}\\.){WS}+', '\\1 ') ELSE string_agg(text, ' ' ORDER BY k) END AS shown
+        FROM parts p LEFT JOIN grids USING (doc_id) LEFT JOIN tables t ON t.doc_id = p.doc_id AND t.t0 = p.t0 GROUP BY p.doc_id, element
+    ), spaced AS (
+        SELECT *, CASE WHEN lag(kind) OVER w IS NULL THEN '' WHEN lag(kind) OVER w <> 'item' OR kind = 'block' THEN chr(10) || chr(10) ELSE chr(10) END AS gap FROM elements WINDOW w AS (PARTITION BY doc_id ORDER BY element)
+    ), done AS (SELECT doc_id, string_agg(gap || shown, '' ORDER BY element) AS markdown FROM spaced GROUP BY doc_id)
+    SELECT doc_id, 1::BIGINT AS page_no, coalesce(markdown, '') AS markdown, NULL::VARCHAR AS error FROM (SELECT DISTINCT doc_id FROM items) LEFT JOIN done USING (doc_id)""",
+)
+def ocr_page_full(spark, d):
+    lines = queries._ocr_lines(spark, d).groupBy("doc_id").agg(F.collect_list(F.struct((-F.col("line_no")).alias("line_no"), "y", "y_mid", "h", "text", "xs", "words")).alias("lines"))
+    words = queries._ocr(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("item_idx", "text", "bbox"))).alias("words"))
+    grid = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(300.0), F.lit(420.0), F.lit(540.0)))
+    pages = words.join(lines, "doc_id", "left").select("doc_id", F.lit(1).alias("page_no"), F.lit(3.0).alias("scale"), F.lit("").alias("text"), "lines", "words", grid.alias("h_lines"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(36.0), F.lit(300.0), F.lit(600.0))).alias("v_lines"))
+    return ocr.render_ocr_pages(pages)
+
+
 # The same operators by their SQL names: the queries below are SQL alone.
-@query("sql_page_tables", _WIDE + _tables_sql("level > 0", TEXT_TABLES))
+@query("sql_page_tables", _WIDE + _tables_sql("level > 0", TEXT_TABLES) + _REGIONS)
 def sql_page_tables(spark, d):
     with_views(register(spark), wide_lines=_wide_lines(spark, d))
     return spark.sql("SELECT doc_id, page_no, start_line, end_line, posexplode(columns) AS (col_no, x) FROM page_tables(TABLE(wide_lines))")

@@ -392,15 +392,6 @@ def ocr_lines(spark, d):
     return _ocr_lines(spark, d).select("doc_id", "line_no", "text", "y", "y_mid", "h")
 
 
-@query("ocr_page_full")
-def ocr_page_full(spark, d):
-    lines = _ocr_lines(spark, d).groupBy("doc_id").agg(F.collect_list(F.struct((-F.col("line_no")).alias("line_no"), "y", "y_mid", "h", "text", "xs", "words")).alias("lines"))
-    words = _ocr(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("item_idx", "text", "bbox"))).alias("words"))
-    grid = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(300.0), F.lit(420.0), F.lit(540.0)))
-    pages = words.join(lines, "doc_id", "left").select("doc_id", F.lit(1).alias("page_no"), F.lit(3.0).alias("scale"), F.lit("").alias("text"), "lines", "words", grid.alias("h_lines"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(36.0), F.lit(300.0), F.lit(600.0))).alias("v_lines"))
-    return ocr.render_ocr_pages(pages)
-
-
 _CONF = "WITH conf AS (SELECT l_orderkey AS doc_id, sum(l_partkey % 101)::BIGINT AS s, count(*) AS n FROM lineitem GROUP BY 1), pct AS (SELECT doc_id, floor(s::DOUBLE / n + 0.5::DOUBLE)::BIGINT AS pct FROM conf)"
 
 
