@@ -5,10 +5,11 @@ import re
 import time
 from html.parser import HTMLParser
 
-from parchmint.llm import html_main
+from parchmint.llm import html_main, neighbours
 from parchmint.llm.html_main import common_subsequence, main_lines, main_text, page_lines
 from parchmint.llm.line_dedup import drop_spread_lines
 from parchmint.llm.neighbours import with_successor
+from parchmint.llm.simhash import edited_likeness
 from tests.llm.conftest import documents
 
 
@@ -201,3 +202,18 @@ def test_names_of_wrappers_and_titles_lose_no_article():
     assert text('<article><h1 class="entry-header">T</h1><div class="post-header">By A</div><p>Body</p></article>') == "T By A Body"
     assert text('<main><h1>T</h1><p>The whole body</p><article class="card">teaser</article></main>') == "T The whole body teaser"
     assert text('<main>Filed here<article><p>The whole body of it</p></article></main>') == "The whole body of it"
+
+
+def test_ranges_decide_no_result_and_are_bounded(spark, sf, monkeypatch):
+    """Ten times as many ranges give the same rows, and their number does not grow beyond its bound."""
+    docs, pages = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/pages.parquet")
+
+    def results():
+        return sorted(map(repr, edited_likeness(docs).collect())), sorted(map(repr, main_text(pages).collect()))
+
+    few = results()
+    monkeypatch.setattr(neighbours, "RANGE_ROWS", 5)
+    assert neighbours._ranges(spark, 200) == 40 and results() == few
+    assert neighbours._ranges(spark, 10**12) == neighbours.MOST_RANGES
+    monkeypatch.setattr(neighbours, "MOST_RANGES", 3)
+    assert neighbours._ranges(spark, 10**12) == 3 and results() == few
