@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parchmint.functions.text import classify_error
 from parchmint.functions.unicode import nfc
 from parchmint.operators.gates import archive_error, capped, finish, ingest, page_status, sniff, soft_warning, warning_lines
-from parchmint.operators.html_markdown import html_to_markdown
+from parchmint.operators.html_blocks import blocks_to_markdown
 from parchmint.operators.layout import assemble_within, printable
 from parchmint.operators.page_layout import lines_of_items, render_pages
 from parchmint.options import NO_TEXT_BODY, TIMED_OUT, ConvertOptions
@@ -75,9 +75,8 @@ def _word_records(files: DataFrame, heads: DataFrame, limits, styles: bool, scra
         sized = parts.join(heads.select("id", "size"), "id")
         parts = sized.withColumn("gate", F.coalesce("gate", F.when(F.col("uncompressed") > F.col("size") * limits.max_compression_ratio, F.lit("Archive exceeds the limit of compression")))).drop("size")
     rejected = parts.where("gate IS NOT NULL").select("id", F.lit(None).cast("string").alias("markdown"), F.lit("invalid-docx").alias("status"), F.col("gate").alias("error"))
-    read = read_docx(parts.where("gate IS NULL"), styles=styles).withColumnRenamed("error", "_read")
-    text = html_to_markdown(read.withColumn("_before", warning_lines(F.coalesce("messages", F.array().cast("array<struct<type:string,message:string>>")))).select("id", "html", "_before", "_read"))
-    text = text.withColumn("error", F.coalesce("_read", "error"))
+    read = scratch.save(read_docx(parts.where("gate IS NULL"), styles=styles).withColumn("_before", warning_lines(F.coalesce("messages", F.array().cast("array<struct<type:string,message:string>>")))), "word")
+    text = read.select("id", "_before", "error").join(blocks_to_markdown(read, "id"), "id")
     done = finish(text.withColumn("markdown", F.concat("_before", F.coalesce("markdown", F.lit("")))), limits, blank_is_no_text=True)
     failed = F.col("error").isNotNull()
     done = done.select("id", F.when(~failed, F.col("markdown")).alias("markdown"), F.when(failed, "failed").otherwise(F.col("status")).alias("status"), "error")

@@ -151,7 +151,7 @@ def _unpacked(objects: dict[int, bytes], limit: int) -> None:
 
 
 #: A trailer's dictionary, which alone tells of encryption (a cross-reference stream's does where there is no trailer).
-_TRAILER = re.compile(rb"\btrailer\b(.*?)(?:startxref|%%EOF|\Z)", re.S)
+_TRAILER = re.compile(rb"trailer\s*(<<.*?)(?:startxref|%%EOF|\Z)", re.S)
 
 
 def read_pdf(data: bytes, limit: int = 1 << 27) -> tuple[list[dict], list[dict]]:

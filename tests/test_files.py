@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import random
 import zipfile
 import zlib
 
@@ -11,6 +12,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from parchmint.operators.html_blocks import blocks_to_markdown
 from parchmint.operators.html_markdown import html_markdown, safe_link
 from parchmint.operators.raster import gray_of, prepare_images, rotated, rules_of, skew_of, threshold_of
 from parchmint.options import ConvertOptions, Limits
@@ -189,3 +191,45 @@ def test_image_preparation(spark):
     df = spark.createDataFrame([(1, w, h, bytearray(rgba.tobytes())), (2, 5, 5, bytearray(b"x"))], "id long, width int, height int, rgba binary")
     got = {r.id: r for r in prepare_images(df, 1.0).collect()}
     assert got[1].h_lines == [41.0, 100.0, 160.0] and got[1].angle == 0 and got[2].error and got[2].image is None
+
+
+def made_html(rng):
+    """Blocks that are closed where they end, with text and inline elements of all kinds."""
+    texts = ["one", " two ", "&amp;", "a|b", "x &lt; y", "&#233;", "&#x4e2d;", "&nbsp;", "&copy;", "é\n", "&bogus;", "  ", "3 & 4"]
+
+    def words():
+        return "".join(rng.choice(texts) for _ in range(rng.randrange(4)))
+
+    def inline(depth=2):
+        out = [words()]
+        for _ in range(rng.randrange(3)):
+            tag, body = rng.choice(["b", "strong", "em", "i", "u", "s", "del", "code", "a", "span", "font"]), inline(depth - 1) if depth else words()
+            href = rng.choice(["https://a.b/c?x=1&amp;y=2", "javascript:x", "mailto:q@r", "/rel", "http://"])
+            out.append(f'<a href="{href}">{body}</a>' if tag == "a" else f"<{tag}>{body}</{tag}>" + rng.choice(["", "", "<br>"]))
+        return "".join(out)
+
+    def block(depth=2):
+        level, items = rng.randrange(1, 7), [inline() for _ in range(rng.randrange(4))]
+        rows = ["".join(f"<td>{inline()}</td>" for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(1, 4))]
+        listed = "".join(f"<li>{i}{block(0) if depth and rng.random() < 0.2 else ''}</li>" for i in items)
+        inner = "".join(block(depth - 1) for _ in range(3)) if depth else words()
+        return rng.choice([
+            f"<p>{inline()}</p>", f"<h{level} class='x'>{inline()}</h{level}>", f"<ul>{listed}</ul>", f"<ol>{listed}</ol>", "<table>" + "".join(f"<tr>{r}</tr>" for r in rows) + "</table>", f"<pre>{words()}\n {words()}</pre>",
+            f"<blockquote>{words()}<p>{inline()}</p>\nq</blockquote>", f"<div>{inner}</div>", f"<section>{inner}</section>", "<hr>", f"<!-- c <p> -->{words()}", inline(),
+        ])
+
+    return "".join(block() for _ in range(rng.randrange(1, 6)))
+
+
+def test_blocks_as_relations_equal_the_tree(spark):
+    rng = random.Random(3)
+    pages = [made_html(rng) for _ in range(250)] + ["", None, "<p>one<p>two<br>three", "<ul><li>x<li> <li>y</ul>", "<script>x < y</script><div>keep &amp; <span>this</span></div>", "<title>t</title>plain < text"]
+    df = spark.createDataFrame(list(enumerate(pages)), "id int, html string")
+    for clean in (True, False):
+        got = {r.id: r.markdown for r in blocks_to_markdown(df, "id", clean=clean).collect()}
+        assert got == {i: html_markdown(h or "", clean) for i, h in enumerate(pages)}
+
+
+def test_files_are_read_once(spark, folder):
+    """What is left to do after the readers starts from what they wrote."""
+    assert not [f for f in convert_files(scan_files(spark, folder)).inputFiles() if f.endswith(("pdf", "docx"))]
