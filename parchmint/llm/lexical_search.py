@@ -32,6 +32,8 @@ from parchmint.llm.splitting import Pieces
 
 #: Documents and bytes of text from which a block is closed; a longer document is a block of its own.
 BLOCK_DOCS, BLOCK_BYTES = 4096, 4 << 20
+#: Blocks of a row group of the stored index: what a task's writer or reader holds at once.
+GROUP_BLOCKS = 2
 #: Documents of a cluster, and rounds of exchanges on every level of the bisection.
 CLUSTER, EXCHANGES = 64, 8
 #: Items, and their distinct terms, that are sent to the blocks at once; further items come in further passes.
@@ -324,7 +326,7 @@ def search(
     spark = docs.sparkSession
     scratch = Scratch(spark, "lexical-search")
     n_docs, n_terms = size = collection_size(docs, text_col)
-    index = scratch.save(build_index(docs, size, id_col, text_col), "index")
+    index = scratch.save(build_index(docs, size, id_col, text_col), "index", GROUP_BLOCKS)
     out = None
     for number, some in enumerate(_passes(items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")))):
         wanted = sorted({t for _, terms in some for t in terms})

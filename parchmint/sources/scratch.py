@@ -53,9 +53,16 @@ class Scratch:
         except Exception:  # the session has ended: the folder's owner clears it
             pass
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a table and read it back with the same schema."""
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+    def save(self, df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
+        """Write a table and read it back with the same schema.
+
+        Parquet's writer first looks at a row group's size after a hundred rows, and its reader holds a whole group: a table whose
+        rows are megabytes each needs ``group_rows``, the most rows of a group.
+        """
+        writer = df.write.mode("overwrite")
+        if group_rows:
+            writer = writer.option("parquet.block.row.count.limit", group_rows)
+        writer.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:

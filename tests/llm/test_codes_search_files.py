@@ -7,10 +7,12 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import zstandard
 
@@ -131,6 +133,16 @@ def test_search_equals_scoring_every_document(spark, sf):
     assert found(search(docs.repartition(3), items)) == want
 
 
+def test_a_task_holds_few_blocks_of_the_stored_index(spark):
+    root = Path(lexical_search.Scratch(spark, "x").root.removeprefix("file://")).parent
+    before = set(root.glob("lexical-search-*"))
+    docs = spark.range(0, 5, numPartitions=1).selectExpr("id AS doc_id", "concat('w', id, ' ', repeat('x', 3000000)) AS text")
+    assert search(docs, items_table(spark, [(1, "w2 w4")])).count() == 2
+    (new,) = set(root.glob("lexical-search-*")) - before
+    (file,) = [pq.ParquetFile(f).metadata for f in (new / "index").glob("*.parquet")]
+    assert file.num_rows == 5 and max(file.row_group(i).num_rows for i in range(file.num_row_groups)) <= lexical_search.GROUP_BLOCKS
+
+
 def test_search_of_awkward_rows_and_in_several_passes(spark, awkward, empty, monkeypatch):
     rows = [(1, "same text HERE here"), (1, "same text HERE here"), (2, None), (3, ""), (4, "中文 line x áb x x"), (5, "w1 w2 nowhere"), (None, "of no id a b")]
     plain = [(r.doc_id, r.text) for r in awkward.collect()]
