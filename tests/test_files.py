@@ -235,7 +235,7 @@ def test_files_are_read_once(spark, folder):
     assert not [f for f in convert_files(scan_files(spark, folder)).inputFiles() if f.endswith(("pdf", "docx"))]
 
 
-@pytest.mark.parametrize("name", ["html_headings"])
+@pytest.mark.parametrize("name", ["html_headings", "html_sanitized_markdown"])
 def test_references_without_a_semicolon_are_as_in_the_sql(spark, tmp_path, name):
     import duckdb
 
