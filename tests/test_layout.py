@@ -104,3 +104,20 @@ def test_ruled_cells_and_their_region():
     assert grid == [["a", "b"], ["c", " "]]
     page = ocr.ocr_page_markdown([line(90, (10, "before")), line(80, (10, "in")), line(70, (10, "in too")), line(60, (10, "EXHIBIT A")), line(50, (10, "3. x"))], [5, 20, 40, 70, 80], (grid, 10.0, 60.0))
     assert page == "before\n\n| a | b |\n| --- | --- |\n| c |   |\n\n## EXHIBIT A\n\n3. x"
+
+
+def test_items_and_words_are_dealt_once_over_partitions_that_grow_with_the_table(spark, sf, monkeypatch):
+    import re
+
+    from parchmint.catalogue import QUERIES
+    from parchmint.plans import views
+
+    items, words = views.items(spark, sf).count(), views.typeset(spark, sf).count()
+    monkeypatch.setattr(layout, "DEALT_ITEMS", 500)
+    assert views.items(spark, sf).rdd.getNumPartitions() == -(-items // 500)
+    assert views.typeset(spark, sf).rdd.getNumPartitions() > words // 1000
+    for name in ("two_column_flag", "line_stats", "table_interval_join", "table_regions", "page_layout_full"):
+        df = QUERIES[name](spark, sf)
+        df.collect()
+        dealt = re.findall(r"Exchange hashpartitioning\(([^\n]*)", df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+        assert dealt and all("REPARTITION_BY_NUM" in x for x in dealt), name
