@@ -14,10 +14,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from parchmint.functions.batches import bounded_batches  # noqa: F401  the operators take it from here
+
 #: Bytes of text that the array operations work on at once; bounds a task's memory.
 PIECE_BYTES = 1 << 20
-#: Bytes of a batch between the JVM and Python, in place of Spark's much larger default.
-BATCH_BYTES = 8 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -163,15 +163,6 @@ def row_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def bounded_batches(spark) -> None:
-    """Let the session's Arrow batches hold ``BATCH_BYTES`` at most; a smaller setting stays."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = (spark.conf.get(name, None) or "0").lower().rstrip("b")
-    scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(held[-1:], 1)
-    if not 0 < int(held.rstrip("kmg") or 0) * scale <= BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
-
-
 _caches: list[dict] = []
 _user = ""
 

@@ -130,3 +130,18 @@ def test_activity_log_is_appended(spark, tmp_path):
     entries = spark.readStream.schema("ts timestamp, msg string, level string").json(str(tmp_path / "in"))
     activity(entries, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert [(r.msg, r.shown) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("begun", "02:03.456")]
+
+
+@pytest.mark.parametrize("name", ["html_to_markdown"])
+def test_python_takes_batches_of_bounded_bytes(spark, sf, name):
+    from parchmint import catalogue
+    from parchmint.functions.batches import BATCH_BYTES
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.unset(setting)
+    try:
+        catalogue.QUERIES[name](spark, sf)
+        assert 0 < int(spark.conf.get(setting).removesuffix("b")) <= BATCH_BYTES
+    finally:
+        spark.conf.set(setting, before)
