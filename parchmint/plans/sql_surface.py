@@ -18,7 +18,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
 from parchmint.functions.text import LINK
-from parchmint.functions.unicode import nfc
+from parchmint.functions.unicode import composed
 from parchmint.operators.deadlines import OutOfTime, within
 from parchmint.operators.html_markdown import html_markdown
 from parchmint.operators.page_layout import TEXT_TABLES, Line, page_markdown, table_regions
@@ -111,7 +111,7 @@ def register(spark: SparkSession) -> SparkSession:
     """Make the operators known to a session's SQL; again does no harm."""
     for name, body in _SCALARS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
-    spark.udf.register("nfc", nfc)
+    spark.udf.register("nfc", composed)
     spark.udf.register("html_markdown", _html_markdown)
     spark.udtf.register("page_markdown", F.udtf(PageMarkdown))
     spark.udtf.register("page_tables", F.udtf(PageTables))

@@ -132,7 +132,7 @@ def test_activity_log_is_appended(spark, tmp_path):
     assert [(r.msg, r.shown) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("begun", "02:03.456")]
 
 
-@pytest.mark.parametrize("name", ["html_to_markdown"])
+@pytest.mark.parametrize("name", ["nfc_normalize", "html_to_markdown"])
 def test_python_takes_batches_of_bounded_bytes(spark, sf, name):
     from parchmint import catalogue
     from parchmint.functions.batches import BATCH_BYTES
