@@ -121,3 +121,14 @@ def test_items_and_words_are_dealt_once_over_partitions_that_grow_with_the_table
         df.collect()
         dealt = re.findall(r"Exchange hashpartitioning\(([^\n]*)", df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
         assert dealt and all("REPARTITION_BY_NUM" in x for x in dealt), name
+
+
+def test_pages_made_from_a_small_file_are_dealt_out(spark, sf, monkeypatch):
+    from parchmint.plans import html_queries, queries
+
+    monkeypatch.setattr(layout, "DEALT_ITEMS", 300)
+    assert queries._drawn(spark, sf)[0].rdd.getNumPartitions() > 8
+    seen = []
+    monkeypatch.setattr(html_queries, "blocks_to_markdown", lambda pages, key: seen.append(pages.rdd.getNumPartitions()) or pages)
+    html_queries.made_markdown(spark, sf)
+    assert seen[0] > 8
