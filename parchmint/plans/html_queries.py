@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parchmint.operators.html_blocks import blocks_to_markdown, html_blocks
+from parchmint.operators.layout import dealt
 from parchmint.plans.queries import WS, _decoded, query
 from parchmint.plans.views import table
 
@@ -32,6 +33,10 @@ _MADE = """concat('<h', 1 + p_partkey % 6, '> ', p_name, ' &amp; more</h', 1 + p
     '<strong>', p_brand, '</strong><em> </em><code> c</code><a href="', CASE p_partkey % 3 WHEN 0 THEN 'https://h.org/x?a=1&amp;b=2' WHEN 1 THEN 'javascript:alert(1)' ELSE '/local' END, '">', p_name, '</a><del>no</del>')"""
 
 
+#: Tokens of such a page, about. A small file becomes many rows: the parts are dealt out first, and a part's windows find it there.
+_MADE_TOKENS = 120
+
+
 @query(
     "html_made_markdown",
     """SELECT p_partkey, repeat('#', (1 + p_partkey % 6)::INT) || ' ' || p_name || ' & more' || chr(10) || chr(10) || 'made of ' || p_type || ' & sold' || chr(10) || 'by ' || p_brand || 'x' || chr(10)
@@ -41,5 +46,6 @@ _MADE = """concat('<h', 1 + p_partkey % 6, '> ', p_name, ' &amp; more</h', 1 + p
         || CASE p_partkey % 3 WHEN 0 THEN '[' || p_name || '](https://h.org/x?a=1&b=2)' ELSE p_name END || '~~no~~' AS markdown FROM part""",
 )
 def made_markdown(spark, d):
-    pages = table(spark, d, "part").select("p_partkey", F.expr(_MADE.replace("chr(10)", "char(10)")).alias("html"))
+    parts = table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
+    pages = dealt(parts, ["p_partkey"], parts.count() * _MADE_TOKENS).select("p_partkey", F.expr(_MADE.replace("chr(10)", "char(10)")).alias("html"))
     return blocks_to_markdown(pages, "p_partkey")
