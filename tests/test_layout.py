@@ -132,3 +132,57 @@ def test_pages_made_from_a_small_file_are_dealt_out(spark, sf, monkeypatch):
     monkeypatch.setattr(html_queries, "blocks_to_markdown", lambda pages, key: seen.append(pages.rdd.getNumPartitions()) or pages)
     html_queries.made_markdown(spark, sf)
     assert seen[0] > 8
+
+
+def test_recognised_pages_are_read_and_dealt_once(spark, sf):
+    from parchmint.catalogue import QUERIES
+
+    df = QUERIES["ocr_page_full"](spark, sf)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_a_word_without_a_box_stands_in_no_cell(spark):
+    box = "struct<x0:int,y0:int,x1:int,y1:int>"
+    schema = f"doc_id long, page_no int, scale double, text string, lines array<struct<line_no:long,y:double,y_mid:double,h:double,text:string,xs:array<double>,words:array<struct<text:string,x:double>>>>, words array<struct<text:string,bbox:{box}>>, h_lines array<double>, v_lines array<double>"
+    line = (0, 90.0, 15.0, 10.0, "a", [15.0], [("a", 15.0)])
+    words = [("a", (45, 45, 45, 45)), ("lost", None), ("half", (45, None, 45, 45)), (None, (45, 45, 45, 45)), ("b", (165, 135, 165, 135))]
+    rows = [
+        (1, 1, 3.0, None, [line], words, [10.0, 30.0, 60.0], [10.0, 50.0, 90.0]), (2, 1, 3.0, " plain ", None, None, None, None), (3, 1, 3.0, "x", [line], None, [10.0, 30.0], [10.0, 50.0]),
+        (4, 1, 3.0, "x", [line], words, [10.0, 30.0], None), (5, 1, 3.0, "x", [line], words, [], [10.0, 50.0]), (6, 1, 3.0, None, [], [], None, None),
+    ]
+    got = {r.doc_id: (r.markdown, r.error) for r in ocr.render_ocr_pages(spark.createDataFrame(rows, schema).coalesce(1)).collect()}
+    assert got == {1: ("| a |   |\n| --- | --- |\n|   | b |", None), 2: ("plain", None), 3: ("|   |\n| --- |", None), 4: ("a", None), 5: ("a", None), 6: ("", None)}
+
+
+def test_rules_of_recognised_words_and_lines_equal_the_plain_ones(spark):
+    texts = ["", " ", " ", "|", " | ", " [\n", "]", "||", "| |", "[a", "a", " a ", "﻿", "| |", "\n", "-", "abcd", "abcde", "Abcd", "\U0001d4d0", "a\n\n\n", "a\n\n\n\n", "a\U0001d4d0\U0001d4d0\U0001d4d0", None]
+    df = spark.createDataFrame([(i, t, c) for i, t in enumerate(texts) for c in (4.0, 5.0, None)], "i int, text string, confidence double")
+    word = F.col("text")
+    trimmed = F.regexp_replace(word, rf"^{ocr.WS}+|{ocr.WS}+\z", "")
+    plain = (trimmed != "") & (F.col("confidence") >= 5) & ~trimmed.isin("|", "[", "]")
+    stands = (word != "") & ~((F.length(word) <= 4) & word.rlike("^[a-z]"))
+    good = F.size(ocr.good_words(F.array(F.struct("text", "confidence")))) == 1
+    rows = df.select("text", good.alias("good"), F.coalesce(plain, F.lit(False)).alias("plain"), ocr._stands(word, F.lit(50.0), F.lit(100.0)).alias("stands"), stands.alias("stood")).collect()
+    assert all(r.good == r.plain and r.stands == r.stood for r in rows) and {r.good for r in rows} == {r.stands for r in rows} - {None} == {True, False}
+
+
+@given(st.text(st.sampled_from("aZ É1|\n"), max_size=8))
+def test_capitals_are_three_letters_or_more(text):
+    letters = [c for c in text if c in "aZ"]
+    assert ocr._caps(text) == (len(letters) >= 3 and "a" not in letters)
+
+
+def test_values_of_batches_equal_those_of_arrow():
+    import pyarrow as pa
+
+    from parchmint.functions.batches import fields, lists, values
+
+    kind = pa.list_(pa.struct([("n", pa.int32()), ("x", pa.float64()), ("t", pa.string()), ("b", pa.bool_())]))
+    rows = [[{"n": 1, "x": 0.5, "t": "é", "b": True}, None], None, [], [{"n": None, "x": None, "t": None, "b": None}], [{"n": 7, "x": 2.0, "t": "", "b": False}]]
+    for column in (pa.array(rows, kind), pa.array(rows, kind).slice(1), pa.array(rows, kind).slice(4, 1), pa.array([None], kind), pa.array([], kind)):
+        plain = [None if r is None else [tuple(e.values()) if e else (None,) * 4 for e in r] for r in column.to_pylist()]
+        got = lists(column, lambda found: fields(found, "n", "x", "t", "b"))
+        assert got == plain and [type(v) for r in got for e in r or [] for v in e] == [type(v) for r in plain for e in r or [] for v in e]
+    assert values(pa.array([1, 2], pa.int64())) == [1, 2] and values(pa.array([None, 2], pa.int64())) == [None, 2]
