@@ -186,3 +186,65 @@ def test_values_of_batches_equal_those_of_arrow():
         got = lists(column, lambda found: fields(found, "n", "x", "t", "b"))
         assert got == plain and [type(v) for r in got for e in r or [] for v in e] == [type(v) for r in plain for e in r or [] for v in e]
     assert values(pa.array([1, 2], pa.int64())) == [1, 2] and values(pa.array([None, 2], pa.int64())) == [None, 2]
+
+
+def test_a_page_of_text_without_tables_asks_for_few_distances():
+    class Counted(float):
+        asked = 0
+
+        def __sub__(self, other):
+            Counted.asked += 1
+            return float(self) - other
+
+    lines = [line(780 - 14 * k, *[(Counted(72 + 36 * w), "w") for w in range(60)]) for k in range(40)]
+    assert table_regions(lines, lambda r: False, TEXT_TABLES) == [] and Counted.asked < 20_000
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([0.1, 0.7, 10.3, 36.6, 72.2, 100.1, 130.9, 200.4]), max_size=6), max_size=8))
+def test_table_regions_of_fractions_and_empty_lines_equal_the_plain_rule(shape):
+    lines = [line(500 - 12 * k, *[(x, "c") for x in sorted(xs)], level=k % 5 // 4) for k, xs in enumerate(shape)]
+    for rules in (TEXT_TABLES, OCR_TABLES):
+        assert table_regions(lines, lambda r: r.level > 0, rules) == regions(lines, lambda r: r.level > 0, rules)
+
+
+def test_page_layout_sorts_its_items_three_times(spark, sf):
+    from parchmint.catalogue import QUERIES
+
+    df = QUERIES["page_layout_full"](spark, sf)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count(" Sort [") == 3 and plan.count("Exchange hashpartitioning") == 1  # into lines, by height, into lines again
+
+
+def test_reading_order_counts_zones_within_the_margins(spark):
+    def page(no, items):
+        return [(1, no, i, "w", float(x), float(y), 10.0) for i, (x, y) in enumerate(items)]
+
+    both = [(x, 700 - 12 * k) for k in range(9) for x in (72, 400)]
+    rows = [
+        *page(0, [*both, (306, 500)]),  # two columns: the gutter goes
+        *page(1, [*both[2:], (72, 790), (400, 10), (306, 500)]),  # eight on either side within the margins: it stays
+        *page(2, [(x, 790) for x, _ in both] + [(306, 10)]),  # nothing within them: all count, the gutter goes
+        *page(3, [*both, *[(306, 790 + k) for k in range(9)], (306, 500)]),  # margins add nothing to the gutter
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, page_no int, item_idx int, str string, x double, y double, height double").withColumns({"page_width": F.lit(612.0), "page_height": F.lit(792.0)})
+    plain = layout.column_zones(layout.strip_margins(df), F.col("page_width")).where("NOT (two_columns AND zone = 'mid')")
+    want = sorted((r.page_no, r.item_idx) for r in plain.collect())
+    got = layout.reading_order(df).collect()
+    assert sorted((r.page_no, r.item_idx) for r in got) == want and [sum(p == no for p, _ in want) for no in range(4)] == [18, 17, 18, 18]
+    first = sorted((r for r in got if r.page_no == 0), key=lambda r: r.read_pos)
+    assert [(r.x, r.y) for r in first] == [(x, 700.0 - 12 * k) for x in (72.0, 400.0) for k in range(9)]
+
+
+def test_blanks_are_told_and_collapsed_as_before(spark):
+    from itertools import product
+
+    from parchmint.functions.text import BLANKS, WS, collapse
+
+    texts = ["".join(t) for n in range(5) for t in product("a \t\xa0", repeat=n)] + [f"{b}{c}a{b} {c}" for b in BLANKS for c in "\u200b\x1c "] + list(BLANKS) + ["\x1c", "\u200b", "\u3000\ufeff ", "\u180e", "é", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, str string")
+    plain = F.trim(F.regexp_replace("str", f"{WS}+", " "))
+    assert all(r.a == r.b for r in df.select(collapse(F.col("str")).alias("a"), plain.alias("b")).collect())
+    inked = df.where(F.regexp_replace(F.coalesce("str", F.lit("")), f"{WS}+", "") != "")
+    assert [r.i for r in layout.printable(df).orderBy("i").collect()] == [r.i for r in inked.orderBy("i").collect()]
